@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.functions.scalars import q
 from metricloom.operators.ranking import average_ranks, ordinal_codes, running, with_range_block
@@ -20,6 +21,9 @@ from metricloom.operators.scale import fit_pca, fit_standard
 _WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 _WEIGHT_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
 _RANKS_PER_CHUNK = 65_536
+_SCORE_SUMS = T.StructType(
+    [T.StructField("m", T.DoubleType()), T.StructField("m2", T.DoubleType())]
+)
 
 
 def _pair_table(df: DataFrame, columns: Sequence[str], measure, lower: bool) -> DataFrame:
@@ -126,7 +130,7 @@ def corr_kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-@F.pandas_udf("struct<m: double, m2: double>")
+@F.pandas_udf(_SCORE_SUMS)
 def _normal_scores(
     batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
 ) -> Iterator[pd.DataFrame]:

@@ -117,8 +117,16 @@ def pca_projection(spark, sf):
     return a.pca_projection(vectors(spark, sf), VECTOR_COLUMNS, "label", 3)
 
 
-@query("labelled_series")
+@query(
+    "labelled_series",
+    f"""WITH {SQL_FAULTS}, {SQL_WIDE[len(SQL_SAMPLES) + 2:]}, m AS (
+      SELECT w.time, max_by(f.label, f.seq) AS label FROM wide w
+      JOIN faults f ON w.time BETWEEN f.start AND f.stop GROUP BY 1), l AS (
+      SELECT w.time, coalesce(label, '0') AS target, {SERIES[0]}, {SERIES[1]} FROM wide w LEFT JOIN m USING (time))
+    SELECT time, target, feature, {r6("value")} AS value FROM l
+      UNPIVOT INCLUDE NULLS (value FOR feature IN ({SERIES[0]}, {SERIES[1]}))""",
+)
 def labelled_series(spark, sf):
     """Wide series with the fault of their hour, as the class-wise plots read them."""
     frame = label_intervals(wide(spark, sf), faults(spark, sf))
-    return a.class_feature_series(frame, SERIES[:2], "target")
+    return rounded(a.class_feature_series(frame, SERIES[:2], "target"))
