@@ -46,13 +46,33 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.vstack(series.to_numpy())
 
 
+def coordinates(df: DataFrame, features: Sequence[str]) -> Column:
+    """The features as one array; a single array column is taken as it is.
+
+    Null where a feature is missing.
+    """
+    if len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array":
+        x = q(features[0]).cast("array<double>")
+    else:
+        x = F.array(*[q(c).cast("double") for c in features])
+    return F.when(~F.exists(x, lambda v: v.isNull() | F.isnan(v)), x)
+
+
 def merged_points(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
     """Distinct points (id, x, w): the smallest key, the coordinates, the copies."""
-    cells = [q(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
-    names = [f"_f{i}" for i in range(len(features))]
-    grouped = df.select(q(key).alias("_key"), *cells).dropna().groupBy(*names)
-    counted = grouped.agg(F.min("_key").alias("id"), F.count(F.lit(1)).alias("w"))
-    return counted.select("id", F.array(*names).alias("x"), "w")
+    points = df.select(q(key).alias("_key"), coordinates(df, features).alias("x"))
+    return (
+        points.where("x IS NOT NULL")
+        .groupBy("x")
+        .agg(F.min("_key").alias("id"), F.count(F.lit(1)).alias("w"))
+        .select("id", "x", "w")
+    )
+
+
+def _attach(df: DataFrame, features: Sequence[str], found: DataFrame) -> DataFrame:
+    """Columns of ``found`` (keyed by coordinates ``x``) on every row at that point."""
+    placed = df.withColumn("_x", coordinates(df, features))
+    return placed.join(found, F.col("_x") == F.col("x"), "left").drop("_x", "x")
 
 
 class Partition:
@@ -198,12 +218,9 @@ def dbscan(
     )
     found = of_core.unionByName(border.select("id", "_number"))
     named = points.join(found, "id", "left").select(
-        *[F.col("x")[i].alias(f"_f{i}") for i in range(len(features))],
-        F.coalesce("_number", F.lit(-1)).cast("int").alias(label),
+        "x", F.coalesce("_number", F.lit(-1)).cast("int").alias(label)
     )
-    match = [q(c).cast("double").eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(features)]
-    joined = df.join(named, match, "left").drop(*[f"_f{i}" for i in range(len(features))])
-    return joined.withColumn(label, F.coalesce(F.col(label), F.lit(-1)))
+    return _attach(df, features, named).withColumn(label, F.coalesce(F.col(label), F.lit(-1)))
 
 
 def _link_block(ids: np.ndarray, core: np.ndarray, other: np.ndarray, near: np.ndarray) -> pd.DataFrame:
@@ -358,13 +375,12 @@ def abod_scores(
         F.array_sort(F.collect_list(F.struct("gap", "other", "v", "y"))).alias("hood"),
     )
     scored = hood.select(
-        *[F.col("x")[i].alias(f"_f{i}") for i in range(len(features))],
+        "x",
         _angles(n_neighbors)(
             "x", "w", F.transform("hood", lambda h: h["y"]), F.transform("hood", lambda h: h["v"])
         ).alias(name),
     )
-    match = [q(c).cast("double").eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(features)]
-    return df.join(scored, match, "left").drop(*[f"_f{i}" for i in range(len(features))])
+    return _attach(df, features, scored)
 
 
 def _angles(k: int):

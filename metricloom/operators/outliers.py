@@ -318,17 +318,24 @@ def reconstruction_error(
     """
     features = list(features)
     scaler = fit_standard(df, features)
-    scaled = scaler.transform(df)
-    projection = fit_pca(scaled, features, k)
-    centred = [q(c).cast("double") - F.lit(m) for c, m in zip(features, projection.means)]
-    length = sum((c * c for c in centred[1:]), centred[0] * centred[0])
-    parts = projection.scores("_pc")
-    kept = sum((p * p for p in parts[1:]), parts[0] * parts[0])
-    error = F.sqrt(F.greatest(length - kept, F.lit(0.0))).alias(name)
-    back = [
-        (q(c) * F.lit(scaler.params[c][1]) + F.lit(scaler.params[c][0])).alias(c)
-        if c in scaler.params
-        else q(c)
-        for c in df.columns
-    ]
-    return scaled.select(*back, error)
+    projection = fit_pca(scaler.transform(df), features, k)
+    params = [scaler.params[c] for c in features]
+    center = [p[0] + m * p[1] for p, m in zip(params, projection.means)]
+    spread = [p[1] for p in params]
+    rows = F.array(*[q(c).cast("double") for c in features])
+    return df.withColumn(name, _residual(center, spread, projection.components)(rows))
+
+
+def _residual(center: list[float], spread: list[float], components: list[list[float]]):
+    @F.pandas_udf("double")
+    def residual(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights = np.asarray(components).T
+        for batch in batches:
+            if not len(batch):
+                yield pd.Series([], dtype=float)
+                continue
+            rows = (np.vstack(batch.to_numpy()) - np.asarray(center)) / np.asarray(spread)
+            left = (rows * rows).sum(axis=1) - ((rows @ weights) ** 2).sum(axis=1)
+            yield pd.Series(np.sqrt(np.maximum(left, 0.0)))
+
+    return residual

@@ -13,12 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
 from metricloom.operators.ranking import exact_quantiles, hash_ranks
 
+MAX_EXPRESSION_TERMS = 128
+MAX_SINGLE_COLUMNS = 16
 _STATE = "column string, center double, scale double, shift double"
 
 
@@ -58,7 +61,41 @@ def apply_saved(df: DataFrame, path: str) -> DataFrame:
     return scaler.transform(df) if scaler else df
 
 
+@dataclass(frozen=True)
+class _Moments:
+    low: float | None
+    high: float | None
+    mean: float | None
+    std: float | None
+
+
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = [q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    names = [f"c{i}" for i in range(len(columns))]
+    maker = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="keep")
+    return maker.transform(df.select(*cells)).select("v")
+
+
 def _moments(df: DataFrame, columns: Sequence[str]) -> list:
+    """Range, mean and population deviation of each column, missing values skipped.
+
+    Many columns are summarised as vectors; only those with gaps are then done singly.
+    """
+    if len(columns) > MAX_SINGLE_COLUMNS:
+        summary = Summarizer.metrics("count", "mean", "variance", "min", "max")
+        row = _vectors(df, columns).agg(summary.summary(F.col("v")).alias("s")).first()["s"]
+        found, ratio = {}, (row["count"] - 1) / row["count"] if row["count"] else 0.0
+        for i, c in enumerate(columns):
+            if row["count"] and not math.isnan(row["mean"][i]):
+                found[c] = _Moments(
+                    float(row["min"][i]), float(row["max"][i]), float(row["mean"][i]),
+                    math.sqrt(float(row["variance"][i]) * ratio),
+                )
+        gaps = [c for c in columns if c not in found]
+        for start in range(0, len(gaps), MAX_SINGLE_COLUMNS):
+            part = gaps[start : start + MAX_SINGLE_COLUMNS]
+            found.update(zip(part, _moments(df, part)))
+        return [found[c] for c in columns]
     row = df.agg(
         *[
             F.struct(
@@ -246,6 +283,11 @@ class Projection:
     variance: list[float]
 
     def scores(self, prefix: str = "pc") -> list[Column]:
+        """Projected columns: plain arithmetic, or one matrix product per batch if wide."""
+        if len(self.columns) * len(self.components) > MAX_EXPRESSION_TERMS:
+            rows = F.array(*[q(c).cast("double") for c in self.columns])
+            image = _project(self.means, self.components)(rows)
+            return [image[k].alias(f"{prefix}{k + 1}") for k in range(len(self.components))]
         out = []
         for k, weights in enumerate(self.components):
             terms = [
@@ -259,18 +301,23 @@ class Projection:
         return df.select("*", *self.scores(prefix))
 
 
+def _project(means: list[float], components: list[list[float]]):
+    @F.pandas_udf("array<double>")
+    def image(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        center, weights = np.asarray(means), np.asarray(components).T
+        for batch in batches:
+            rows = (np.vstack(batch.to_numpy()) - center) @ weights if len(batch) else []
+            yield pd.Series(list(rows), dtype=object)
+
+    return image
+
+
 def fit_pca(df: DataFrame, columns: Iterable[str], k: int = 2) -> Projection:
     """Components with their largest weight made positive, so that signs are stable."""
     columns = list(columns)
-    row = df.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    means = [float(v) for v in row]
-    centred = df.select(
-        *[(q(c).cast("double") - F.lit(m)).alias(f"c{i}")
-          for i, (c, m) in enumerate(zip(columns, means))]
-    )
-    names = [f"c{i}" for i in range(len(columns))]
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(centred).select("v")
-    model = PCA(k=min(k, len(columns)), inputCol="v", outputCol="p").fit(vectors)
+    rows = _vectors(df, columns)
+    means = [float(v) for v in rows.agg(Summarizer.mean(F.col("v"))).first()[0]]
+    model = PCA(k=min(k, len(columns)), inputCol="v", outputCol="p").fit(rows)
     weights = model.pc.toArray().T
     signs = np.sign(weights[np.arange(len(weights)), np.abs(weights).argmax(axis=1)])
     return Projection(

@@ -69,7 +69,8 @@ def reconstruction_error(spark, sf):
 
 @query("abod_fast")
 def abod_fast(spark, sf):
-    scored = neighbours.abod_scores(vectors(spark, sf), VECTOR_COLUMNS, "vec_id", 5)
+    rows = table(spark, sf, "embeddings")
+    scored = neighbours.abod_scores(rows, ["embedding"], "vec_id", 5)
     return outliers.flag_top(scored, 0.1).select("vec_id", "score", "prediction")
 
 
@@ -78,8 +79,8 @@ GRID = ["l_quantity", "l_discount"]
 
 @query("dbscan")
 def dbscan(spark, sf):
-    frame = vectors(spark, sf)
-    clusters = neighbours.dbscan(frame, VECTOR_COLUMNS, "vec_id", eps=1.0, min_samples=3)
+    rows = table(spark, sf, "embeddings")
+    clusters = neighbours.dbscan(rows, ["embedding"], "vec_id", eps=1.0, min_samples=3)
     return clusters.select("vec_id", "cluster")
 
 
