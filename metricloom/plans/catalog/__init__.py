@@ -1,6 +1,17 @@
 """Named queries over the test tables. Importing the modules registers them."""
 
-from metricloom.plans.catalog import analysis, buckets, clean, files, joins, outliers, points, scale  # noqa: F401
+from metricloom.plans.catalog import (  # noqa: F401
+    analysis,
+    buckets,
+    clean,
+    evaluate,
+    files,
+    joins,
+    learning,
+    outliers,
+    points,
+    scale,
+)
 from metricloom.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
