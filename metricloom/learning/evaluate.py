@@ -11,9 +11,13 @@ from metricloom.functions.scalars import q
 from metricloom.operators.ranking import running
 
 
-def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def confusion(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
+) -> DataFrame:
     return df.groupBy(
-        q(label).cast("string").alias("label"), q(prediction).cast("string").alias("prediction")
+        *[q(c) for c in by],
+        q(label).cast("string").alias("label"),
+        q(prediction).cast("string").alias("prediction"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -28,9 +32,12 @@ def confusion_matrix(
     return confusion(df, label, prediction).groupBy("label").agg(*cells)
 
 
-def class_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
+def class_counts(
+    df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
+) -> DataFrame:
     """Per class tp, fp, fn, tn, support and predicted count."""
-    cells = confusion(df, label, prediction)
+    groups = [q(c) for c in by]
+    cells = confusion(df, label, prediction, by)
     sides = F.inline(
         F.array(
             F.struct(F.col("label").alias("class"), F.col("n").alias("sup"), F.lit(0).alias("prd"),
@@ -39,14 +46,14 @@ def class_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
                      F.lit(0).cast("long").alias("hit")),
         )
     )
-    per = cells.select(sides).groupBy("class").agg(
+    per = cells.select(*groups, sides).groupBy(*groups, "class").agg(
         F.sum("hit").alias("tp"), F.sum("sup").alias("support"), F.sum("prd").alias("predicted")
     )
     # One row per class: few enough for one window.
-    total = F.sum("support").over(Window.partitionBy(F.lit(0)))
+    total = F.sum("support").over(Window.partitionBy(*(groups or [F.lit(0)])))
     fp, fn = F.col("predicted") - F.col("tp"), F.col("support") - F.col("tp")
     return per.withColumn("total", total).select(
-        "class", "tp", fp.alias("fp"), fn.alias("fn"),
+        *groups, "class", "tp", fp.alias("fp"), fn.alias("fn"),
         (F.col("total") - F.col("tp") - fp - fn).alias("tn"), "support", "predicted", "total",
     )
 
@@ -101,8 +108,8 @@ def imbalanced_report(df: DataFrame, label: str, prediction: str, alpha: float =
     )
 
 
-def scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """One row of hard-label scores."""
+def scores(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+    """Hard-label scores, in one row (per group of ``by``)."""
     _, recall, f1 = _prf()
     tp, support, predicted = (F.col(c).cast("double") for c in ("tp", "support", "predicted"))
     total = F.max("total").cast("double")
@@ -112,7 +119,7 @@ def scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
     spread = F.sqrt(
         (total * total - F.sum(predicted * predicted)) * (total * total - F.sum(support * support))
     )
-    return class_counts(df, label, prediction).agg(
+    return class_counts(df, label, prediction, by).groupBy(*[q(c) for c in by]).agg(
         (right / total).alias("accuracy"),
         F.avg(F.when(support > 0, recall)).alias("balanced_accuracy"),
         (F.sum(f1 * support) / total).alias("f1_weighted"),

@@ -15,6 +15,7 @@ from metricloom.learning.evaluate import scores
 from metricloom.learning.supervised import Classifier, class_list, fit_classifier
 from metricloom.operators.ranking import hash_ranks
 from metricloom.operators.scale import SCALERS, fit_pca, hash_share
+from metricloom.session import cut_lineage
 
 METRICS = ("accuracy", "balanced_accuracy", "f1_weighted", "jaccard_weighted", "kappa", "mcc")
 
@@ -55,7 +56,9 @@ def shuffle_splits(
 
 
 def fold_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
-    return [(df.where(q("fold") != i), df.where(q("fold") == i)) for i in range(folds)]
+    """Train and test rows of every fold; the folds are drawn once and stored."""
+    drawn = cut_lineage(df)
+    return [(drawn.where(q("fold") != i), drawn.where(q("fold") == i)) for i in range(folds)]
 
 
 def fit_and_score(
@@ -83,18 +86,16 @@ def fit_and_score(
     model = fit_classifier(train, features, target, name, classes, **dict(options))
     fitted_at = time.perf_counter()
     row: dict = {"fit_time": fitted_at - start}
-    row.update(_scored(model, test, target, "test"))
-    row["score_time"] = time.perf_counter() - fitted_at
+    judged = test.withColumn("_part", F.lit("test"))
     if train_scores:
-        row.update(_scored(model, train, target, "train"))
+        judged = judged.unionByName(train.withColumn("_part", F.lit("train")))
+    found = scores(model.predict(judged, "_predicted"), target, "_predicted", ["_part"])
+    for part in found.collect():
+        row.update({f"{part['_part']}_{m}": float(part[m] or 0.0) for m in METRICS})
+    row["score_time"] = time.perf_counter() - fitted_at
     return row, model
 
 
-def _scored(model: Classifier, df: DataFrame, target: str, part: str) -> dict:
-    found = scores(model.predict(df, "_predicted"), target, "_predicted").first()
-    return {f"{part}_{m}": float(found[m] or 0.0) for m in METRICS}
-
-
 def cross_validate(
     splits: Iterable[tuple[DataFrame, DataFrame]],
     features: Sequence[str],
@@ -107,11 +108,13 @@ def cross_validate(
     train_scores: bool = False,
 ) -> tuple[list[dict], list[Classifier]]:
     """Scores and model of every split. Each fit and each score is a Spark job of its own."""
-    rows, models = [], []
+    splits, rows, models = list(splits), [], []
+    if classes is None:
+        train, test = splits[0]
+        classes = class_list(train.unionByName(test), target)
     for i, (train, test) in enumerate(splits):
-        known = classes if classes is not None else class_list(train, target)
         row, model = fit_and_score(
-            train, test, features, target, name, options or {}, known, scaler, components,
+            train, test, features, target, name, options or {}, classes, scaler, components,
             train_scores,
         )
         rows.append({"fold": i, **row})
