@@ -11,6 +11,7 @@ from metricloom.plans.catalog import (  # noqa: F401
     outliers,
     points,
     scale,
+    streams,
 )
 from metricloom.plans.catalog.registry import ORACLES, QUERIES
 
