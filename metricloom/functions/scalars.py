@@ -12,6 +12,26 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(q(name)), q(name))
+    return q(name)
+
+
+def filled(df: DataFrame, number: object, text: str) -> DataFrame:
+    """Missing numbers and strings replaced; names may hold any character."""
+
+    def cell(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.NumericType):
+            return F.coalesce(present(df, field.name), F.lit(number).cast(field.dataType))
+        if isinstance(field.dataType, T.StringType):
+            return F.coalesce(q(field.name), F.lit(text))
+        return q(field.name)
+
+    return df.select(*[cell(f).alias(f.name) for f in df.schema.fields])
+
+
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [
         f.name
@@ -99,30 +119,30 @@ def nominal_text(text: Column) -> Column:
 
 
 def row_mean(columns: list[Column]) -> Column:
-    present = _present(columns)
-    return F.when(F.size(present) > 0, _total(present) / F.size(present))
+    given = _given(columns)
+    return F.when(F.size(given) > 0, _total(given) / F.size(given))
 
 
 def row_std(columns: list[Column]) -> Column:
     """Sample standard deviation over one row; null for fewer than two values."""
-    present = _present(columns)
-    count = F.size(present)
-    mean = _total(present) / count
+    given = _given(columns)
+    count = F.size(given)
+    mean = _total(given) / count
     squares = F.aggregate(
-        F.transform(present, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x
+        F.transform(given, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x
     )
     return F.when(count > 1, F.sqrt(squares / (count - 1)))
 
 
 def row_median(columns: list[Column]) -> Column:
-    ordered = F.array_sort(_present(columns))
+    ordered = F.array_sort(_given(columns))
     count = F.size(ordered)
     low = F.element_at(ordered, ((count + 1) / 2).cast("int"))
     high = F.element_at(ordered, (count / 2).cast("int") + 1)
     return F.when(count > 0, (low + high) / 2)
 
 
-def _present(columns: list[Column]) -> Column:
+def _given(columns: list[Column]) -> Column:
     return F.filter(
         F.array(*[c.cast("double") for c in columns]), lambda x: x.isNotNull() & ~F.isnan(x)
     )

@@ -7,21 +7,13 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from metricloom.functions.scalars import numeric_columns, q, string_columns
+from metricloom.functions.scalars import filled, numeric_columns, present, q, string_columns
 from metricloom.operators.ranking import ordinal_codes, running
 
 MAX_ONE_HOT_COLUMNS = 2000
 
 
-def _valid(df: DataFrame, name: str) -> Column:
-    """The column with NaN read as missing."""
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.when(~F.isnan(q(name)), q(name))
-    return q(name)
-
-
 def column_list(spec: str | Iterable[str]) -> list[str]:
     """A column list, also as one ``a;b;c`` string."""
     return spec.split(";") if isinstance(spec, str) else list(spec)
@@ -66,7 +58,7 @@ def drop_low_variance(df: DataFrame) -> DataFrame:
     """Drop columns with exactly one distinct value; all-null columns stay."""
     if not df.columns:
         return df
-    cells = [_valid(df, c) for c in df.columns]
+    cells = [present(df, c) for c in df.columns]
     row = df.agg(
         *[(F.min(c) == F.max(c)).alias(f"single{i}") for i, c in enumerate(cells)]
     ).first()
@@ -75,21 +67,23 @@ def drop_low_variance(df: DataFrame) -> DataFrame:
 
 def fill_missing(df: DataFrame) -> DataFrame:
     """Nulls and NaN become 0 in every numeric or string column."""
-    return df.fillna(0).fillna("0")
+    return filled(df, 0, "0")
 
 
 def drop_missing_columns(df: DataFrame, how: str = "all") -> DataFrame:
     """Drop columns that are entirely (``all``) or partly (``any``) missing."""
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(_valid(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
+        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
     ).first()
     least = {"all": 1, "any": row["rows"]}[how]
     return df.select(*[q(c) for i, c in enumerate(df.columns) if row[f"n{i}"] >= least])
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    return df.dropna()
+    for name in df.columns:
+        df = df.where(present(df, name).isNotNull())
+    return df
 
 
 def variance_threshold(

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import q
+from metricloom.functions.scalars import present, q
 from metricloom.operators.ranking import exact_quantiles, hash_ranks
 
 MAX_EXPRESSION_TERMS = 128
@@ -99,12 +99,12 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> list:
     row = df.agg(
         *[
             F.struct(
-                F.min(q(c)).cast("double").alias("low"),
-                F.max(q(c)).cast("double").alias("high"),
-                F.avg(q(c)).alias("mean"),
-                F.stddev_pop(q(c)).alias("std"),
+                F.min(x).cast("double").alias("low"),
+                F.max(x).cast("double").alias("high"),
+                F.avg(x).alias("mean"),
+                F.stddev_pop(x).alias("std"),
             ).alias(f"m{i}")
-            for i, c in enumerate(columns)
+            for i, x in enumerate(present(df, c) for c in columns)
         ]
     ).first()
     return list(row)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import q
+from metricloom.functions.scalars import filled, q
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -44,7 +44,7 @@ def frame_equal(left: DataFrame, right: DataFrame, fill: bool = True) -> DataFra
     if sorted(left.columns) != sorted(right.columns):
         return left.sparkSession.range(1).select(F.lit(False).alias("equal"))
     if fill:
-        left, right = (df.fillna(1).fillna("1") for df in (left, right))
+        left, right = filled(left, 1, "1"), filled(right, 1, "1")
     return multiset_diff(left, right).agg((F.count(F.lit(1)) == 0).alias("equal"))
 
 
