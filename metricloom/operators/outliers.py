@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.scalars import q
 from metricloom.operators.ranking import exact_quantiles
 from metricloom.operators.scale import fit_pca, fit_standard
+from metricloom.session import cut_lineage
 
 MAX_TREE_ROWS = 100_000
 _TREE = (
@@ -30,9 +31,17 @@ _EULER = 0.5772156649015329
 
 
 def flag_top(
-    scored: DataFrame, contamination: float, score: str = "score", name: str = "prediction"
+    scored: DataFrame,
+    contamination: float,
+    score: str = "score",
+    name: str = "prediction",
+    store: bool = False,
 ) -> DataFrame:
-    """1 for the share of rows with the highest scores, else 0; rows without a score are 0."""
+    """1 for the share of rows with the highest scores, else 0; rows without a score are 0.
+
+    Scores are read several times: ``store`` those that are dear to compute.
+    """
+    scored = cut_lineage(scored) if store else scored
     threshold = exact_quantiles(scored, score, [1 - contamination])[0]
     flagged = F.coalesce((q(score) > F.lit(threshold)).cast("int"), F.lit(0))
     return scored.withColumn(name, flagged)
@@ -59,9 +68,7 @@ class IsolationForest:
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Scores from -1 (isolated at once) to 0; ordinary rows are near -0.5 or above."""
-        path = _mean_path(self.trees, len(self.features))(
-            F.array(*[q(c).cast("double") for c in self.features])
-        )
+        path = _mean_path(self.trees)(*[q(c).cast("double") for c in self.features])
         scale = average_path(self.sample_size) or 1.0
         return df.withColumn(name, -F.pow(F.lit(2.0), -path / F.lit(scale)))
 
@@ -72,17 +79,15 @@ class IsolationForest:
         )
 
 
-def _mean_path(trees: list[dict], width: int):
-    spark_trees = trees
-
+def _mean_path(trees: list[dict]):
     @F.pandas_udf("double")
-    def mean_path(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def mean_path(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         grown = [
             tuple(np.asarray(t[k]) for k in ("feature", "threshold", "low", "high", "path"))
-            for t in spark_trees
+            for t in trees
         ]
         for batch in batches:
-            rows = np.vstack(batch.to_numpy()) if len(batch) else np.empty((0, width))
+            rows = np.column_stack([column.to_numpy(float) for column in batch])
             total, here = np.zeros(len(rows)), np.arange(len(rows))
             for feature, threshold, low, high, path in grown:
                 node = np.zeros(len(rows), dtype=np.int64)
@@ -188,7 +193,9 @@ def fit_isolation_forest(
     forest = IsolationForest(features, trees, size)
     if contamination == "auto":
         return forest
-    offset = exact_quantiles(forest.score(df), "score", [float(contamination)])[0]
+    # Stored once: finding an exact quantile reads the scores several times.
+    scores = cut_lineage(forest.score(df).select("score"))
+    offset = exact_quantiles(scores, "score", [float(contamination)])[0]
     return IsolationForest(features, trees, size, offset)
 
 

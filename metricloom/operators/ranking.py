@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from metricloom.functions.scalars import q
 _SAMPLE_PER_BLOCK = 32
 _SAMPLE_LIMIT = 50_000
 _TREE_LIMIT = 255
+_CELLS = 256
 
 
 def _block_count(df: DataFrame, blocks: int | None) -> int:
@@ -174,12 +176,12 @@ def exact_quantiles(
     only ranges of at most ``collect_limit`` rows are looked at value by value.
     """
     values = df.select(q(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    count = values.count()
+    count, points = values.agg(F.count("x"), _grid()).first()
     if count == 0:
         return [math.nan for _ in probabilities]
     positions = [p * (count - 1) for p in probabilities]
     wanted = {math.floor(p) for p in positions} | {math.ceil(p) for p in positions}
-    found = _order_statistics(values, count, sorted(wanted), collect_limit)
+    found = _order_statistics(values, count, points, sorted(wanted), collect_limit)
     out = []
     for position in positions:
         low, high = found[math.floor(position)], found[math.ceil(position)]
@@ -187,29 +189,44 @@ def exact_quantiles(
     return out
 
 
+def _grid() -> Column:
+    return F.percentile_approx("x", [i / _CELLS for i in range(_CELLS + 1)], 20 * _CELLS)
+
+
+def _doubles(numbers: Sequence[float]) -> Column:
+    """A constant array as one literal; a thousand single ones would slow the planner."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
+
+
+def _at_ranks(counts: Sequence[tuple[float, int]], ranks: Sequence[int]) -> dict[int, float]:
+    found, seen, waiting = {}, 0, list(ranks)
+    for x, n in sorted(counts):
+        seen += n
+        while waiting and waiting[0] < seen:
+            found[waiting.pop(0)] = x
+    return found
+
+
 def _order_statistics(
-    values: DataFrame, count: int, ranks: list[int], collect_limit: int
+    values: DataFrame, count: int, points: Sequence[float], ranks: list[int], collect_limit: int
 ) -> dict[int, float]:
-    found: dict[int, float] = {}
+    """Values at sorted 0-based ranks. ``points`` are approximate quantiles of ``values``."""
     if count <= collect_limit:
-        seen, waiting = 0, list(ranks)
-        for x, n in sorted(tuple(r) for r in values.groupBy("x").count().collect()):
-            seen += n
-            while waiting and waiting[0] < seen:
-                found[waiting.pop(0)] = x
-        return found
-    grid = [i / 1000 for i in range(1001)]
-    points = sorted(set(values.agg(F.percentile_approx("x", grid, 10_000)).first()[0]))
-    splits = [-math.inf, *[p for p in points if math.isfinite(p)], math.inf]
+        return _at_ranks([tuple(r) for r in values.groupBy("x").count().collect()], ranks)
+    splits = [-math.inf, *sorted({p for p in points if math.isfinite(p)}), math.inf]
     cutter = Bucketizer(splits=splits, inputCol="x", outputCol="b")
-    starts = F.array(*[F.lit(s) for s in splits])
-    cut = cutter.transform(values).withColumn("b", F.col("b").cast("int"))
+    start = F.element_at(_doubles(splits[1:-1]), F.col("b"))
+    # A split point itself is a cell of its own, so a frequent value never hides others.
     cells = (
-        cut.withColumn("inside", (F.col("x") != F.element_at(starts, F.col("b") + 1)).cast("int"))
+        cutter.transform(values)
+        .withColumn("b", F.col("b").cast("int"))
+        .withColumn("inside", F.when(F.col("b") == 0, 1).otherwise((F.col("x") != start).cast("int")))
         .groupBy("b", "inside")
         .count()
         .collect()
     )
+    found: dict[int, float] = {}
+    deeper: list[tuple[int, int, int, list[int]]] = []
     seen, waiting = 0, list(ranks)
     for b, inside, n in sorted(tuple(r) for r in cells):
         here = [r for r in waiting if r < seen + n]
@@ -217,8 +234,22 @@ def _order_statistics(
         if here and not inside:
             found.update({r: splits[b] for r in here})
         elif here:
-            part = values.where((F.col("x") > splits[b]) & (F.col("x") < splits[b + 1]))
-            deeper = _order_statistics(part, n, [r - seen for r in here], collect_limit)
-            found.update({r + seen: v for r, v in deeper.items()})
+            deeper.append((b, seen, n, [r - seen for r in here]))
         seen += n
+
+    def within(b: int) -> Column:
+        return (F.col("x") > splits[b]) & (F.col("x") < splits[b + 1])
+
+    if deeper and sum(n for _, _, n, _ in deeper) <= collect_limit:
+        wanted = reduce(lambda one, other: one | other, [within(b) for b, *_ in deeper])
+        counts = [tuple(r) for r in values.where(wanted).groupBy("x").count().collect()]
+        for b, before, _, here in deeper:
+            part = [(x, n) for x, n in counts if splits[b] < x < splits[b + 1]]
+            found.update({r + before: v for r, v in _at_ranks(part, here).items()})
+        return found
+    for b, before, n, here in deeper:
+        part = values.where(within(b))
+        finer = part.agg(_grid()).first()[0] if n > collect_limit else []
+        inner = _order_statistics(part, n, finer, here, collect_limit)
+        found.update({r + before: v for r, v in inner.items()})
     return found

@@ -10,7 +10,7 @@ from metricloom.operators.points import detect_classes, detect_outliers
 from metricloom.operators.scale import fit_pca, fit_standard, train_test_split
 from metricloom.plans.catalog.inputs import *  # noqa: F403
 from metricloom.plans.catalog.registry import query
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, spread
 
 TARGET = "load"
 QUICK = {"maxDepth": 4}
@@ -18,7 +18,7 @@ QUICK = {"maxDepth": 4}
 
 def rows_of(spark, sf):
     """Line items with a learnable three-way class, blurred by the row key."""
-    rows = lineitem(spark, sf)
+    rows = spread(lineitem(spark, sf), "row_key")
     blur = F.pmod(q("row_key"), F.lit(1000)) / 100
     level = q("l_quantity") + q("l_discount") * 100 + blur
     kind = F.when(level < 25, "0").when(level < 45, "cpu").otherwise("mem")
@@ -148,7 +148,7 @@ def hold_out_scores(spark, sf):
 
 
 def _forest(spark, sf):
-    rows = lineitem(spark, sf)
+    rows = spread(lineitem(spark, sf), "row_key")
     return rows, fit_isolation_forest(rows, NUMBERS, ["row_key"], 25, contamination=0.01)
 
 

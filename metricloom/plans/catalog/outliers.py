@@ -6,7 +6,7 @@ from metricloom.functions.scalars import q
 from metricloom.operators import neighbours, outliers, training_labels
 from metricloom.plans.catalog.inputs import *  # noqa: F403
 from metricloom.plans.catalog.registry import query
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, spread
 
 
 def forest_of(rows, **options):
@@ -16,13 +16,13 @@ def forest_of(rows, **options):
 
 @query("isolation_forest")
 def isolation_forest(spark, sf):
-    rows = lineitem(spark, sf)
+    rows = spread(lineitem(spark, sf), "row_key")
     return forest_of(rows).predict(rows)
 
 
 @query("isolation_forest_sampled")
 def isolation_forest_sampled(spark, sf):
-    rows = lineitem(spark, sf)
+    rows = spread(lineitem(spark, sf), "row_key")
     forest = forest_of(rows, max_samples=64, max_features=0.5, bootstrap=True, n_estimators=20)
     return forest.predict(rows).where("prediction = -1")
 
@@ -64,14 +64,15 @@ def cblof(spark, sf):
 @query("reconstruction_error")
 def reconstruction_error(spark, sf):
     scored = outliers.reconstruction_error(vectors(spark, sf), VECTOR_COLUMNS, 8)
-    return outliers.flag_top(scored, 0.1).select("vec_id", "score", "prediction")
+    scored = scored.select("vec_id", "score")
+    return outliers.flag_top(scored, 0.1, store=True)
 
 
 @query("abod_fast")
 def abod_fast(spark, sf):
     rows = table(spark, sf, "embeddings")
     scored = neighbours.abod_scores(rows, ["embedding"], "vec_id", 5)
-    return outliers.flag_top(scored, 0.1).select("vec_id", "score", "prediction")
+    return outliers.flag_top(scored.select("vec_id", "score"), 0.1, store=True)
 
 
 GRID = ["l_quantity", "l_discount"]
@@ -123,5 +124,5 @@ def training_labels_anomalies(spark, sf):
 
 @query("append_predictions")
 def append_predictions(spark, sf):
-    rows = lineitem(spark, sf)
+    rows = spread(lineitem(spark, sf), "row_key")
     return training_labels.append_predictions(rows, forest_of(rows), scratch_path(spark, "labelled"))

@@ -6,7 +6,7 @@ from metricloom.functions.scalars import q
 from metricloom.operators import scale as s
 from metricloom.plans.catalog.inputs import *  # noqa: F403
 from metricloom.plans.catalog.registry import query
-from metricloom.session import scratch_path
+from metricloom.session import scratch_path, spread
 
 
 def _each(template: str, columns=NUMBERS) -> str:
@@ -82,7 +82,7 @@ def quantile_transform(spark, sf):
 
 @query("power_transform")
 def power_transform(spark, sf):
-    numbers = _numbers(spark, sf)
+    numbers = spread(_numbers(spark, sf))
     return s.fit_power(numbers, ["l_quantity", "l_extendedprice"]).transform(numbers)
 
 
