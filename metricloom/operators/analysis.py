@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.scalars import q
+from metricloom.operators.clean import drop_null_rows
 from metricloom.operators.ranking import average_ranks, ordinal_codes, running, with_range_block
 from metricloom.operators.scale import fit_pca, fit_standard
 
@@ -52,9 +53,9 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix of average ranks, over rows complete in all columns."""
-    ranked = df.select(*[q(c) for c in columns]).dropna()
+    complete = ranked = drop_null_rows(df.select(*[q(c) for c in columns]))
     for i, c in enumerate(columns):
-        ranked = average_ranks(ranked, c, f"_r{i}")
+        ranked = average_ranks(ranked, c, f"_r{i}", complete)
     names = [f"_r{i}" for i in range(len(columns))]
     table = _pair_table(ranked, names, F.corr, False)
     title = F.element_at(
@@ -75,8 +76,7 @@ def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     cells x log(distinct x); no pairs are formed.
     """
     cells = (
-        df.select(q(x).alias("x"), q(y).alias("y"))
-        .dropna()
+        drop_null_rows(df.select(q(x).alias("x"), q(y).alias("y")))
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )

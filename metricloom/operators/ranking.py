@@ -94,30 +94,34 @@ def running(
     base = df
     for name, value in sums.items():
         base = base.withColumn(f"_in_{name}", value)
-    if block is None:
+    own_blocks = block is None
+    if own_blocks:
         base = with_range_block(base, order)
         block = "_block"
     direction = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    group = [q(c) for c in by]
-    inside = Window.partitionBy(*group, q(block)).orderBy(*[direction(q(c)) for c in order])
+    # A struct of the group columns is never null, so plain equality joins it, null groups
+    # included, and the join finds the rows where the window has put them.
+    group = F.struct(*[q(c) for c in by]) if by else F.lit(0)
+    base = base.withColumn("_group", group).withColumnRenamed(block, "_at")
+    inside = Window.partitionBy("_group", "_at").orderBy(*[direction(q(c)) for c in order])
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy(direction(q(block)))
+    before = Window.partitionBy("_group").orderBy(direction(F.col("_at")))
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    totals = base.groupBy(*group, q(block)).agg(
-        *[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in sums]
-    )
+    totals = base.groupBy("_group", "_at").agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in sums])
     offsets = totals.select(
-        *[q(c).alias(f"_by_{i}") for i, c in enumerate(by)],
-        q(block).alias("_at_block"),
-        *[F.coalesce(F.sum(f"_total_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        "_group",
+        "_at",
+        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
     )
+    if not by and own_blocks:
+        # One row per range block, of which there are no more than shuffle partitions.
+        offsets = F.broadcast(offsets)
     local = base.select("*", *[F.sum(f"_in_{n}").over(inside).alias(f"_loc_{n}") for n in sums])
-    match = q(block).eqNullSafe(F.col("_at_block"))
-    for i, c in enumerate(by):
-        match = match & q(c).eqNullSafe(F.col(f"_by_{i}"))
-    joined = local.join(offsets, match, "left")
+    # A left join, though every block has its totals: an inner one would push a not-null
+    # test of the block number below the aggregation that precedes it.
+    joined = local.join(offsets, ["_group", "_at"], "left")
     return joined.select(
-        *[q(c) for c in df.columns],
+        *[(F.col("_at").alias(c) if c == block else q(c)) for c in df.columns],
         *[(F.col(f"_loc_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums],
     )
 
@@ -158,9 +162,14 @@ def value_ranks(df: DataFrame, column: str) -> DataFrame:
     return running(counts, ["value"], {"upto": F.col("n")})
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the 1-based rank of ``column``, ties sharing their mean rank."""
-    ranks = value_ranks(df, column).select(
+def average_ranks(
+    df: DataFrame, column: str, name: str, among: DataFrame | None = None
+) -> DataFrame:
+    """Add the 1-based rank of ``column``, ties sharing their mean rank.
+
+    ``among`` are the rows to rank by where ``df`` has been joined to other things since.
+    """
+    ranks = value_ranks(df if among is None else among, column).select(
         F.col("value").alias("_ranked"),
         (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias(name),
     )

@@ -48,7 +48,7 @@ def test_names_with_dots_and_colons(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None)], f"time int, `{name}` double")
     assert clean.filter_wildcard(df, "load1", keep=True).columns == [name]
     assert rows(clean.fill_missing(df)) == [(1, 2.0), (2, 0.0)]
-    assert rows(scale.scale(df.dropna(), [name], "StandardScaler")) == [(1, 0.0)]
+    assert rows(scale.scale(clean.drop_null_rows(df), [name], "StandardScaler")) == [(1, 0.0)]
     assert clean.drop_columns(df, name).columns == ["time"]
 
 
