@@ -140,16 +140,14 @@ def anomaly_islands(
         anomalies.groupBy(q(by), q(time).cast("long").alias("at"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_day", F.floor(F.col("at") / block))
+        .withColumn("_kind", F.struct(q(by)))
     )
-    days = moments.groupBy(q(by), F.col("_day")).agg(F.max("at").alias("_last"))
-    earlier = Window.partitionBy(q(by)).orderBy("_day")
-    days = days.select(
-        q(by).alias("_by"), F.col("_day").alias("_of"),
-        F.lag("_last").over(earlier).alias("_carried"),
-    )
-    inside = Window.partitionBy(q(by), F.col("_day")).orderBy("at")
+    days = moments.groupBy("_kind", "_day").agg(F.max("at").alias("_last"))
+    earlier = Window.partitionBy("_kind").orderBy("_day")
+    days = days.select("_kind", "_day", F.lag("_last").over(earlier).alias("_carried"))
+    inside = Window.partitionBy("_kind", "_day").orderBy("at")
     linked = moments.withColumn("_prev", F.lag("at").over(inside)).join(
-        days, q(by).eqNullSafe(F.col("_by")) & (F.col("_day") == F.col("_of")), "left"
+        days, ["_kind", "_day"], "left"
     )
     previous = F.coalesce("_prev", "_carried")
     opens = (previous.isNull() | (F.col("at") - previous > gap)).cast("long")

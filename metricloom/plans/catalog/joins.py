@@ -133,16 +133,14 @@ def fault_modifiers(spark, sf):
     "align_nearest_second",
     f"""WITH {SQL_SAMPLES}, b AS (SELECT ceil(time) AS second, max(value) AS other FROM samples
           WHERE instance = 'node1' GROUP BY 1)
-        SELECT event_id, time, other FROM samples LEFT JOIN b ON ceil(time) = second
-        WHERE instance = 'node0' OR instance = 'node1'""",
+        SELECT event_id, time, other FROM samples LEFT JOIN b ON ceil(time) = second""",
 )
 def align_nearest_second(spark, sf):
     s = samples(spark, sf)
     other = s.where(q("instance") == "node1").groupBy(F.ceil("time").alias("time")).agg(
         F.max("value").alias("other")
     )
-    base = s.where(q("instance").isin("node0", "node1")).select("event_id", "time")
-    return j.align_nearest_second(base, other)
+    return j.align_nearest_second(s.select("event_id", "time"), other)
 
 
 @query(
