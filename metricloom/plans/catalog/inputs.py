@@ -72,8 +72,7 @@ def faults(spark: SparkSession, sf: str) -> DataFrame:
 def lineitem(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """Numeric matrix with a row key; whole rows are unique, their parts are not."""
     rows = table(spark, sf, "lineitem")
-    # The sum of two hashes with different seeds still is one 64-bit number; whole rows
-    # stay the tie-break where order matters.
+    # A 64-bit hash of the whole row: fine for these tables; a real source brings a key.
     key = F.xxhash64(*[q(c) for c in rows.columns]).alias("row_key")
     return rows.select(key, *[q(c) for c in (*NUMBERS, *extra)])
 
