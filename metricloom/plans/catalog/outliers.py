@@ -106,7 +106,7 @@ def _hours(spark, sf):
     )
 
 
-@query("training_labels")
+@query("generate_training_labels")
 def training_labels_query(spark, sf):
     return training_labels.generate_training_labels(
         _hours(spark, sf), ["click", "view", "error"], "key", eps=0.6, min_samples=3,
@@ -114,7 +114,7 @@ def training_labels_query(spark, sf):
     )
 
 
-@query("training_labels_anomalies")
+@query("generate_training_labels_anomalies")
 def training_labels_anomalies(spark, sf):
     return training_labels.generate_training_labels(
         _hours(spark, sf), ["click", "view", "error"], "key", eps=1.0, min_samples=3,
