@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import host_rules
+from metricloom.llm import bpe_automaton, host_rules, rans
 from metricloom.llm.common import read_table
+from metricloom.session import scratch_path
+
+# The vocabulary that the contracted queries name; the operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +32,23 @@ def query(name: str, sql: str | None = None):
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge_documents(read_table(spark, sf_dir, "documents"))
     return judged.withColumn("host_rate", F.round("host_rate", 9) + F.lit(0.0))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query("op9_bpe_automaton")
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_automaton.encode_texts(read_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe_automaton.digests(bpe_automaton.decode_ids(encoded, vocabulary()))
+
+
+@query("op10_rans_ids")
+def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    rans.write_ids(read_table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
+    found = rans.read_ids(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
