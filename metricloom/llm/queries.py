@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe_automaton, host_rules, rans
+from metricloom.llm import bpe_automaton, host_rules, licenses, mixing, rans
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -52,3 +52,21 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rans.write_ids(read_table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
     found = rans.read_ids(spark, path)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# The targets of the mix: domains 3 to 2, languages by size, the largest source doubled.
+MIX = mixing.Mix(
+    weights={"web": 60, "reference": 40, "en": 50, "de": 20, "fr": 20, "es": 10, "src0": 2, "src9": 3},
+    budget_share=0.7,
+)
+
+
+@query("op2_mixing", mixing.oracle(MIX))
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"), MIX)
+
+
+@query("op5_licenses", licenses.oracle())
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("dice", F.round("dice", 9) + F.lit(0.0))
