@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe_automaton, host_rules, licenses, mixing, rans
+from metricloom.llm import bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -70,3 +70,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
     return found.withColumn("dice", F.round("dice", 9) + F.lit(0.0))
+
+
+@query("op6_lsh_forest", lsh_forest.oracle(3, 85))
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = lsh_forest.Forest(shingle=3, percent=85)
+    return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"), forest)
