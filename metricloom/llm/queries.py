@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans
+from metricloom.llm import bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans, site_bayes
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -76,3 +76,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = lsh_forest.Forest(shingle=3, percent=85)
     return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"), forest)
+
+
+@query("op4_site_bayes")
+def op4_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return site_bayes.classify_documents(docs, labels)
