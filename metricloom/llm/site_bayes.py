@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from metricloom.llm.common import missing_columns, q, written
 from metricloom.llm.host_rules import prior
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 BINS = 16
+FEATURES = 5
+CLEAR = 1.0  # weights of words that say something by themselves
+BEGINNINGS = (5, 7)  # bytes
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
 DIGITS = b"0123456789"
@@ -44,11 +47,11 @@ HEADS = ("low", "toxic")
 @dataclass(frozen=True)
 class SiteModel:
     """``max_labels`` bounds the training sample: the labelled documents first by a hash of their
-    keys. ``pseudo`` documents pull a word's rates together; ``limit`` is the probability from
+    keys. ``pseudo`` documents of the usual classes are added to those that hold a word; ``limit`` is the probability from
     which a document is rejected."""
 
     max_labels: int = 40_000
-    pseudo: float = 5.0
+    pseudo: float = 3.0
     limit: float = 0.5
     seed: int = 11
 
@@ -72,7 +75,10 @@ def measures(text: str | None) -> np.ndarray:
         min(1.0, np.log2(1 + len(ws)) / 16),
     )
     bins = [BUCKETS + k * BINS + min(BINS - 1, int(BINS * min(1.0, x) ** 0.5)) for k, x in enumerate(style)]
-    hashed = {xxhash.xxh3_64_intdigest(w.strip(EDGES)) & (BUCKETS - 1) for w in set(data.lower().split())}
+    plain = {w.strip(EDGES) for w in set(data.lower().split())}
+    # beginnings stand for the inflected and compound words that a sample has not seen
+    plain |= {b"<" + w[:n] for w in plain for n in BEGINNINGS if len(w) > n}
+    hashed = {xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in plain}
     return np.fromiter((*hashed, *bins), np.uint32, len(hashed) + len(bins))
 
 
@@ -80,10 +86,14 @@ SIZE = BUCKETS + 9 * BINS
 
 
 def evidence(positions: np.ndarray, weights: np.ndarray) -> list[float]:
-    """For a head: the words' sum, their largest weight, and the style's sum."""
+    """For a head: the words' clear weights summed, the largest, the three largest, the logarithm
+    of the number of words, and the style's weights summed."""
     style = positions >= BUCKETS
     words = weights[positions[~style]]
-    return [float(words.sum()), float(words.max(initial=0.0)), float(weights[positions[style]].sum())]
+    return [
+        float(words[words > CLEAR].sum()), float(words.max(initial=0.0)), float(np.sort(words)[-3:].sum()),
+        float(np.log1p(len(words))), float(weights[positions[style]].sum()),
+    ]
 
 
 @dataclass(frozen=True)
@@ -91,7 +101,7 @@ class Classifier:
     """Weights of words and style by head, and the calibration of their evidence."""
 
     weights: np.ndarray  # heads x SIZE
-    coefficients: np.ndarray  # heads x 3
+    coefficients: np.ndarray  # heads x features
     intercepts: np.ndarray
 
     def log_odds(self, text: str | None) -> list[float]:
@@ -162,11 +172,12 @@ def _ratios(table: np.ndarray, size: np.ndarray, pseudo: float) -> np.ndarray:
     weights = np.zeros((len(HEADS), SIZE))
     n, *bads = size
     if n:
-        rate, seen = table[0] / n, table[0] > 0
+        seen = table[0] > 0
         for k, bad in enumerate(bads):
-            one = (table[k + 1] + pseudo * rate) / (bad + pseudo)
-            other = (table[0] - table[k + 1] + pseudo * rate) / (n - bad + pseudo)
-            weights[k, seen] = np.log(one[seen]) - np.log(other[seen])
+            share = (bad + 0.5) / (n + 1)
+            one = table[k + 1] + pseudo * share
+            other = table[0] - table[k + 1] + pseudo * (1 - share)
+            weights[k, seen] = np.log(one[seen] / other[seen]) - np.log(share / (1 - share))
     return weights
 
 
@@ -187,14 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: SiteModel = SiteModel(), key:
 
     second = written(sample.select("low", "toxic", evidences("half", "positions").alias("e")), "quality-evidence")
     totals = second.agg(F.count(F.lit(1)), F.sum("low"), F.sum("toxic")).first()
-    coefficients, intercepts = np.zeros((len(HEADS), 3)), np.zeros(len(HEADS))
+    coefficients, intercepts = np.zeros((len(HEADS), FEATURES)), np.zeros(len(HEADS))
     for k, head in enumerate(HEADS):
         n, bad = totals[0], totals[k + 1] or 0
         if not 0 < bad < n:
             intercepts[k] = np.log((bad + 0.5) / (n - bad + 0.5))
             continue
         rows = second.select(
-            F.col(head).cast("double").alias("label"), array_to_vector(F.slice("e", 3 * k + 1, 3)).alias("features")
+            F.col(head).cast("double").alias("label"), array_to_vector(F.slice("e", FEATURES * k + 1, FEATURES)).alias("features")
         )
         line = LogisticRegression(maxIter=50, regParam=1e-3).fit(rows)
         coefficients[k], intercepts[k] = line.coefficients.toArray(), line.intercept
