@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans, site_bayes
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans, site_bayes
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -82,3 +82,12 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return site_bayes.classify_documents(docs, labels)
+
+
+@query("op7_backoff", backoff.oracle(backoff.Backoff()))
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score_documents(read_table(spark, sf_dir, "documents"), backoff.Backoff())
+    return scored.select(
+        "doc_id", "n_words", (F.round("score", 4) + F.lit(0.0)).alias("score"),
+        (F.round("mean_score", 6) + F.lit(0.0)).alias("mean_score"),
+    )
