@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, rans, site_bayes
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -91,3 +91,9 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", (F.round("score", 4) + F.lit(0.0)).alias("score"),
         (F.round("mean_score", 6) + F.lit(0.0)).alias("mean_score"),
     )
+
+
+@query("op1_multiprobe")
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multiprobe.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
