@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, tool_calls
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -97,3 +97,9 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return multiprobe.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query("op3_tool_calls")
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return tool_calls.link_calls(tool_calls.calls_of(turns), tool_calls.results_of(turns), tool_calls.SCHEMAS)
