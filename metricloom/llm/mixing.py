@@ -107,9 +107,9 @@ def _fill(nodes: DataFrame, levels: tuple[str, ...]) -> DataFrame:
         .select(
             *levels,
             F.when(
-                F.coalesce(F.struct("ratio", levels[-1]) < F.struct(
+                F.col("first_open").isNull() | (F.struct("ratio", levels[-1]) < F.struct(
                     F.col("first_open.ratio").alias("ratio"), F.col(f"first_open.{levels[-1]}").alias(levels[-1])
-                ), F.lit(True)),
+                )),
                 F.col("capacity"),
             ).otherwise(F.floor(F.col("weight") * F.col("first_open.level") + 1e-6)).cast("long").alias("share"),
         )
@@ -225,7 +225,7 @@ def select_documents(
 
 def oracle(mix: Mix) -> str:
     """The same in SQL, leaves sorted whole."""
-    cases = lambda path, own: "CASE " + " ".join(
+    cases = lambda path, own: "CASE WHEN false THEN 0 " + " ".join(
         f"WHEN {path} = '{k}' THEN {w}" for k, w in mix.weights.items()
     ) + " " + " ".join(f"WHEN {own} = '{k}' THEN {w}" for k, w in mix.weights.items()) + f" ELSE {mix.default_weight} END"
     steps = []
