@@ -13,7 +13,8 @@ all tables and buckets are merged, so the answer is that of reranking the union
 candidates. Full buckets are cut into blocks of ``block_rows`` vectors which all visits of the
 bucket see, so a bucket that holds a third of all vectors is spread over tasks, none left out.
 Empty buckets are dropped before a query is sent anywhere, and a task gets a query's vector
-once, however many of its buckets it holds.
+once, however many of its buckets it holds. Queries whose buckets hold fewer than they ask for
+are compared with every block of one table.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def nearest(
     bucket = ["table", "bucket"]
     unit = F.xxhash64("table", "bucket", "block")
     own = placed.join(blocks, bucket).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(
-        F.pmod(unit, F.lit(groups)).cast("int").alias("task"), unit.alias("unit"), "id", "data"
+        F.pmod(unit, F.lit(groups)).cast("int").alias("task"), unit.alias("unit"), "id", "data", "table"
     )
     visits = written(
         asked.dropDuplicates(["id"]).mapInArrow(_visited(hasher, kind), "id long, data binary, table int, buckets array<long>"),
@@ -152,9 +153,18 @@ def nearest(
     # a query has at most tables x probes buckets, so its list in a task is short
     lists = sent.groupBy("id", "task").agg(F.collect_set("unit").alias("units"))
     asked_for = lists.join(visits.where("table = 0").select("id", "data"), "id").select("task", "id", "data", "units")
-    best = own.groupBy("task").cogroup(asked_for.groupBy("task")).applyInArrow(
-        _ranked(k, kind), "query long, id long, score double"
-    )
+    pairs = "query long, id long, score double"
+    best = written(own.groupBy("task").cogroup(asked_for.groupBy("task")).applyInArrow(_ranked(k, kind), pairs), "ann-best")
+    # queries that found too few see every block of one table
+    enough = best.groupBy("query").agg(F.countDistinct("id").alias("found")).where(F.col("found") >= min(k, lengths["n"] - 1))
+    asked_once = visits.where("table = 0").select("id", "data")
+    short = written(asked_once.join(enough, asked_once["id"] == enough["query"], "left_anti"), "ann-short")
+    if not short.isEmpty():
+        everywhere = short.select(
+            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("task"), "id", "data", F.lit(None).cast("array<long>").alias("units")
+        )
+        one = own.where("table = 0")
+        best = best.unionByName(one.groupBy("task").cogroup(everywhere.groupBy("task")).applyInArrow(_ranked(k, kind), pairs))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     merged = best.groupBy("query", "id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
@@ -228,7 +238,7 @@ def _ranked(k: int, kind: str):
             rows_of = dict(zip(units[edges].tolist(), np.split(order, edges[1:]), strict=True))
             visits: dict[int, list[int]] = {}
             for row, wanted in enumerate(asked.column("units").to_pylist()):
-                for unit in wanted:
+                for unit in rows_of if wanted is None else wanted:
                     visits.setdefault(unit, []).append(row)
             found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for unit, askers in visits.items():

@@ -34,6 +34,7 @@ from metricloom.llm.host_rules import prior
 BUCKETS = 1 << 18
 BINS = 16
 FEATURES = 5
+LARGEST = 30.0  # log odds
 CLEAR = 1.0  # weights of words that say something by themselves
 BEGINNINGS = (5, 7)  # bytes
 UPPER = bytes(range(65, 91))
@@ -107,7 +108,7 @@ class Classifier:
     def log_odds(self, text: str | None) -> list[float]:
         positions = measures(text)
         return [
-            float(np.clip(np.dot(evidence(positions, w), c) + b, -30, 30))
+            float(np.clip(np.dot(evidence(positions, w), c) + b, -LARGEST, LARGEST))
             for w, c, b in zip(self.weights, self.coefficients, self.intercepts, strict=True)
         ]
 
@@ -182,8 +183,8 @@ def _ratios(table: np.ndarray, size: np.ndarray, pseudo: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: SiteModel = SiteModel(), key: str = "doc_id", text: str = "text") -> Classifier:
-    """The classifier of a bounded labelled sample. Without labels, or with one class only, the
-    evidence counts for nothing and the odds are those of the class."""
+    """The classifier of a bounded labelled sample. With one class only, the evidence counts for
+    nothing and the odds are those of the class; without labels, every document is good."""
     missing_columns(docs, key, text)
     missing_columns(labels, key, "quality", "toxic")
     sample = training_sample(docs, labels, model, key, text)
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: SiteModel = SiteModel(), key:
     for k, head in enumerate(HEADS):
         n, bad = totals[0], totals[k + 1] or 0
         if not 0 < bad < n:
-            intercepts[k] = np.log((bad + 0.5) / (n - bad + 0.5))
+            intercepts[k] = np.log((bad + 0.5) / (n - bad + 0.5)) if n else -LARGEST
             continue
         rows = second.select(
             F.col(head).cast("double").alias("label"), array_to_vector(F.slice("e", FEATURES * k + 1, FEATURES)).alias("features")
