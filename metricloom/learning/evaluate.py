@@ -162,6 +162,8 @@ def _share(top: Column, total: int) -> Column:
 
 
 def pr_curve(df: DataFrame, positive: Column, score: str) -> DataFrame:
+    """Rows without a score take no part, in the totals neither."""
+    df = df.where(q(score).isNotNull())
     positives, _ = _class_totals(df, positive)
     return threshold_sweep(df, positive, score).select(
         "threshold",
@@ -171,6 +173,8 @@ def pr_curve(df: DataFrame, positive: Column, score: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, positive: Column, score: str) -> DataFrame:
+    """Rows without a score take no part, in the totals neither."""
+    df = df.where(q(score).isNotNull())
     positives, negatives = _class_totals(df, positive)
     return threshold_sweep(df, positive, score).select(
         "threshold",
@@ -180,7 +184,11 @@ def roc_curve(df: DataFrame, positive: Column, score: str) -> DataFrame:
 
 
 def ranking_scores(df: DataFrame, positive: Column, score: str) -> DataFrame:
-    """Area under the ROC curve (ties count half) and average precision, in one row."""
+    """Area under the ROC curve (ties count half) and average precision, in one row.
+
+    Rows without a score take no part.
+    """
+    df = df.where(q(score).isNotNull())
     positives, negatives = _class_totals(df, positive)
     # Negatives of a score lie below all positives of higher scores, and level with its own.
     wins = (F.col("n") - F.col("pos")).cast("double") * (F.col("tp") - F.col("pos") / 2)

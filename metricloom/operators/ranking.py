@@ -62,7 +62,9 @@ def with_range_block(
             handleInvalid="keep",
         )
         cut = cutter.transform(df.withColumn("_block_in", q(keys[0]).cast("double")))
-        return cut.withColumn(name, F.col("_block_out").cast("int")).drop("_block_in", "_block_out")
+        # Nulls sort before all values, so they have the block before all blocks.
+        spot = F.when(q(keys[0]).isNull(), F.lit(-1)).otherwise(F.col("_block_out").cast("int"))
+        return cut.withColumn(name, spot).drop("_block_in", "_block_out")
     kinds = [df.schema[k].dataType for k in keys]
     literals = [F.struct(*[F.lit(v).cast(t) for v, t in zip(b, kinds)]) for b in bounds]
     return df.withColumn(name, _search(F.struct(*[q(k) for k in keys]), literals, 0))
@@ -136,11 +138,12 @@ def hash_ranks(
 ) -> DataFrame:
     """1-based rank by seeded hash of a unique ``key`` within ``by``.
 
-    Hashes are uniform, so their top ten bits cut every group, however large, into 1024
-    even blocks.
+    Hashes are uniform, so their top bits cut every group, however large, into even blocks,
+    four for each shuffle partition and 1024 at least.
     """
     hashed = F.xxhash64(*[q(k) for k in key], F.lit(seed))
-    base = df.withColumn("_hash", hashed).withColumn("_hash_block", F.shiftright("_hash", 54))
+    bits = max(10, (4 * _block_count(df, None) - 1).bit_length())
+    base = df.withColumn("_hash", hashed).withColumn("_hash_block", F.shiftright("_hash", 64 - bits))
     ranked = running(
         base, ["_hash", *key], {name: F.lit(1).cast("long")}, by=by, block="_hash_block"
     )
