@@ -124,12 +124,13 @@ def bucket_avg_by_term(
 def bucket_count_filled(
     df: DataFrame, interval: int, low: int, high: int, time: str = "time"
 ) -> DataFrame:
-    """Sample count per bucket from ``low`` to ``high``; empty buckets count 0."""
+    """Sample count per bucket, of the samples from ``low`` to ``high`` (both included); buckets
+    that overlap the range and hold none count 0."""
     spark = df.sparkSession
     first = low // interval * interval
     grid = spark.range(first, high + 1, interval).withColumnRenamed("id", "key")
     counts = (
-        df.where((q(time) >= first) & (q(time) < high // interval * interval + interval))
+        df.where((q(time) >= low) & (q(time) <= high))
         .groupBy(time_bucket(q(time), interval).alias("key"))
         .agg(F.count(F.lit(1)).alias("doc_count"))
     )

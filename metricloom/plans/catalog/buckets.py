@@ -50,6 +50,18 @@ def bucket_count_filled(spark, sf):
     return b.bucket_count_filled(samples(spark, sf), 60, LOW, HIGH)
 
 
+@query(
+    "bucket_count_bounds",
+    f"""WITH {SQL_SAMPLES} SELECT k AS key, count(time) AS doc_count
+        FROM range({LOW}, {LOW} + 86400, 600) g(k)
+        LEFT JOIN samples ON CAST(floor(time / 600) * 600 AS BIGINT) = k
+          AND time BETWEEN {LOW} + 250 AND {LOW} + 86350 GROUP BY 1""",
+)
+def bucket_count_bounds(spark, sf):
+    """Bounds inside buckets: only samples between them count."""
+    return b.bucket_count_filled(samples(spark, sf), 600, LOW + 250, LOW + 86350)
+
+
 SQL_TOP = f"""{SQL_SAMPLES}, m AS (
       SELECT CAST(floor(time / 600) * 600 AS BIGINT) AS key, instance, avg(value) AS value
       FROM samples GROUP BY 1, 2),
