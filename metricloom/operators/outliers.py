@@ -22,7 +22,6 @@ from metricloom.operators.ranking import exact_quantiles
 from metricloom.operators.scale import fit_pca, fit_standard
 from metricloom.session import cut_lineage
 
-MAX_TREE_ROWS = 100_000
 _TREE = (
     "tree int, feature array<int>, threshold array<double>, low array<int>, high array<int>, "
     "path array<double>"
@@ -107,11 +106,12 @@ def _mean_path(trees: list[dict]):
 def _deal_rows(
     df: DataFrame, key: Sequence[str], trees: int, size: int, count: int, seed: int
 ) -> DataFrame:
-    """Give every tree about 1.5 x ``size`` rows by hash, then keep its ``size`` first.
+    """Deal every tree more than ``size`` rows by hash, then keep its ``size`` first.
 
+    The surplus is six standard deviations of what a hash deals, so no tree comes short.
     Large inputs are thinned by a filter alone. Small ones are dealt several times over.
     """
-    groups = max(1, int(count / (1.5 * size)))
+    groups = max(1, int(count / (size + 6 * math.sqrt(size) + 12)))
     rounds = F.sequence(F.lit(0), F.lit(math.ceil(trees / groups) - 1))
     dealt = df.withColumn("_round", F.explode(rounds))
     hand = F.xxhash64(*[q(k) for k in key], F.col("_round"), F.lit(seed))
@@ -129,16 +129,19 @@ def _grow(rows: np.ndarray, columns: np.ndarray, rng, limit: int) -> dict:
         at = len(feature)
         for column, value in ((feature, 0), (threshold, 0.0), (low, at), (high, at), (path, 0.0)):
             column.append(value)
-        spread = np.ptp(part[:, columns], axis=0) if len(part) else np.zeros(len(columns))
-        open_columns = columns[spread > 0]
+        known = ~np.isnan(part[:, columns])
+        most = np.where(known, part[:, columns], -np.inf).max(axis=0, initial=-np.inf)
+        least = np.where(known, part[:, columns], np.inf).min(axis=0, initial=np.inf)
+        open_columns = columns[most > least]
         if depth >= limit or len(part) <= 1 or not len(open_columns):
             path[at] = depth + average_path(len(part))
             return at
         chosen = int(rng.choice(open_columns))
         values = part[:, chosen]
-        cut = rng.uniform(values.min(), values.max())
-        cut = cut if cut < values.max() else values.min()
-        below = values <= cut
+        lowest, highest = np.nanmin(values), np.nanmax(values)
+        cut = rng.uniform(lowest, highest)
+        cut = cut if cut < highest else lowest
+        below = values <= cut  # missing values go with the higher ones, as in scoring
         feature[at], threshold[at] = chosen, float(cut)
         low[at] = add(part[below], depth + 1)
         high[at] = add(part[~below], depth + 1)
@@ -159,7 +162,10 @@ def fit_isolation_forest(
     bootstrap: bool = False,
     seed: int = 42,
 ) -> IsolationForest:
-    """One tree per task from a bounded sample chosen by hash of the unique ``key``.
+    """One tree per task from a sample chosen by hash of the unique ``key``.
+
+    A task holds its tree's sample: a share as ``max_samples`` makes it grow with the rows.
+    Missing values take the higher side of every cut.
 
     A numeric ``contamination`` puts the cut at that quantile of the training scores.
     """
@@ -169,8 +175,6 @@ def fit_isolation_forest(
         size = max(1, int(max_samples * count))
     elif isinstance(max_samples, int):
         size = min(max_samples, count)
-    if size > MAX_TREE_ROWS:
-        raise ValueError(f"a tree's sample is limited to {MAX_TREE_ROWS} rows")
     wide = len(features)
     used = max(1, int(max_features * wide) if isinstance(max_features, float) else max_features)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
