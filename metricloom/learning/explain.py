@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
 
-MAX_BACKGROUND = 200
-
 
 def background_rows(
     df: DataFrame, features: Sequence[str], key: Sequence[str], n: int = 20, seed: int = 42
 ) -> list[tuple]:
-    """The rows with the smallest hashes: a bounded uniform sample."""
-    if n > MAX_BACKGROUND:
-        raise ValueError(f"at most {MAX_BACKGROUND} background rows")
+    """The ``n`` rows with the smallest hashes: a uniform sample, held by the driver."""
     hashed = F.xxhash64(*[q(k) for k in key], F.lit(seed))
     rows = df.orderBy(hashed, *[q(k) for k in key]).limit(n)
     return [tuple(float(v) for v in r) for r in rows.select(*[q(f) for f in features]).collect()]

@@ -162,12 +162,10 @@ class Classifier:
         return [(f, float(v)) for f, v in zip(self.features, values)]
 
 
-def class_list(df: DataFrame, target: str, limit: int = 10_000) -> list[str]:
+def class_list(df: DataFrame, target: str) -> list[str]:
+    """The classes of a target; a model has a probability for each, so they are few."""
     found = df.select(q(target).cast("string")).where(q(target).isNotNull()).distinct()
-    rows = found.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{target} has too many classes")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in found.collect())
 
 
 def labelled_vectors(
@@ -176,7 +174,9 @@ def labelled_vectors(
     assembler = VectorAssembler(inputCols=list(features), outputCol=_VECTOR)
     codes = F.array(*[F.lit(c) for c in classes])
     label = (F.array_position(codes, q(target).cast("string")) - 1).cast("double")
-    return assembler, assembler.transform(df).withColumn(_LABEL, label)
+    # All classes are named, so that a model knows those absent from its rows, however many.
+    named = {"ml_attr": {"type": "nominal", "name": _LABEL, "vals": list(classes)}}
+    return assembler, assembler.transform(df).withColumn(_LABEL, label).withMetadata(_LABEL, named)
 
 
 def fit_classifier(

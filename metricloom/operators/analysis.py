@@ -245,9 +245,9 @@ def feature_separation(
     columns: Sequence[str],
     anomalous: Column,
     bins: int = 50,
-    first: int = 11,
+    first: int | None = None,
 ) -> DataFrame:
-    """Density histograms of the first features, normal and anomalous rows apart.
+    """Density histograms of all features, or of the ``first``, normal and anomalous rows apart.
 
     Each group has its own range; the last bin includes its upper edge, and a group
     without spread gets the range value -0.5 .. value +0.5.
@@ -265,7 +265,7 @@ def feature_separation(
         F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     )
-    # At most two groups of ``first`` features.
+    # Two groups of features at most: as many rows as the frame has columns, twice.
     placed = long.join(F.broadcast(ranges), ["anomaly", "feature"])
     width = (F.col("high") - F.col("low")) / bins
     spot = F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from metricloom.functions.scalars import filled, numeric_columns, present, q, string_columns
 from metricloom.operators.ranking import ordinal_codes, running
 
-MAX_ONE_HOT_COLUMNS = 2000
 
 
 def column_list(spec: str | Iterable[str]) -> list[str]:
@@ -109,17 +108,22 @@ def one_hot(
     """0/1 columns ``column=value`` for every value of the string columns."""
     columns = list(columns) if columns is not None else string_columns(df)
     made: dict[str, Column] = {}
-    for name in columns:
-        found = df.select(q(name)).distinct().dropna().limit(MAX_ONE_HOT_COLUMNS + 1).collect()
-        if len(found) > MAX_ONE_HOT_COLUMNS:
-            raise ValueError(f"{name} has too many values for columns; use ordinal_encode")
-        for value in sorted(r[0] for r in found):
-            hit = q(name).eqNullSafe(F.lit(value)).cast("double")
-            made[f"{name}={value}"] = hit
+    # Every value becomes a column, so the values are as many as the plan is to have columns.
+    found = distinct_values(df, {name: q(name) for name in columns}).collect() if columns else []
+    for name, value in sorted(tuple(r) for r in found):
+        made[f"{name}={value}"] = (q(name).cast("string") == F.lit(value)).eqNullSafe(F.lit(True)).cast("double")
     kept = [c for c in df.columns if not (replace and c in columns)]
     return df.select(*[q(c) for c in kept], *[made[m].alias(m) for m in sorted(made)])
 
 
+def distinct_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(column, value): the distinct non-null values of all columns, as text, in one pass."""
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("column"), c.cast("string").alias("value")) for n, c in columns.items()
+    ]))
+    return df.select(cells.alias("cell")).select("cell.*").where("value IS NOT NULL").distinct()
+
+
 def ordinal_encode(df: DataFrame, column: str, code: str | None = None) -> DataFrame:
     """Replace values by their 0-based rank among the sorted distinct values."""
     return _attach_codes(df, ordinal_codes(df, column, "_code"), column, code)

@@ -264,24 +264,24 @@ def _link_block(ids: np.ndarray, core: np.ndarray, other: np.ndarray, near: np.n
     )
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v): every u with the smallest node v of its component.
 
     Alternates the two star contractions of Kiveris et al. (2014): all neighbours are
     re-hung from the smallest one, first the larger, then the smaller ones. Each is a
-    minimum per node and a join back to it; no neighbour list is ever collected.
+    minimum per node and a join back to it; no neighbour list is ever collected. The rounds
+    end, for each either hangs a node from a smaller one or changes nothing.
     """
     state = cut_lineage(edges.where("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         state = cut_lineage(_small_star(_large_star(state)))
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             return state
         before = mark
-    raise RuntimeError("components did not settle")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

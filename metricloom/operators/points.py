@@ -23,8 +23,6 @@ DEFAULT_RULES = [
     ("free", "lower", 1e8),
 ]
 
-MAX_RULES = 1000
-
 
 def point_threshold(
     samples: DataFrame,
@@ -38,8 +36,6 @@ def point_threshold(
     A rule is (part of name, ``upper`` or ``lower``, threshold). The rules travel with the
     plan as one bounded array, so samples are never shuffled.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     if not rules:
         rules, samples = [("", "upper", 0.0)], samples.where(F.lit(False))
     table = F.array(

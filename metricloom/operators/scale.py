@@ -347,11 +347,8 @@ def train_test_split(
 
 
 def _class_sizes(df: DataFrame, target: str) -> dict:
-    """Class counts; classes are few by definition, and checked to be."""
-    rows = df.groupBy(q(target)).count().limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError(f"{target} has too many classes")
-    return {r[0]: r[1] for r in rows}
+    """Class counts, a number for each class of the target."""
+    return {r[0]: r[1] for r in df.groupBy(q(target)).count().collect()}
 
 
 def _cap_classes(

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import nominal_text, q, string_columns
-
-MAX_NOMINAL_VALUES = 10_000
+from metricloom.operators.clean import distinct_values
 
 
 def write_csv(df: DataFrame, path: str, key: str | None = None) -> None:
@@ -46,15 +45,17 @@ def arff_lines(
             value = nominal_text(value)
         return F.coalesce(value, F.lit("?")) if clean_null else F.coalesce(value, F.lit("nan"))
 
+    listed: dict[str, list[str]] = {name: [] for name in nominal}
+    if nominal:
+        # The header lists every value of the nominal columns, found in one pass.
+        for name, value in distinct_values(df, {n: text(n) for n in sorted(nominal)}).collect():
+            listed[name].append(value)
     header = [f"@relation {relation}"]
     for name in df.columns:
         if name not in nominal:
             header.append(f"@attribute {name} real")
             continue
-        found = df.select(text(name)).distinct().limit(MAX_NOMINAL_VALUES + 1).collect()
-        if len(found) > MAX_NOMINAL_VALUES:
-            raise ValueError(f"{name} has too many values for a nominal attribute")
-        values = ",".join(sorted(r[0] for r in found)).replace("[", "").replace("]", "")
+        values = ",".join(sorted(listed[name])).replace("[", "").replace("]", "")
         header.append(f"@attribute {name}{{{values}}}")
     header.append("@data")
     strings = set(string_columns(df, exclude=()))
