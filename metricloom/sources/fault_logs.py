@@ -9,9 +9,9 @@ from metricloom.functions.scalars import q
 
 # The two line formats of the fault injector.
 _PREFIX = (
-    r"(?P<t>[+-]?\d+(?:\.\d+)?)\s+anomalies\.py:(\d+)\s+"
+    r"([+-]?\d+(?:\.\d+)?)\s+anomalies\.py:(\d+)\s+"
     r"(TRACE|DEBUG|NOTICE|INFO|WARN(?:ING)?|ERR(?:OR)?|CRIT(?:ICAL)?|FATAL)\s+(\w+) (\w+) "
-).replace("?P<t>", "")
+)
 _WITH_OPTIONS = _PREFIX + r"with options (.*) and uuid (.*)"
 _FOR = _PREFIX + r"of uuid (.*) for"
 
