@@ -6,7 +6,7 @@ before augmentation, in training and in detection alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -126,6 +126,12 @@ def train(df: DataFrame, spec: RunSpec) -> DataFrame:
     return frame
 
 
+def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = None) -> DataFrame:
+    """The frame with every named column, the absent ones holding ``value``."""
+    absent = [F.lit(value).cast("double").alias(c) for c in names if c not in df.columns]
+    return df.select(*[q(c) for c in df.columns], *absent) if absent else df
+
+
 def detect(df: DataFrame, spec: RunSpec) -> DataFrame | None:
     """Anomaly records of new rows, or None where no model was saved."""
     spark = df.sparkSession
@@ -134,14 +140,11 @@ def detect(df: DataFrame, spec: RunSpec) -> DataFrame | None:
     model = store.load_forest(spark, path) if forest else store.load_classifier(spark, path)
     if model is None:
         return None
-    frame = shape(df, spec, False)
-    if spec.scaler:
-        scaler = AffineScaler.load(spark, _scaler_path(spec))
-        frame = scaler.transform(frame) if scaler else frame
-    frame = _augmented(frame, spec)
-    for name in model.features:
-        if name not in frame.columns:
-            frame = frame.withColumn(name, F.lit(0.0))
+    scaler = AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None
+    # A series that has gone missing is filled and scaled like any other gap.
+    frame = shape(_with_columns(df, scaler.params if scaler else ()), spec, False)
+    frame = _augmented(scaler.transform(frame) if scaler else frame, spec)
+    frame = _with_columns(frame, model.features, 0.0)
     judged = model.predict(frame.select(q(spec.time), *[q(c) for c in model.features]))
     found = detect_outliers(judged, time=spec.time) if forest else detect_classes(judged, time=spec.time)
     return anomaly_records(found, spec.method, spec.export, spec.interval)
