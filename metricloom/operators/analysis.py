@@ -21,6 +21,20 @@ from metricloom.operators.scale import fit_pca, fit_standard
 # the Shapiro-Wilk statistic, lowest power first.
 _WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 _WEIGHT_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+# Wichura's 1988 rational approximation to normal quantiles (AS 241), highest power
+# first: numerator and denominator for the middle, and for the tails.
+_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867,
+     5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
+)
+_TAIL = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258,
+     3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+     6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
 _RANKS_PER_CHUNK = 65_536
 _SCORE_SUMS = T.StructType(
     [T.StructField("m", T.DoubleType()), T.StructField("m2", T.DoubleType())]
@@ -130,17 +144,30 @@ def corr_kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
+def normal_quantiles(shares: np.ndarray) -> np.ndarray:
+    """Standard normal quantiles of shares between 0 and 1."""
+    middle = shares - 0.5
+    inner = 0.180625 - middle * middle
+    out = middle * np.polyval(_MIDDLE[0], inner) / np.polyval(_MIDDLE[1], inner)
+    tail = np.abs(middle) > 0.425
+    depth = np.sqrt(-np.log(np.minimum(shares[tail], 1 - shares[tail])))
+    size = np.polyval(_TAIL[0], depth - 1.6) / np.polyval(_TAIL[1], depth - 1.6)
+    for i in np.flatnonzero(depth > 5):  # shares below 1.4e-11
+        size[i] = abs(NormalDist().inv_cdf(min(shares[tail][i], 1 - shares[tail][i])))
+    out[tail] = np.copysign(size, middle[tail])
+    return out
+
+
 @F.pandas_udf(_SCORE_SUMS)
 def _normal_scores(
     batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
 ) -> Iterator[pd.DataFrame]:
     """Sums of expected normal order scores, and of their squares, over a rank range."""
-    quantile = NormalDist().inv_cdf
     for first, last, count in batches:
         sums, squares = [], []
         for lo, hi, n in zip(first, last, count):
             shares = (np.arange(lo, hi + 1) - 0.375) / (n + 0.25)
-            scores = np.fromiter((quantile(s) for s in shares), float, len(shares))
+            scores = normal_quantiles(shares)
             sums.append(scores.sum())
             squares.append(float(scores @ scores))
         yield pd.DataFrame({"m": sums, "m2": squares})

@@ -113,16 +113,17 @@ def label_intervals(
         .groupBy("level", "node")
         .agg(F.max("mark").alias("mark"))
     )
-    times = df.select(q(time).cast("double").alias("_t")).where("_t IS NOT NULL").distinct()
-    floor = F.floor("_t")
-    spot = (floor * 2 + (F.col("_t") != floor).cast("int")).alias("spot")
-    probes = times.select("_t", spot, F.explode(levels).alias("level")).selectExpr(
-        "_t", "level", "shiftright(spot, level) AS node"
+    # Times share few coordinates, two a second, so those are looked up and not the times.
+    value = q(time).cast("double")
+    spot = F.floor(value) * 2 + (value != F.floor(value)).cast("int")
+    spots = df.select(spot.alias("_spot")).where("_spot IS NOT NULL").distinct()
+    probes = spots.select("_spot", F.explode(levels).alias("level")).selectExpr(
+        "_spot", "level", "shiftright(_spot, level) AS node"
     )
     marks = (
-        probes.join(nodes, ["level", "node"]).groupBy("_t").agg(F.max("mark").alias("_mark"))
+        probes.join(nodes, ["level", "node"]).groupBy("_spot").agg(F.max("mark").alias("_mark"))
     )
-    joined = df.join(marks, q(time).cast("double") == F.col("_t"), "left")
+    joined = df.join(marks, spot == F.col("_spot"), "left")
     label = F.coalesce(F.col("_mark.label"), F.lit(default))
     return joined.select(*[q(c) for c in df.columns if c != target], label.alias(target))
 
