@@ -4,8 +4,8 @@ Documents with equal shingle sets are one node from the start. Every node gets `
 of ``depth`` MinHash values, and in each tree the nodes are put in the order of their labels.
 Neighbours in an order share the longest prefixes, so the next ``reach`` nodes are what a
 descent to the depth at which the region holds that many would find: a few values deep where
-few are alike, as deep as the labels go among many copies. Neighbours must share a first value,
-have sizes that allow the threshold, and agree in enough values of the whole signature (five
+few are alike, as deep as the labels go among many copies. Neighbours must share so many values,
+have sizes that allow the threshold, and agree in enough values of the whole signature (four
 standard deviations below the threshold still pass). Ties of labels are put in a different
 random order in each tree.
 
@@ -34,6 +34,7 @@ from metricloom.operators.neighbours import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 13
+FIRST_TREES = 4  # whose nearest candidates are confirmed before all others
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Forest:
     def least(self) -> int:
         """Equal values of the whole signature that a candidate needs."""
         n, t = self.trees * self.depth, self.percent / 100
-        return max(1, int(np.floor(n * t - 5 * np.sqrt(n * t * (1 - t)))))
+        return max(1, int(np.floor(n * t - 4 * np.sqrt(n * t * (1 - t)))))
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -107,7 +108,7 @@ def nodes(docs: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
 
 def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
     """(a, b, near) of (id, n_shingles, signature): each pair of neighbours once; near = 0 where
-    one is the other's first candidate in some tree."""
+    one is the other's first candidate in one of the first trees."""
     width = forest.depth * 4
     trees = F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.substring("signature", t * width + 1, width).alias("label"))
@@ -129,8 +130,7 @@ def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
             if not batch.num_rows:
                 continue
             fresh = {
-                "head": np.array([x[:4] for x in batch.column(1).to_pylist()], "S4").view(">u4").astype(np.int64)
-                if batch.num_rows else None,
+                "label": np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(batch.num_rows, -1),
                 "tree": batch.column(0).to_numpy(), "id": batch.column(2).to_numpy(),
                 "n": batch.column(3).to_numpy(),
                 "sketch": np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1),
@@ -150,20 +150,38 @@ def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _close(rows: dict, old: int, percent: int, least: int, reach: int):
-    """Pairs of rows at most ``reach`` apart whose later one is at ``old`` or after."""
+    """Pairs of rows at most ``reach`` apart whose later one is at ``old`` or after.
+
+    A row's depth is one value more than it shares with the row ``reach`` ahead: so deep, its
+    region holds no more than that. Rows that share less are no candidates; the next two are
+    in any case, for among equal labels there is no depth that tells rows apart.
+    """
     total = len(rows["id"])
+    label, tree = rows["label"], rows["tree"]
+
+    def shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        same = label[left] == label[right]
+        same[:, 0] &= tree[left] == tree[right]
+        return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+    here = np.arange(total)
+    depth = np.ones(total, np.int64)
+    depth[: max(0, total - reach)] = shared(here[: max(0, total - reach)], here[reach:]) + 1
     first = np.ones(total, bool)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for lag in range(1, min(reach, total - 1) + 1):
         left = np.arange(max(0, old - lag), total - lag)
         right = left + lag
         n, m = rows["n"][left], rows["n"][right]
-        fits = (rows["tree"][left] == rows["tree"][right]) & (rows["head"][left] == rows["head"][right])
-        fits &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        left, right = left[fits], right[fits]
+        deep = shared(left, right)
+        fits = (deep >= depth[left]) | ((deep > 0) & (lag <= 2))
         left, right = left[fits], right[fits]
         alike = (rows["sketch"][left] == rows["sketch"][right]).sum(axis=1) >= least
         left, right = left[alike], right[alike]
-        out.append((rows["id"][left], rows["id"][right], np.where(first[left], 0, 1).astype(np.int32)))
+        near = np.where(first[left] & (tree[left] < FIRST_TREES), 0, 1)
+        out.append((rows["id"][left], rows["id"][right], near.astype(np.int32)))
         first[left] = False
     if not out:
         none = np.zeros(0, np.int64)
