@@ -34,6 +34,7 @@ from metricloom.operators.neighbours import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 13
+FILTER_BITS = 1 << 23
 FIRST_TREES = 4  # whose nearest candidates are confirmed before all others
 
 
@@ -241,7 +242,7 @@ def near_duplicates(
     )
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = docs.select(q(key).cast("long").alias("id"), q(text).cast("string").alias("text"))
-    texts = written(rows.join(ends, "id").dropDuplicates(["id"]), "forest-texts")
+    texts = written(_touched(rows, ends).join(ends, "id").dropDuplicates(["id"]), "forest-texts")
     links = written(confirmed(pairs.where("near = 0"), texts, forest), "forest-links")
     roots = _roots(links)
     side = lambda end: roots.select(F.col("u").alias(end), F.col("v").alias(f"root_{end}"))
@@ -263,6 +264,21 @@ def near_duplicates(
     )
 
 
+def _touched(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows whose id may be among ``ends``: all that are, and some others by the collision of
+    hashes. A bit for each hash, 1 MB in all however many ids there are, spares most texts the
+    shuffle of the exact join that follows."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    marks = ends.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")
+    )
+    placed = rows.withColumn("bucket", F.bitmap_bucket_number(spot)).withColumn("place", F.bitmap_bit_position(spot))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.expr("cast(place % 8 as int)")
+    found = placed.join(F.broadcast(marks), "bucket").withColumn("byte", byte).withColumn("bit", bit)
+    return found.where(F.expr("shiftright(byte, bit) & 1") == 1).select("id", "text")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
