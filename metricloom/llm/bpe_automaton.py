@@ -294,10 +294,10 @@ def decode_ids(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> Data
     return found.withColumnRenamed("id", key) if key != "id" else found
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:

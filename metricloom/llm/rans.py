@@ -25,13 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.bpe_automaton import ROWS, UNITS, Recent, _parts, read_vocabulary
+from metricloom.llm.bpe_automaton import ROWS, UNITS, _parts, read_vocabulary
 from metricloom.llm.common import missing_columns, q
 
 SEGMENT_IDS = 1 << 22
-BLOCK_IDS = 1 << 17
-LANES = 512
+BLOCK_IDS = 1 << 19
+LANES = 2048
 CHECKPOINT_STEPS = 128
+KEPT_IDS = 500_000  # units in each of two generations that a worker keeps
 LOW = 31  # states stay in [2**LOW, 2**(LOW + 32))
 
 
@@ -169,42 +170,63 @@ class LibraryIds:
         )
         import re
 
-        self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in data.get("added_tokens", [])}
-        names = sorted(self.special, key=len, reverse=True)
+        self.special = {"\n" + t["content"]: array("I", [t["id"]]).tobytes() for t in data.get("added_tokens", [])}
+        names = sorted((t[1:] for t in self.special), key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else "(?!)")
-        self.recent = Recent(None)
+        self.recent: dict[str, bytes] = dict(self.special)
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [array("I", x.ids).tobytes() for x in self._library(texts)]
-        units = [self._units(t) for t in texts]
-        known, old = self.recent, self.recent.old
-        new = list({u for each in units for u in each if u not in known and u not in old and u not in self.special})
-        fresh = {u: array("I", x.ids).tobytes() for u, x in zip(new, self._library(new), strict=True)}
-        fresh |= self.special
-        out = []
-        for each in units:
-            out.append(b"".join([known.get(u) or fresh.get(u) or self._older(u) for u in each]))
-        for unit, ids in fresh.items():
-            known.put(unit, ids)
-        return out
-
-    def _older(self, unit: str) -> bytes:
-        """From the older generation; kept again as recent."""
-        ids = self.recent.old[unit]
-        if len(self.recent) < self.recent.limit:
-            self.recent[unit] = ids
-        return ids
+        keys = [self._keys(t) for t in texts]
+        if len(self.recent) >= KEPT_IDS:
+            self.old, self.recent = self.recent, dict(self.special)
+        self._learn(set().union(*keys).difference(self.recent))
+        look = self.recent.__getitem__
+        return [b"".join(map(look, each)) for each in keys]
+
+    def _learn(self, keys: set[str]) -> None:
+        """Make units recent: those remembered from before, and those the library is asked for.
+
+        A full stop or comma after a letter is a word of its own, so such a unit is two.
+        """
+        recent, old = self.recent, self.old
+        again = keys & old.keys()
+        recent.update(zip(again, map(old.__getitem__, again), strict=True))
+        keys -= again
+        ended = {k for k in keys if k[-1] in ".," and k[-2:-1].isalpha()}
+        parts = (keys - ended) | {k[:-1] for k in ended} | ({"\n.", "\n,"} if ended else set())
+        new = list(parts.difference(recent).difference(old))
+        found = self._library([k[1:] if k[0] == "\n" else " " + k for k in new])
+        recent.update(zip(new, [array("I", x.ids).tobytes() for x in found], strict=True))
+        known = lambda k: recent.get(k) or old[k]
+        recent.update([(k, known(k[:-1]) + known("\n" + k[-1])) for k in ended])
 
     def _library(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
-    def _units(self, text: str) -> list[str]:
-        if not self.special or not any(t in text for t in self.special):
-            return UNITS.findall(text)
-        return [
-            u for part in self.cut.split(text) for u in ([part] if part in self.special else UNITS.findall(part))
-        ]
+    def _keys(self, text: str) -> list[str]:
+        """The units of a text: a word for a unit of a space and the word, and otherwise the unit
+        after a line break. Words with one space or line break between them, and nothing else,
+        need no pattern."""
+        flat = text.replace("\n", " ")
+        words = flat.split(" ")
+        if words != flat.split() or any(t[1:] in text for t in self.special):
+            parts = self.cut.split(text)
+            units = [u for p in parts for u in ([p] if "\n" + p in self.special else UNITS.findall(p))]
+            return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else "\n" + u for u in units]
+        if "\n" not in text:
+            words[0] = "\n" + words[0]
+            return words
+        keys: list[str] = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = "\n" + words[0]
+            keys += words
+            keys.append("\n\n")
+        keys.pop()
+        return keys
 
 
 _ENCODERS: dict[int, LibraryIds] = {}
@@ -253,7 +275,7 @@ def write_ids(
         keys: list = []
         held: list[bytes] = []
         size = offset = number = 0
-        for some in _parts(batches):
+        for some in _parts(batches, 512):
             keys.extend(some.column(0).to_pylist())
             found = [ids + last for ids in encoder.encode(some.column(1).to_pylist())]
             held.extend(found)
