@@ -9,13 +9,21 @@ have sizes that allow the threshold, and agree in enough values of the whole sig
 standard deviations below the threshold still pass). Ties of labels are put in a different
 random order in each tree.
 
+Where more nodes than that share the first ``crowd`` values, the nodes next to each other are not enough: one
+original may be linked with each of thousands of copies that are not linked with one another.
+Such crowded regions that hold several groups after the orders' links are worked through until
+every pair in them is settled. First all members meet the region's leaders, the nodes whose
+signatures are alike to most others'. What is still apart then is compared pair by pair on the
+full sets, in blocks of bounded size, each with each.
+
 Every candidate is confirmed on the full shingle sets. The candidates nearest in each order
 come first; the others are confirmed only where they would join different groups, so that a
 group of thousands ships each text a few times, not once for every pair.
 
 Texts are read where they lie for signatures. After that only labels are shuffled, and once the
-texts of nodes with candidates. No task holds a group: orders are cut by range, anywhere. A pair
-that a cut parts is still next to each other in the other trees.
+texts of nodes with candidates; texts of crowded regions that stay open go once to each pair of
+blocks. No task holds a group: orders are cut by range, anywhere, and regions into blocks. A
+pair that a cut parts is still next to each other in the other trees.
 """
 
 from __future__ import annotations
@@ -36,6 +44,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 13
 FILTER_BITS = 1 << 23
 FIRST_TREES = 4  # whose nearest candidates are confirmed before all others
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 10, 1 << 20  # of a crowded region's block
+LEADERS, LEADER_ROUNDS = 2, 2  # what they leave apart is compared pair by pair
+COLUMNS = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -46,6 +57,7 @@ class Forest:
     percent: int = 80
     trees: int = 12
     depth: int = 5
+    crowd: int = 3
     reach: int = 16
     seed: int = 29
 
@@ -107,9 +119,8 @@ def nodes(docs: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(signed, "id long, n_shingles long, node_key binary, signature binary")
 
 
-def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """(a, b, near) of (id, n_shingles, signature): each pair of neighbours once; near = 0 where
-    one is the other's first candidate in one of the first trees."""
+def _labelled(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(tree, label, id, n_shingles, sketch) of (id, n_shingles, signature), a row for each tree."""
     width = forest.depth * 4
     trees = F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.substring("signature", t * width + 1, width).alias("label"))
@@ -119,9 +130,15 @@ def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
     sketch = F.unhex(F.concat(*[
         F.hex(F.substring("signature", 4 * k + 4, 1)) for k in range(forest.trees * forest.depth)
     ]))
-    rows = nodes.select("id", "n_shingles", sketch.alias("sketch"), "signature").select(
+    return nodes.select("id", "n_shingles", sketch.alias("sketch"), "signature").select(
         "id", "n_shingles", "sketch", trees
     ).select(F.col("t.tree").alias("tree"), F.col("t.label").alias("label"), "id", "n_shingles", "sketch")
+
+
+def candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b, near) of (id, n_shingles, signature): each pair of neighbours once; near = 0 where
+    one is the other's first candidate in one of the first trees."""
+    rows = _labelled(nodes, forest)
     order = ["tree", "label", F.xxhash64("tree", "id")]
     percent, least, reach = forest.percent, forest.least, forest.reach
 
@@ -249,10 +266,8 @@ def near_duplicates(
     apart = pairs.where("near = 1").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
     )
-    more = written(confirmed(apart, texts, forest), "forest-more")
-    if not more.isEmpty():
-        # earlier groups stand for their members
-        roots = _roots(more.unionByName(roots.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    roots = _merged(roots, written(confirmed(apart, texts, forest), "forest-more"))
+    roots = _settled(_crowds(groups.select(F.col("node").alias("id"), "n_shingles", "signature"), forest), roots, rows, forest)
     members = known.select("id", "node_key").join(groups.select("node_key", "node"), "node_key")
     # rows of one key with different texts tie their nodes together
     found = members.join(roots, members["node"] == roots["u"], "left").select(
@@ -264,11 +279,148 @@ def near_duplicates(
     )
 
 
-def _touched(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """The rows whose id may be among ``ends``: all that are, and some others by the collision of
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    if more.isEmpty():
+        return roots
+    # earlier groups stand for their members
+    return _roots(more.unionByName(roots.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+
+
+def _crowds(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(region, blocks, id, n_shingles, sketch): where more than ``reach`` nodes share the
+    first ``crowd`` values of a tree."""
+    region = F.xxhash64("tree", F.substring("label", 1, 4 * forest.crowd)).alias("region")
+    rows = _labelled(nodes, forest).select(region, "id", "n_shingles", "sketch")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sized = rows.groupBy("region").agg(F.count(F.lit(1)).alias("nodes"), blocks.alias("blocks"))
+    crowded = written(sized.where(F.col("nodes") > forest.reach).drop("nodes"), "forest-regions")
+    return written(_touched(rows, crowded, "region").join(crowded, "region"), "forest-crowds")
+
+
+def _open(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of regions that hold more than one group, each with its group's root."""
+    rooted = crowds.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")
+    )
+    several = rooted.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return written(rooted.join(several.select("region"), "region", "left_semi"), "forest-open")
+
+
+def _settled(crowds: DataFrame, roots: DataFrame, rows: DataFrame, forest: Forest) -> DataFrame:
+    """The roots after all links inside crowded regions."""
+    texts = None
+    for turn in range(LEADER_ROUNDS + 1):
+        still = _open(crowds, roots)
+        if still.isEmpty():
+            return roots
+        if texts is None:
+            ends = still.select("id").distinct()
+            texts = written(_touched(rows, ends).join(ends, "id").dropDuplicates(["id"]), "forest-open-texts")
+        if turn < LEADER_ROUNDS:
+            found = confirmed(_led(still, forest), texts, forest)
+        else:
+            found = _compared(still, texts, forest)
+        roots = _merged(roots, written(found, "forest-crowd-links"))
+    return roots
+
+
+def _led(members: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): members and the leaders of their region that are of another group and alike enough."""
+    percent, least = forest.percent, forest.least
+    wanted = forest.trees * forest.depth * percent / 100
+
+    def central(key: tuple, block: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(block.num_rows, -1)
+        root = block.column("root").to_numpy()
+        equal = np.zeros((len(root), len(root)), np.uint16)
+        for column in sketch.T:
+            equal += column[:, None] == column[None, :]
+        alike = ((equal >= wanted) & (root[:, None] != root[None, :])).sum(axis=1)
+        top = np.lexsort((block.column("id").to_numpy(), -alike))[:LEADERS]
+        chosen = block.take(pa.array(top)).select(["region", "id", "n_shingles", "root", "sketch"])
+        return chosen.append_column("score", pa.array(alike[top] / len(root)))
+
+    kinds = "region long, id long, n_shingles long, root long, sketch binary"
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    leaders = members.withColumn("block", block).groupBy("region", "block").applyInArrow(central, f"{kinds}, score double")
+    few = leaders.groupBy("region").agg(F.sort_array(F.collect_list(
+        F.struct((-F.col("score")).alias("score"), "id", "n_shingles", "root", "sketch")
+    )).alias("leaders")).withColumn("leaders", F.slice("leaders", 1, LEADERS))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for node, n, root, sketch, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(sketch, np.uint8)
+                for x in some:
+                    if x["root"] == root or 100 * min(n, x["n_shingles"]) < percent * max(n, x["n_shingles"]):
+                        continue
+                    if (np.frombuffer(x["sketch"], np.uint8) == own).sum() >= least:
+                        a.append(min(node, x["id"]))
+                        b.append(max(node, x["id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    both = members.join(few, "region").select("id", "n_shingles", "root", "sketch", "leaders")
+    return both.mapInArrow(met, "a long, b long").distinct()
+
+
+def _compared(members: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): links that join all that is linked within a region, from every pair of its blocks."""
+    others = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda i: F.struct(F.least(i, "block").alias("p"), F.greatest(i, "block").alias("q")),
+    )
+    pairs = F.filter(others, lambda x: (x["p"] < x["q"]) | (F.col("blocks") == 1))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(
+        "region", "id", F.explode(pairs).alias("x")
+    ).select("region", "x.p", "x.q", "id")
+
+    def linked(key: tuple, both: pa.Table) -> pa.Table:
+        ids = both.column("id").to_numpy()
+        sets = [shingles(text.as_py(), forest.shingle) for text in both.column("text")]
+        a, b = _forest_of(sets, forest.percent)
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return dealt.join(texts, "id").groupBy("region", "p", "q").applyInArrow(linked, "a long, b long")
+
+
+def _forest_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all sets which are linked over any of the others. Common items of all
+    pairs are products of a 0/1 matrix, a few columns at a time."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[column]], place[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[some], column[some] - low] = 1
+        common += part @ part.T
+    left, a, b = np.ones(len(sets), bool), [], []
+    for start in range(len(sets)):
+        front = [start] if left[start] else []
+        left[start] = False
+        while front:
+            at = front.pop()
+            both = common[at].astype(np.int64)
+            reached = np.flatnonzero(left & (100 * both >= percent * (sizes[at] + sizes - both)))
+            left[reached] = False
+            a.extend([at] * len(reached))
+            b.extend(reached.tolist())
+            front.extend(reached.tolist())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _touched(rows: DataFrame, ends: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key may be among ``ends``: all that are, and some others by the collision of
     hashes. A bit for each hash, 1 MB in all however many ids there are, spares most texts the
     shuffle of the exact join that follows."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     marks = ends.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")
     )
@@ -276,7 +428,7 @@ def _touched(rows: DataFrame, ends: DataFrame) -> DataFrame:
     byte = F.expr("cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)")
     bit = F.expr("cast(place % 8 as int)")
     found = placed.join(F.broadcast(marks), "bucket").withColumn("byte", byte).withColumn("bit", bit)
-    return found.where(F.expr("shiftright(byte, bit) & 1") == 1).select("id", "text")
+    return found.where(F.expr("shiftright(byte, bit) & 1") == 1).select(*rows.columns)
 
 
 def _roots(links: DataFrame) -> DataFrame:

@@ -219,6 +219,27 @@ def test_groups_of_edited_copies(spark):
     assert got == {(k, *v) for k, v in components_of(texts, 3, 85).items()}
 
 
+@pytest.mark.parametrize("leader_rounds", [lsh_forest.LEADER_ROUNDS, 0])
+def test_stars_of_copies(spark, monkeypatch, leader_rounds):
+    """Each copy is linked with its original and with hardly any other copy; without leaders the
+    comparison of all blocks finds the same."""
+    monkeypatch.setattr(lsh_forest, "LEADER_ROUNDS", leader_rounds)
+    monkeypatch.setattr(lsh_forest, "BLOCK_NODES", 200)
+    random = np.random.default_rng(4)
+    texts, want = {}, {}
+    for size in (30, 100, 300) if leader_rounds == 0 else (30, 100, 300, 1000, 3000):
+        first, text = len(texts), [f"{size}w{i}" for i in random.integers(0, 5000, 302)]
+        for copy in range(size + 1):
+            own = list(text)
+            for place in random.choice(np.arange(2, 300, 4), 7 if copy else 0, replace=False):
+                own[place] = f"new{random.integers(1 << 60)}"
+            want[len(texts)] = first
+            texts[len(texts)] = " ".join(own)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    found = lsh_forest.near_duplicates(frame, lsh_forest.Forest(shingle=3, percent=85)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 # --- language model -----------------------------------------------------------------------------
 
 
