@@ -1,7 +1,10 @@
 """Nearest neighbours by inner product: multiprobe hashing with p-stable projections.
 
 Vectors get one more component that makes all of them equally long, so that the largest inner
-product becomes the smallest distance; queries get a zero there. A table hashes a vector by
+product becomes the smallest distance; queries get a zero there. That holds within a band of
+lengths, each at most ``band`` times the least, scaled to its longest; so a few long vectors do not
+move the others out of the queries' reach, and a query, scaled to length one, visits the same
+buckets in every band. Bands of at most ``block_rows`` vectors are seen by every query. A table hashes a vector by
 ``hashes`` rounded Gaussian projections. A query visits its own bucket and the buckets whose
 perturbation is likeliest to hold neighbours: its projections' distances to their cell
 borders, sorted, are matched with a sequence of perturbation sets in the order of the expected
@@ -33,13 +36,14 @@ from metricloom.llm.common import missing_columns, q, written
 
 @dataclass(frozen=True)
 class Multiprobe:
-    """``width`` is a cell's width in root mean square lengths of the vectors. The defaults reach a
+    """``width`` is a cell's width in lengths of the band's longest vector. The defaults reach a
     recall of 0.95 and more on vectors without structure; clustered ones need fewer probes."""
 
     tables: int = 6
     hashes: int = 8
     width: float = 2.5
     probes: int = 80
+    band: float = 1.25
     block_rows: int = 2048
     group_rows: int = 1 << 14
     seed: int = 5
@@ -68,23 +72,34 @@ def perturbations(hashes: int, probes: int) -> list[tuple[int, ...]]:
 
 
 class _Hasher:
-    def __init__(self, dim: int, model: Multiprobe, longest: float, scale: float):
+    def __init__(self, dim: int, model: Multiprobe, longest: float):
         random = np.random.default_rng(model.seed)
-        self.model, self.longest, self.width = model, longest, model.width * scale
+        self.model, self.longest, self.width = model, longest, model.width
+        self.few = np.zeros(0, np.int64)  # bands that every query sees
         shape = (model.tables, dim + 1, model.hashes)
         self.lines = random.normal(size=shape)
         self.shifts = random.uniform(0, self.width, (model.tables, model.hashes))
         self.factors = random.integers(1 << 40, 1 << 62, (model.tables, model.hashes), np.int64) | 1
         self.sets = perturbations(model.hashes, model.probes)
 
+    def bands(self, vectors: np.ndarray) -> np.ndarray:
+        lengths = np.sqrt((vectors**2).sum(axis=1))
+        return np.maximum(np.floor(np.log(self.longest / lengths) / np.log(self.model.band)), 0).astype(np.int64)
+
     def places(self, table: int, vectors: np.ndarray, query: bool) -> np.ndarray:
-        spare = self.longest**2 - (vectors**2).sum(axis=1)
-        more = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(spare, 0.0))
+        if query:
+            scaled, more = vectors / np.sqrt((vectors**2).sum(axis=1))[:, None], np.zeros(len(vectors))
+        else:
+            scaled = vectors / (self.longest * self.model.band ** -self.bands(vectors).astype(np.float64))[:, None]
+            more = np.sqrt(np.maximum(1 - (scaled**2).sum(axis=1), 0.0))
         line = self.lines[table]
-        return (vectors @ line[:-1] + more[:, None] * line[-1] + self.shifts[table]) / self.width
+        return (scaled @ line[:-1] + more[:, None] * line[-1] + self.shifts[table]) / self.width
 
     def keys(self, table: int, vectors: np.ndarray) -> np.ndarray:
-        return (np.floor(self.places(table, vectors, False)).astype(np.int64) * self.factors[table]).sum(axis=1)
+        """Buckets; a band that every query sees is one bucket of the first table."""
+        keys = (np.floor(self.places(table, vectors, False)).astype(np.int64) * self.factors[table]).sum(axis=1)
+        bands = self.bands(vectors)
+        return np.where(np.isin(bands, self.few), -1 - bands, keys)
 
     def visits(self, table: int, vectors: np.ndarray) -> np.ndarray:
         """queries x probes keys; may name a bucket twice only by a collision of keys."""
@@ -95,6 +110,8 @@ class _Hasher:
         steps = np.concatenate([-self.factors[table], self.factors[table]])
         own = (cells.astype(np.int64) * self.factors[table]).sum(axis=1)
         keys = [own + sum((steps[order[:, p]] for p in places), np.int64(0)) for places in self.sets]
+        if table == 0:
+            keys += [np.full(len(own), -1 - band, np.int64) for band in self.few]
         return np.stack(keys, axis=1)
 
 
@@ -125,22 +142,24 @@ def nearest(
         for t in (vectors, queries)
     ]
     lengths = good[0].groupBy(F.size("v").alias("dim")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(_square()).alias("most"), F.avg(_square()).alias("mean")
+        F.count(F.lit(1)).alias("n"), F.max(_square()).alias("most")
     ).orderBy(F.desc("n"), F.desc("dim")).first()
     out = f"query_id long, rank int, {key} long, score double"
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], out)
     dim = lengths["dim"]
-    hasher = _Hasher(dim, model, float(np.sqrt(lengths["most"])), float(np.sqrt(lengths["mean"])))
+    hasher = _Hasher(dim, model, float(np.sqrt(lengths["most"])))
     candidates, asked = (t.where(F.size("v") == dim) for t in good)
-    placed = written(candidates.mapInArrow(_hashed(hasher, kind), "table int, bucket long, id long, data binary"), "ann-tables")
+    bands = candidates.mapInArrow(_banded(hasher, kind), "band long").groupBy("band").count()
+    hasher.few = np.array([x["band"] for x in bands.where(F.col("count") <= model.block_rows).collect()], np.int64)
+    placed = written(candidates.mapInArrow(_hashed(hasher, kind), "table int, bucket long, band long, id long, data binary"), "ann-tables")
     groups = max(1, -(-lengths["n"] * model.tables // model.group_rows))
-    blocks = placed.groupBy("table", "bucket").agg(
+    blocks = placed.groupBy("table", "bucket", "band").agg(
         F.expr(f"(count(1) + {model.block_rows - 1}) div {model.block_rows}").cast("int").alias("blocks")
     )
     bucket = ["table", "bucket"]
-    unit = F.xxhash64("table", "bucket", "block")
-    own = placed.join(blocks, bucket).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(
+    unit = F.xxhash64("table", "bucket", "band", "block")
+    own = placed.join(blocks, [*bucket, "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select(
         F.pmod(unit, F.lit(groups)).cast("int").alias("task"), unit.alias("unit"), "id", "data", "table"
     )
     visits = written(
@@ -148,7 +167,7 @@ def nearest(
         "ann-visits",
     )
     sent = visits.select("id", "table", F.explode("buckets").alias("bucket")).join(blocks, bucket).select(
-        "id", *bucket, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        "id", *bucket, "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     ).select("id", F.pmod(unit, F.lit(groups)).cast("int").alias("task"), unit.alias("unit"))
     # a query has at most tables x probes buckets, so its list in a task is short
     lists = sent.groupBy("id", "task").agg(F.collect_set("unit").alias("units"))
@@ -183,6 +202,16 @@ def _matrix(batch: pa.RecordBatch, kind: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(f"<{kind}").reshape(len(column), -1)
 
 
+def _banded(hasher: _Hasher, kind: str):
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = hasher.bands(_matrix(batch, kind).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(found)], names=["band"])
+
+    return banded
+
+
 def _hashed(hasher: _Hasher, kind: str):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +220,14 @@ def _hashed(hasher: _Hasher, kind: str):
             stored = _matrix(batch, kind)
             data = pa.array([row.tobytes() for row in stored], pa.binary())
             ids = batch.column(batch.schema.get_field_index("id"))
+            bands = hasher.bands(stored.astype(np.float64))
             for table in range(hasher.model.tables):
                 keys = hasher.keys(table, stored.astype(np.float64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), table, np.int32)), pa.array(keys), ids, data],
-                    names=["table", "bucket", "id", "data"],
+                made = pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), table, np.int32)), pa.array(keys), pa.array(bands), ids, data],
+                    names=["table", "bucket", "band", "id", "data"],
                 )
+                yield made if table == 0 else made.filter(pa.array(~np.isin(bands, hasher.few)))
 
     return hashed
 

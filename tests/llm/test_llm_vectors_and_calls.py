@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from metricloom.llm import multiprobe, tool_calls
@@ -58,6 +59,26 @@ def test_odd_vectors_copies_and_ties(spark):
     assert multiprobe.nearest(few, few, 20, model).groupBy("query_id").count().where("count = 3").count() == 4
 
 
+@pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
+def test_recall_with_uneven_lengths(spark, lengths):
+    """Neither one long vector nor uneven lengths costs recall."""
+    random = np.random.default_rng(6)
+    points = random.normal(size=(4000, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    points *= random.lognormal(0, 0.5, 4000)[:, None] if lengths == "lognormal" else np.where(np.arange(4000) == 7, 3.0, 1.0)[:, None]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
+    model = multiprobe.Multiprobe(block_rows=256)
+    got = {}
+    for r in multiprobe.nearest(frame, frame.where("vec_id % 20 = 0"), 20, model).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, 4000, 20):
+        scores = points @ points[i]
+        scores[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+
+
 def test_perturbations_come_likeliest_first():
     sets = multiprobe.perturbations(4, 81)
     assert sets[0] == () and len(set(sets)) == len(sets) == 81  # every cell next to one of 4 dimensions
