@@ -15,7 +15,8 @@ by exact inner products in double precision. A task keeps the best of each query
 all tables and buckets are merged, so the answer is that of reranking the union of all
 candidates. Full buckets are cut into blocks of ``block_rows`` vectors which all visits of the
 bucket see, so a bucket that holds a third of all vectors is spread over tasks, none left out.
-Empty buckets are dropped before a query is sent anywhere, and a task gets a query's vector
+Tasks see ``query_rows`` queries at a time, whose bests are kept as they go on; the vectors go to
+each such part. Empty buckets are dropped before a query is sent anywhere, and a task gets a query's vector
 once, however many of its buckets it holds. Queries whose buckets hold fewer than they ask for
 are compared with every block of one table.
 """
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 from metricloom.llm.common import missing_columns, q, written
 
 
+HELD_ROWS = 1 << 10  # candidates of a query that a task holds before it keeps the best
+
+
 @dataclass(frozen=True)
 class Multiprobe:
     """``width`` is a cell's width in lengths of the band's longest vector. The defaults reach a
@@ -45,6 +49,7 @@ class Multiprobe:
     probes: int = 80
     band: float = 1.25
     block_rows: int = 2048
+    query_rows: int = 4096
     group_rows: int = 1 << 14
     seed: int = 5
 
@@ -169,21 +174,25 @@ def nearest(
     sent = visits.select("id", "table", F.explode("buckets").alias("bucket")).join(blocks, bucket).select(
         "id", *bucket, "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     ).select("id", F.pmod(unit, F.lit(groups)).cast("int").alias("task"), unit.alias("unit"))
-    # a query has at most tables x probes buckets, so its list in a task is short
+    once = visits.where("table = 0").select("id", "data")
+    parts = max(1, -(-once.count() // model.query_rows))
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    both = ["task", "part"]
+    # a query has at most tables x probes buckets in a band, so its list in a task is short
     lists = sent.groupBy("id", "task").agg(F.collect_set("unit").alias("units"))
-    asked_for = lists.join(visits.where("table = 0").select("id", "data"), "id").select("task", "id", "data", "units")
+    asked_for = lists.join(once, "id").select("task", part, "id", "data", "units")
     pairs = "query long, id long, score double"
-    best = written(own.groupBy("task").cogroup(asked_for.groupBy("task")).applyInArrow(_ranked(k, kind), pairs), "ann-best")
+    best = written(own.groupBy(*both).cogroup(asked_for.groupBy(*both)).applyInArrow(_ranked(k, kind), pairs), "ann-best")
     # queries that found too few see every block of one table
     enough = best.groupBy("query").agg(F.countDistinct("id").alias("found")).where(F.col("found") >= min(k, lengths["n"] - 1))
-    asked_once = visits.where("table = 0").select("id", "data")
-    short = written(asked_once.join(enough, asked_once["id"] == enough["query"], "left_anti"), "ann-short")
+    short = written(once.join(enough, once["id"] == enough["query"], "left_anti"), "ann-short")
     if not short.isEmpty():
         everywhere = short.select(
-            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("task"), "id", "data", F.lit(None).cast("array<long>").alias("units")
+            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("task"), part, "id", "data", F.lit(None).cast("array<long>").alias("units")
         )
         one = own.where("table = 0")
-        best = best.unionByName(one.groupBy("task").cogroup(everywhere.groupBy("task")).applyInArrow(_ranked(k, kind), pairs))
+        best = best.unionByName(one.groupBy(*both).cogroup(everywhere.groupBy(*both)).applyInArrow(_ranked(k, kind), pairs))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     merged = best.groupBy("query", "id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
@@ -272,15 +281,27 @@ def _ranked(k: int, kind: str):
                 for unit in rows_of if wanted is None else wanted:
                     visits.setdefault(unit, []).append(row)
             found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            held = np.zeros(len(names), np.int64)
+
+            def best(row: int) -> tuple[np.ndarray, np.ndarray]:
+                return _best(k, names[row], points[row], ids, vectors, found[row])
+
             for unit, askers in visits.items():
                 rows = rows_of.get(unit)
                 if rows is None:
                     continue
-                products = points[askers] @ vectors[rows].T
-                for row, scores in zip(askers, products, strict=True):
-                    found.setdefault(row, []).append((rows, scores))
-            for row, parts in found.items():
-                out.append(_best(k, names[row], points[row], ids, vectors, parts))
+                for low in range(0, len(rows), HELD_ROWS):
+                    some = rows[low : low + HELD_ROWS]
+                    products = points[askers] @ vectors[some].T
+                    for row, scores in zip(askers, products, strict=True):
+                        found.setdefault(row, []).append((some, scores.copy()))
+                        held[row] += len(some)
+                        if held[row] > max(HELD_ROWS, 2 * k):
+                            kept, exact = best(row)
+                            found[row], held[row] = [(kept, exact)], len(kept)
+            for row in found:
+                kept, exact = best(row)
+                out.append((np.full(len(kept), names[row], np.int64), ids[kept], exact))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(
             ("query", "id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
@@ -289,7 +310,7 @@ def _ranked(k: int, kind: str):
 
 
 def _best(k, name, point, ids, vectors, parts):
-    """The k best of some rows. Products of matrices may differ in the last place for equal
+    """The k best of some rows, with their scores. Products of matrices may differ in the last place for equal
     vectors, so the rows near the k-th are summed again, component by component."""
     rows = np.concatenate([p[0] for p in parts])
     scores = np.concatenate([p[1] for p in parts])
@@ -306,4 +327,4 @@ def _best(k, name, point, ids, vectors, parts):
     for d in range(chosen.shape[1]):
         exact += point[d] * chosen[:, d]
     top = np.lexsort((ids[rows], -exact))[:k]
-    return np.full(len(top), name, np.int64), ids[rows][top], exact[top]
+    return rows[top], exact[top]

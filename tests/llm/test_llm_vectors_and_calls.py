@@ -61,13 +61,13 @@ def test_odd_vectors_copies_and_ties(spark):
 
 @pytest.mark.parametrize("lengths", ["outlier", "lognormal"])
 def test_recall_with_uneven_lengths(spark, lengths):
-    """Neither one long vector nor uneven lengths costs recall."""
+    """Neither one long vector nor uneven lengths cost recall, nor do parts of few queries."""
     random = np.random.default_rng(6)
     points = random.normal(size=(4000, 24))
     points /= np.linalg.norm(points, axis=1)[:, None]
     points *= random.lognormal(0, 0.5, 4000)[:, None] if lengths == "lognormal" else np.where(np.arange(4000) == 7, 3.0, 1.0)[:, None]
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
-    model = multiprobe.Multiprobe(block_rows=256)
+    model = multiprobe.Multiprobe(block_rows=256, query_rows=50)
     got = {}
     for r in multiprobe.nearest(frame, frame.where("vec_id % 20 = 0"), 20, model).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
