@@ -155,12 +155,11 @@ SCHEMAS: Schemas = {
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
-    """A call for every assistant turn. Tool and arguments follow from the text: its first words,
+    """A call for every assistant turn. Tool and arguments follow from the whole text and
     its length; some lengths give arguments that are cut off, of a wrong type, or for no known
     tool. A turn builds on the call of a quarter of its number, of the same parity."""
     length = F.length(F.coalesce("text", F.lit("")))
-    words = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 5), " ")
-    quoted = F.regexp_extract(F.to_json(F.array(words)), r"(?s)^\[(.*)\]$", 1)
+    quoted = F.regexp_extract(F.to_json(F.array(F.coalesce("text", F.lit("")))), r"(?s)^\[(.*)\]$", 1)
     kind = F.pmod(length, F.lit(4))
     limit = F.when(length % 7 == 0, F.lit('"ten"')).otherwise(F.pmod(length, F.lit(50)).cast("string"))
     arguments = (

@@ -135,3 +135,13 @@ def test_whole_conversations(spark):
         mine = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.position)
         assert [r.position for r in mine] == list(range(1, len(mine) + 1))
         assert [(r.level, int(r.call_id.split("_")[2])) for r in mine] == sorted((r.level, int(r.call_id.split("_")[2])) for r in mine)
+
+
+def test_calls_have_whole_texts(spark):
+    """Search and translation take the text of the turn as it is, however long."""
+    texts = ["one two  three\nfour \"five\" six\tséven eight " * 50 + "x" * n for n in range(12)]
+    turns = spark.createDataFrame([(1, n, "assistant", t) for n, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    rows = tool_calls.link_calls(tool_calls.calls_of(turns), tool_calls.results_of(turns), tool_calls.SCHEMAS).collect()
+    got = {int(r.call_id.split("_")[2]): json.loads(r.json).get("arguments") or {} for r in rows if "malformed arguments" not in r.errors}
+    asked = {n: a.get("query", a.get("text")) for n, a in got.items() if len(texts[n]) % 4 in (0, 2)}
+    assert asked and asked == {n: texts[n] for n in asked}
