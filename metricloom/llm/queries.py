@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, tool_calls
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, strassen_negatives, tool_calls
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -103,3 +103,8 @@ def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     return tool_calls.link_calls(tool_calls.calls_of(turns), tool_calls.results_of(turns), tool_calls.SCHEMAS)
+
+
+@query("op13_strassen_negatives", strassen_negatives.ORACLE)
+def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strassen_negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"), every=100)
