@@ -15,7 +15,7 @@ from metricloom.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "bind", "missing_columns", "q", "read_table", "small_batches", "words", "written"]
+__all__ = ["SPACE", "WORD", "bind", "join_copies", "missing_columns", "q", "read_table", "small_batches", "words", "written"]
 
 
 def words(text: Column) -> Column:
@@ -51,6 +51,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 10_000
+
+
+def join_copies(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """``rows`` with what ``facts``, one row per key, tells about their key.
+
+    ``copies`` of ``facts`` is the number of rows of a key. Keys with more than one in ``HOT_KEYS``
+    of all ``total`` rows, of which there are fewer than ``HOT_KEYS``, are sent to the rows; only the
+    other rows are shuffled, and none of their keys is large.
+    """
+    often = F.col(copies) > total / HOT_KEYS
+    hot = F.broadcast(facts.where(often).drop(copies))
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~often).drop(copies), key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

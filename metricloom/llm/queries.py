@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, strassen_negatives, tool_calls
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, strassen_negatives, token_cache, tool_calls
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -105,6 +105,12 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(tool_calls.calls_of(turns), tool_calls.results_of(turns), tool_calls.SCHEMAS)
 
 
+@query("op11_token_cache")
+def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = scratch_path(spark, "token-counts")
+    return token_cache.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), cache, limit=512)
+
+
 @query("op13_strassen_negatives", strassen_negatives.ORACLE)
 def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strassen_negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"), every=100)
