@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, rans, site_bayes, strassen_negatives, token_cache, tool_calls
+from metricloom.llm import backoff, bpe_automaton, host_rules, licenses, lsh_forest, mixing, multiprobe, prefix_trie, rans, site_bayes, strassen_negatives, token_cache, tool_calls
 from metricloom.llm.common import read_table
 from metricloom.session import scratch_path
 
@@ -111,6 +111,12 @@ def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), cache, limit=512)
 
 
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, sizes = prefix_trie.sequences(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns, sizes))
+
+
 @query("op13_strassen_negatives", strassen_negatives.ORACLE)
 def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strassen_negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"), every=100)
