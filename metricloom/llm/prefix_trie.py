@@ -287,3 +287,32 @@ def prefix_trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("sha256", nothing).alias("ends_sha256"),
     )
+
+
+# The checksum is taken bit by bit; key digests stand for turns.
+ORACLE = """
+WITH z AS (SELECT conv_id AS c, xor(CAST(4294967295 AS UBIGINT), list_reduce(
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT)),
+        lambda a, b: list_reduce(list_transform(range(8), lambda i: CAST(i AS UBIGINT)),
+            lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE 0 END), xor(a, b)),
+        CAST(4294967295 AS UBIGINT))) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+  t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+        strlen(coalesce(text, '')) AS bytes, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')) AS code
+    FROM conversations WHERE conv_id IS NOT NULL),
+  r AS (SELECT z.c, 0 AS part, t.p, t.bytes, t.code FROM z JOIN t ON t.c = z.c - z.c % 5 AND t.p <= z.h
+    UNION ALL SELECT z.c, 1, t.p, t.bytes, t.code FROM z JOIN t ON t.c = z.c AND t.p > z.h),
+  s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, bytes, code FROM r),
+  k AS (SELECT c, d, bytes, string_agg(code, '') OVER (PARTITION BY c ORDER BY d) AS key FROM s
+    UNION ALL SELECT c, 0, 0, '' FROM z),
+  m AS (SELECT *, max(d) OVER (PARTITION BY c) = d AS ends FROM k),
+  n AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY d, key),
+  x AS (SELECT m.c, m.d, n.conv_id FROM m JOIN n USING (d, key)),
+  f AS (SELECT n.*, x.conv_id AS parent_conv_id FROM n LEFT JOIN x ON x.c = n.conv_id AND x.d = n.d - 1),
+  g AS (SELECT f.*, coalesce(q.n_children, 0) AS n_children FROM f LEFT JOIN
+    (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n_children FROM f WHERE d > 0 GROUP BY 1, 2) AS q USING (conv_id, d)),
+  u AS (SELECT x.conv_id, x.d, count(*) FILTER (WHERE g.n_children = 0) AS n_leaves, sum((g.n_convs - 1) * g.bytes) AS saved_tokens
+    FROM g JOIN x ON x.c = g.conv_id AND x.d <= g.d GROUP BY 1, 2)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM g JOIN u USING (conv_id, d)"""

@@ -111,7 +111,7 @@ def op11_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary(), cache, limit=512)
 
 
-@query("op12_prefix_trie")
+@query("op12_prefix_trie", prefix_trie.ORACLE)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, sizes = prefix_trie.sequences(read_table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns, sizes))
