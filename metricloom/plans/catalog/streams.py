@@ -10,6 +10,7 @@ from metricloom.plans.catalog.inputs import *  # noqa: F403
 from metricloom.plans.catalog.points import RULES
 from metricloom.plans.catalog.registry import ORACLES, query
 from metricloom.session import scratch_path
+from metricloom.sources import polled
 from metricloom.streaming import streams as st
 
 
@@ -32,6 +33,21 @@ def drained(spark, stream, label):
 CLOSED = "(SELECT max(epoch_us(ts)) - 600000000 FROM events)"
 
 
+@query(
+    "stream_metrics",
+    f"WITH {SQL_SAMPLES} SELECT DISTINCT metric, instance, series, time, value FROM samples",
+)
+def stream_metrics(spark, sf):
+    # The samples as a store has recorded them, polled every two hours for the last four.
+    s = samples(spark, sf)
+    folder = scratch_path(spark, "responses")
+    polled.record_responses(s, folder, 6 * HOUR)
+    origin = s.agg(F.floor(F.min("time") / (6 * HOUR)) * (6 * HOUR)).first()[0]
+    polls = polled.read_polls(spark, polled.RecordedResponses(folder, 6 * HOUR), "4h", "2h", origin)
+    once = st.stream_dedup(polled.polled_samples(polls), "5 hours")
+    return drained(spark, once.select("metric", "instance", "series", "time", "value"), "stream-metrics")
+
+
 @query(
     "stream_bucket_avg",
     f"""WITH {SQL_SAMPLES}, w AS (SELECT CAST(floor(time / 900) * 900 AS BIGINT) - 900 * k AS start, metric, value
@@ -85,9 +101,23 @@ def stream_sessions(spark, sf):
         SELECT watch, CAST(fired AS BIGINT) AS fired FROM f""",
 )
 def stream_throttle(spark, sf):
-    alarms = live(spark, sf).where(q("value") > ALARM)
-    fired = st.stream_throttle(alarms, q("instance"), 1800, "1 minute", "10 minutes")
-    return drained(spark, fired, "stream-throttle")
+    alarms = table(spark, sf, "events").where(q("value") > ALARM).select(q("ts").cast("timestamp").alias("ts"), "user_id")
+    folder = scratch_path(spark, "alarms")
+    # Three polls; each brings the last minutes of the time before it late. The end of the last poll
+    # is a row without a node, an hour on.
+    first, last = alarms.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    place = (F.unix_seconds("ts") - F.pmod(q("user_id"), F.lit(300)) - F.lit(first)) * 3 / F.lit(last - first + 1)
+    poll = F.greatest(F.lit(0), F.floor(place)).cast("int")
+    for number in range(3):
+        alarms.where(poll == number).coalesce(1).write.mode("append").parquet(folder)
+    end = spark.range(1).select(F.timestamp_seconds(F.lit(last + 3600)).alias("ts"), F.lit(None).cast("long").alias("user_id"))
+    end.write.mode("append").parquet(folder)
+    arriving = st.read_files(st.stateful_session(spark), folder, alarms.schema, "*.parquet", files=1)
+    node = F.concat(F.lit("node"), F.pmod(q("user_id"), F.lit(4)).cast("string"))
+    fired = st.stream_throttle(arriving, node, 1800, "1 minute", "10 minutes")
+    path = scratch_path(spark, "stream-throttle")
+    st.drain(fired, path)
+    return spark.read.schema(fired.schema).parquet(path).where(q("watch").isNotNull())
 
 
 @query("stream_detect")

@@ -12,17 +12,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from metricloom.functions.scalars import q
 from metricloom.operators.points import point_threshold
 
 
 def read_files(
-    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", format: str = "parquet"
-) -> DataFrame:
-    """New files of a folder as a stream."""
+    spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*", format: str = "parquet",
+    files: int | None = None,
+) -> DataFrame:
+    """New files of a folder as a stream; at most ``files`` in a micro-batch, oldest first."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     return reader.format(format).load(folder)
 
 
@@ -124,7 +127,68 @@ def stream_sessions(
 
 SALTS = 64
 _FIRED = T.StructType([T.StructField("watch", T.StringType()), T.StructField("fired", T.LongType())])
-_LAST = T.StructType([T.StructField("last", T.LongType())])
+
+
+class Throttle(StatefulProcessor):
+    """Ticks of one watch wait until the watermark has passed them and are then taken in order.
+
+    Kept are the waiting ticks and the last one that fired; the latter goes as soon as no tick
+    still to come could be within its period. A timer is set for either.
+    """
+
+    def __init__(self, period: int):
+        self.period = period
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "tick long", "seen boolean")
+        self.last = handle.getValueState("last", "fired long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for tick in sorted({int(t) for part in rows for t in part["tick"]}):
+            if not self.waiting.containsKey((tick,)):
+                self.waiting.updateValue((tick,), (True,))
+                self.handle.registerTimer(tick * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(timerValues.getCurrentWatermarkInMs(), at)
+        # The first timer takes all that is due; those behind it find their ticks gone.
+        known = self.waiting.containsKey((at // 1000,))
+        due = sorted(t for (t,) in self.waiting.keys() if t * 1000 <= passed) if known else []
+        before = self.last.get()[0] if self.last.exists() else None
+        last, fired = before, []
+        for tick in due:
+            self.waiting.removeKey((tick,))
+            if last is None or tick >= last + self.period:
+                fired.append(tick)
+                last = tick
+        if last is not None and (last + self.period) * 1000 <= passed:
+            self.last.clear()
+        elif last != before:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.period) * 1000)
+        if fired:
+            yield pd.DataFrame({"watch": [key[0]] * len(fired), "fired": fired})
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams with timers, which need the state store on disk.
+
+    It shares the context and the settings that results depend on; ``spark`` itself stays as it is.
+    """
+    session = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    return session
 
 
 def stream_throttle(
@@ -132,26 +196,14 @@ def stream_throttle(
 ) -> DataFrame:
     """Each watch is looked at once per ``tick`` and fires at most once per ``period`` seconds.
 
-    Alarms are thinned to one per watch and tick, first within salted groups and then
-    across them: a watch with very many alarms gives one row per tick to the stateful step,
-    which keeps one number per watch.
+    A tick is settled when the watermark passes its end, so the result is that of the whole data
+    in one batch, however they arrive, as long as no row is later than ``late``. Alarms are thinned
+    to one per watch and tick, first within salted groups and then across them: a watch with very
+    many alarms gives one row per tick to the stateful step. An idle watch has no state. The
+    stream must come from a ``stateful_session``. A null watch is a watch of its own; alarms
+    without a time are left out.
     """
-
-    def fire(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        ticks = sorted(t for part in parts for t in part["tick"])
-        fired = []
-        for at in ticks:
-            if last is None or at >= last + period:
-                fired.append(int(at))
-                last = int(at)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"watch": [key[0]] * len(fired), "fired": fired})
-
-    ticks = alarms.withWatermark(ts, late).select(
+    ticks = alarms.where(q(ts).isNotNull()).withWatermark(ts, late).select(
         q(ts),
         watch.alias("watch"),
         F.unix_seconds(F.window(q(ts), tick)["end"]).alias("tick"),
@@ -159,7 +211,6 @@ def stream_throttle(
     )
     for keys in (["watch", "tick", "_salt"], ["watch", "tick"]):
         ticks = ticks.dropDuplicatesWithinWatermark(keys)
-    ticks = ticks.select("watch", "tick")
-    return ticks.groupBy("watch").applyInPandasWithState(
-        fire, _FIRED, _LAST, "append", GroupStateTimeout.NoTimeout
+    return ticks.groupBy("watch").transformWithStateInPandas(
+        Throttle(period), _FIRED, "append", "eventTime"
     )
