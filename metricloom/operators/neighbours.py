@@ -1,49 +1,24 @@
 """Exact neighbourhoods in a metric space, in tasks of bounded size.
 
-Points are divided among pivots (nearest wins). For a pivot's points only those points are
-candidates that the triangle inequality cannot rule out. A pivot with many points or
-candidates is cut into blocks (chunk of points x chunk of candidates), so no task grows
-with the data, and a block gives one line per point, never its pairs. Equal points are
-merged beforehand and carry their number as a weight.
+Equal points are merged beforehand and carry their number as a weight. ``Cells`` rules out by the
+triangle inequality what cannot be near and cuts the rest into blocks; a block gives one line
+per point, never its pairs.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
+from metricloom.operators.cells import BLOCK_ROWS, Cells, distances, matrix
 from metricloom.operators.ranking import ordinal_codes
-from metricloom.session import cut_lineage
-
-BLOCK_ROWS = 1500
-MAX_PIVOTS = 1024
-_HOME = "struct<cell: int, gap: double>"
-
-
-def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """All distances between two small blocks, one coordinate at a time."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        gap = np.abs(a[:, i, None] - b[None, :, i])
-        if metric == "euclidean":
-            out += gap * gap
-        elif metric == "manhattan":
-            out += gap
-        elif metric == "chebyshev":
-            np.maximum(out, gap, out=out)
-        else:
-            raise ValueError(f"unknown metric {metric}")
-    return np.sqrt(out) if metric == "euclidean" else out
-
-
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.vstack(series.to_numpy())
+from metricloom.session import cut_lineage, stored
 
 
 def coordinates(df: DataFrame, features: Sequence[str]) -> Column:
@@ -75,88 +50,6 @@ def _attach(df: DataFrame, features: Sequence[str], found: DataFrame) -> DataFra
     return placed.join(found, F.col("_x") == F.col("x"), "left").drop("_x", "x")
 
 
-class Partition:
-    """Pivots of a set of points, the reach of each, and the block layout."""
-
-    def __init__(self, points: DataFrame, metric: str, block_rows: int, seed: int):
-        self.metric, self.block_rows = metric, block_rows
-        count = points.count()
-        wanted = min(MAX_PIVOTS, max(1, math.ceil(count / block_rows)))
-        chosen = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted)
-        self.pivots = np.array([r[0] for r in chosen.select("x").collect()], dtype=float)
-        self.points = points.withColumn("_home", _nearest(self.pivots, metric)(F.col("x")))
-        self.points = cut_lineage(
-            self.points.select("*", "_home.cell", "_home.gap").drop("_home")
-        )
-        self.reach = np.zeros(len(self.pivots))
-        for cell, gap in self.points.groupBy("cell").agg(F.max("gap")).collect():
-            self.reach[cell] = gap
-
-    def blocks(self, points: DataFrame, radius: np.ndarray, act: Callable, schema: str) -> DataFrame:
-        """Run ``act(points, candidates)`` on every block.
-
-        ``points`` are those of this partition, with any columns added; ``radius`` bounds
-        each cell's search.
-        """
-        limits = self.reach + radius
-        spread = points.withColumn(
-            "_cells", _within(self.pivots, limits, self.metric)(F.col("x"))
-        )
-        offered = spread.withColumn("_at", F.explode("_cells")).drop("_cells")
-        homes = {r[0]: r[1] for r in points.groupBy("cell").count().collect()}
-        guests = {r[0]: r[1] for r in offered.groupBy("_at").count().collect()}
-
-        def chunks(counts: dict) -> Column:
-            sizes = [math.ceil(counts.get(i, 0) / self.block_rows) or 1 for i in range(len(limits))]
-            return F.array(*[F.lit(s) for s in sizes])
-
-        rows = F.element_at(chunks(homes), F.col("_at") + 1)
-        columns = F.element_at(chunks(guests), F.col("_at") + 1)
-        own = points.withColumn("_at", F.col("cell")).select(
-            "*",
-            F.lit(0).alias("_role"),
-            F.pmod(F.xxhash64("id"), rows).cast("int").alias("_h"),
-            F.explode(F.sequence(F.lit(0), columns - 1)).alias("_c"),
-        )
-        other = offered.select(
-            "*",
-            F.lit(1).alias("_role"),
-            F.explode(F.sequence(F.lit(0), rows - 1)).alias("_h"),
-            F.pmod(F.xxhash64("id", F.lit(1)), columns).cast("int").alias("_c"),
-        )
-
-        def run(block: pd.DataFrame) -> pd.DataFrame:
-            mine, theirs = block[block["_role"] == 0], block[block["_role"] == 1]
-            return act(mine.reset_index(drop=True), theirs.reset_index(drop=True))
-
-        both = own.unionByName(other)
-        return both.groupBy("_at", "_h", "_c").applyInPandas(run, schema)
-
-
-def _nearest(pivots: np.ndarray, metric: str):
-    @F.pandas_udf(_HOME)
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gaps = distances(_matrix(batch), pivots, metric)
-            cell = gaps.argmin(axis=1)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "gap": gaps[np.arange(len(cell)), cell]})
-
-    return nearest
-
-
-def _within(pivots: np.ndarray, limits: np.ndarray, metric: str):
-    # A hair more than the bound, against rounding in the bound itself.
-    slack = limits * (1 + 1e-9) + 1e-12
-
-    @F.pandas_udf("array<int>")
-    def within(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            hits = distances(_matrix(batch), pivots, metric) <= slack
-            yield pd.Series([np.flatnonzero(h).astype("int32") for h in hits])
-
-    return within
-
-
 # --- density clustering -------------------------------------------------------------------
 
 
@@ -177,32 +70,29 @@ def dbscan(
     cluster among its core neighbours.
     """
     features = list(features)
-    part = Partition(merged_points(df, features, key), metric, block_rows, seed)
-    radius = np.full(len(part.pivots), float(eps))
+    cells = Cells(merged_points(df, features, key), metric, block_rows, seed)
+    radius = F.lit(float(eps))
 
     def degree(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return pd.DataFrame({"id": [], "degree": []})
-        near = distances(_matrix(mine["x"]), _matrix(theirs["x"]), metric) <= eps
+        near = distances(matrix(mine["x"]), matrix(theirs["x"]), metric) <= eps
         return pd.DataFrame({"id": mine["id"], "degree": near @ theirs["w"].to_numpy()})
 
-    kind = dict(part.points.dtypes)["id"]
-    degrees = part.blocks(part.points, radius, degree, f"id {kind}, degree bigint")
+    kind = dict(cells.points.dtypes)["id"]
+    degrees = cells.blocks(cells.points, radius, degree, f"id {kind}, degree bigint")
     degrees = degrees.groupBy("id").agg(F.sum("degree").alias("degree"))
-    points = cut_lineage(
-        part.points.join(degrees, "id").withColumn("core", F.col("degree") >= min_samples)
-    )
+    points = stored(cells.points.join(degrees, "id").withColumn("core", F.col("degree") >= min_samples), "degrees")
 
     def link(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         theirs = theirs[theirs["core"]].reset_index(drop=True)
         if mine.empty or theirs.empty:
             return pd.DataFrame({"id": [], "head": [], "core": []})
-        near = distances(_matrix(mine["x"]), _matrix(theirs["x"]), metric) <= eps
+        near = distances(matrix(mine["x"]), matrix(theirs["x"]), metric) <= eps
         return _link_block(mine["id"].to_numpy(), mine["core"].to_numpy(bool), theirs["id"].to_numpy(), near)
 
-    links = cut_lineage(
-        part.blocks(points, radius, link, f"id {kind}, head {kind}, core boolean").distinct()
-    )
+    links = cells.blocks(points, radius, link, f"id {kind}, head {kind}, core boolean").distinct()
+    links = stored(links, "links")
     cores = points.where("core").select("id")
     heads = components(links.where("core").select(F.col("id").alias("u"), F.col("head").alias("v")))
     of_core = cores.join(heads, F.col("id") == F.col("u"), "left").select(
@@ -302,6 +192,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
 # --- nearest neighbours and angles --------------------------------------------------------
 
 
+def bounded_points(cells: Cells) -> DataFrame:
+    """The cells' points with ``near`` cut down to the k-th distance found in their own cell.
+
+    Large cells are searched in parts, which gives a bound as well.
+    """
+    points, k, metric = cells.points, cells.k, cells.metric
+    sizes = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * cells.block_rows)).alias("_parts"))
+    dealt = points.join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("id", F.lit(2)), "_parts")).drop("_parts")
+    schema = points.schema
+
+    def bound(mine: pd.DataFrame) -> pd.DataFrame:
+        if len(mine) > k:
+            x = matrix(mine["x"])
+            # The point itself is the nearest one.
+            found = np.partition(distances(x, x, metric), k, axis=1)[:, k]
+            mine = mine.assign(near=np.minimum(mine["near"], found))
+        return mine[schema.names]
+
+    return stored(dealt.groupBy("cell", "_part").applyInPandas(bound, schema), "bounded")
+
+
 def nearest_neighbours(
     points: DataFrame,
     k: int,
@@ -311,25 +222,17 @@ def nearest_neighbours(
 ) -> DataFrame:
     """The ``k`` nearest other points of each merged point: (id, x, w, other, y, v, gap).
 
-    A cell's search radius is bounded by the distances of all cells' innermost points to
-    their pivots.
+    Every point searches as far as its k-th nearest in its own cell, so how many candidates it
+    meets does not grow with the number of points.
     """
-    part = Partition(points, metric, block_rows, seed)
-    inner = Window.partitionBy("cell").orderBy("gap", "id")
-    ranked = part.points.withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= k + 1)
-    found = ranked.select("cell", "gap").collect()
-    cells, gaps = np.array([r[0] for r in found]), np.array([r[1] for r in found])
-    between = distances(part.pivots, part.pivots, metric)
-    far = np.full(len(part.pivots), np.inf)
-    if len(found) > k:
-        bounds = between[:, cells] + gaps[None, :]
-        far = part.reach + np.partition(bounds, k, axis=1)[:, k]
+    cells = Cells(points, metric, block_rows, seed, k)
+    bounded = bounded_points(cells)
     kind = dict(points.dtypes)["id"]
 
     def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return pd.DataFrame({"id": [], "other": [], "gap": []})
-        gap = distances(_matrix(mine["x"]), _matrix(theirs["x"]), metric)
+        gap = distances(matrix(mine["x"]), matrix(theirs["x"]), metric)
         ids, others = mine["id"].to_numpy(), theirs["id"].to_numpy()
         gap[ids[:, None] == others[None, :]] = np.inf
         take = min(k, len(others))
@@ -343,13 +246,11 @@ def nearest_neighbours(
         )
         return out[np.isfinite(out["gap"])]
 
-    near = part.blocks(part.points, far, best, f"id {kind}, other {kind}, gap double")
+    near = cells.blocks(bounded, F.col("near"), best, f"id {kind}, other {kind}, gap double")
     first = Window.partitionBy("id").orderBy("gap", "other")
     near = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    a = part.points.select("id", "x", "w")
-    b = part.points.select(
-        F.col("id").alias("other"), F.col("x").alias("y"), F.col("w").alias("v")
-    )
+    a = bounded.select("id", "x", "w")
+    b = bounded.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("w").alias("v"))
     return near.join(a, "id").join(b, "other")
 
 
@@ -374,31 +275,58 @@ def abod_scores(
         F.first("w").alias("w"),
         F.array_sort(F.collect_list(F.struct("gap", "other", "v", "y"))).alias("hood"),
     )
-    scored = hood.select(
-        "x",
-        _angles(n_neighbors)(
-            "x", "w", F.transform("hood", lambda h: h["y"]), F.transform("hood", lambda h: h["v"])
-        ).alias(name),
-    )
-    return _attach(df, features, scored)
+    flat = hood.select("x", "w", F.col("hood.v").alias("v"), F.flatten("hood.y").alias("y"))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ANGLE_ROWS):
+                part = batch.slice(start, ANGLE_ROWS)
+                found = angle_scores(*(_lists(part.column(c)) for c in "xvy"), part.column("w").to_numpy(), n_neighbors)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("x"), pa.array(found, pa.float64(), from_pandas=True)], names=["x", "_score"]
+                )
 
+    scored = flat.mapInArrow(scores, "x array<double>, _score double")
+    return _attach(df, features, scored.withColumnRenamed("_score", name))
 
-def _angles(k: int):
-    @F.pandas_udf("double")
-    def angles(
-        batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],
-    ) -> Iterator[pd.Series]:
-        for x, w, y, v in batches:
-            yield pd.Series([_angle_score(*row, k) for row in zip(x, w, y, v)], dtype=float)
 
-    return angles
+ANGLE_ROWS = 2000
 
 
-def _angle_score(x, w, y, v, k: int) -> float | None:
-    places = np.repeat(np.arange(len(y)), np.asarray(v, dtype=int))[: max(0, k - (int(w) - 1))]
-    if len(places) < 2:
-        return None
-    legs = np.vstack(list(y))[places] - np.asarray(x)
-    square = (legs * legs).sum(axis=1)
-    i, j = np.triu_indices(len(places), 1)
-    return -float(np.var((legs[i] * legs[j]).sum(axis=1) / square[i] / square[j]))
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists and all their members in a row."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return lengths, column.flatten().to_numpy(zero_copy_only=False)
+
+
+def angle_scores(x, v, y, w: np.ndarray, k: int) -> np.ndarray:
+    """Scores of points from their coordinates, copies of themselves and of their neighbours; NaN for none.
+
+    ``x``, ``v`` and ``y`` are (lengths, members): coordinates, the neighbours' copies from the nearest
+    on, and the neighbours' coordinates, one after another.
+    """
+    rows = len(w)
+    points = x[1].reshape(rows, -1)
+    width, most = points.shape[1], int(v[0].max(initial=0))
+    # The neighbours of a point as a rectangle; what is missing has no copies.
+    given = np.arange(most)[None, :] < v[0][:, None]
+    copies = np.zeros((rows, most), np.int64)
+    copies[given] = v[1]
+    others = np.zeros((rows, most, width))
+    others[given] = y[1].reshape(-1, width)
+    # Slot s of a neighbourhood holds the neighbour whose copies reach it first.
+    slots = np.arange(k)
+    upto = copies.cumsum(axis=1)
+    holder = (upto[:, None, :] <= slots[None, :, None]).sum(axis=2)
+    filled = (holder < v[0][:, None]) & (slots[None, :] < (k - (w - 1))[:, None])
+    holder = np.minimum(holder, max(most - 1, 0))
+    legs = np.take_along_axis(others, holder[:, :, None], axis=1) - points[:, None, :]
+    square = (legs * legs).sum(axis=2)
+    i, j = np.triu_indices(k, 1)
+    pair = filled[:, i] & filled[:, j]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        angle = np.where(pair, (legs[:, i] * legs[:, j]).sum(axis=2) / square[:, i] / square[:, j], 0.0)
+        n = pair.sum(axis=1)
+        mean = angle.sum(axis=1) / n
+        spread = np.where(pair, angle - mean[:, None], 0.0)
+        return -(spread * spread).sum(axis=1) / n
