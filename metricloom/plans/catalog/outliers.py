@@ -68,17 +68,38 @@ def reconstruction_error(spark, sf):
     return outliers.flag_top(scored, 0.1, store=True)
 
 
-@query("abod_fast")
+# Squared scores of the pairs of each point's five nearest; the vectors are all different.
+@query(
+    "abod_fast",
+    f"""WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+       n AS (SELECT a.vec_id, b.vec_id AS other, list_transform(range(len(a.x)), lambda i: b.x[i + 1] - a.x[i + 1]) AS leg
+         FROM p AS a JOIN p AS b ON a.vec_id <> b.vec_id
+         QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) <= 5),
+       s AS (SELECT a.vec_id, -var_pop(list_dot_product(a.leg, b.leg) / list_dot_product(a.leg, a.leg) / list_dot_product(b.leg, b.leg)) AS score
+         FROM n AS a JOIN n AS b ON a.vec_id = b.vec_id AND a.other < b.other GROUP BY 1)
+       SELECT vec_id, {r6("score", 9)} AS score, CASE WHEN score > (SELECT quantile_cont(score, 0.9) FROM s) THEN 1 ELSE 0 END AS prediction FROM s""",
+)
 def abod_fast(spark, sf):
     rows = table(spark, sf, "embeddings")
     scored = neighbours.abod_scores(rows, ["embedding"], "vec_id", 5)
-    return outliers.flag_top(scored.select("vec_id", "score"), 0.1, store=True)
+    return rounded(outliers.flag_top(scored.select("vec_id", "score"), 0.1, store=True), 9)
 
 
 GRID = ["l_quantity", "l_discount"]
 
 
-@query("dbscan")
+@query(
+    "dbscan",
+    """WITH RECURSIVE p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+       near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p AS a, p AS b WHERE list_distance(a.x, b.x) <= 1.0),
+       core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 3),
+       reach AS (SELECT a, a AS b FROM core
+         UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b JOIN core ON core.a = near.b),
+       numbered AS (SELECT a, dense_rank() OVER (ORDER BY head) - 1 AS cluster FROM (SELECT a, min(b) AS head FROM reach GROUP BY 1)),
+       border AS (SELECT near.a, min(cluster) AS cluster FROM near JOIN numbered ON numbered.a = near.b GROUP BY 1)
+       SELECT vec_id, CAST(coalesce(n.cluster, b.cluster, -1) AS INTEGER) AS cluster
+       FROM p LEFT JOIN numbered AS n ON n.a = vec_id LEFT JOIN border AS b ON b.a = vec_id""",
+)
 def dbscan(spark, sf):
     rows = table(spark, sf, "embeddings")
     clusters = neighbours.dbscan(rows, ["embedding"], "vec_id", eps=1.0, min_samples=3)
