@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.scalars import q
 from metricloom.operators.cells import BLOCK_ROWS, Cells, distances, matrix
 from metricloom.operators.ranking import ordinal_codes
-from metricloom.session import cut_lineage, stored
+from metricloom.session import stored
 
 
 def coordinates(df: DataFrame, features: Sequence[str]) -> Column:
@@ -162,12 +162,11 @@ def components(edges: DataFrame) -> DataFrame:
     minimum per node and a join back to it; no neighbour list is ever collected. The rounds
     end, for each either hangs a node from a smaller one or changes nothing.
     """
-    state = cut_lineage(edges.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    ).distinct())
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    state = stored(down.distinct(), "edges")
     before = None
     while True:
-        state = cut_lineage(_small_star(_large_star(state)))
+        state = stored(_small_star(_large_star(state)), "edges")
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             return state
