@@ -160,9 +160,9 @@ def _word_weights(sample: DataFrame, model: SiteModel) -> np.ndarray:
     for half, table in tables.items():
         rows = sample.where(F.col("half") == half).select("low", "toxic", "positions")
         rows = rows.mapInPandas(counted, "at long, n long, low long, toxic long")
-        # at most SIZE rows come to the driver, whatever the corpus
-        for at, *sums in rows.groupBy("at").agg(F.sum("n"), F.sum("low"), F.sum("toxic")).collect():
-            table[:, at] = sums
+        # at most SIZE rows come to the driver, whatever the corpus, and as columns
+        at, *sums = rows.groupBy("at").agg(F.sum("n"), F.sum("low"), F.sum("toxic")).toArrow().columns
+        table[:, at.to_numpy()] = [s.to_numpy() for s in sums]
     none = (0, 0, 0)
     sizes = [np.array([x or 0 for x in totals.get(half, none)]) for half in (0, 1)]
     parts = ((tables[0], sizes[0]), (tables[1], sizes[1]), (tables[0] + tables[1], sizes[0] + sizes[1]))
