@@ -7,10 +7,13 @@ import random
 import time
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.ml import Estimator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
+from metricloom.learning.estimators import judged as judged_by
 from metricloom.learning.evaluate import scores
 from metricloom.learning.supervised import Classifier, class_list, fit_classifier
 from metricloom.operators.ranking import hash_ranks
@@ -72,8 +75,12 @@ def fit_and_score(
     scaler: str | None = None,
     components: int = 0,
     train_scores: bool = False,
+    scorers: Mapping[str, Evaluator] | None = None,
 ) -> tuple[dict, Classifier]:
-    """Scaler and components are fitted on the training rows only."""
+    """Scaler and components are fitted on the training rows only.
+
+    ``scorers`` are evaluators by name, and take the place of the built-in scores.
+    """
     start = time.perf_counter()
     features = list(features)
     if scaler:
@@ -86,6 +93,13 @@ def fit_and_score(
     model = fit_classifier(train, features, target, name, classes, **dict(options))
     fitted_at = time.perf_counter()
     row: dict = {"fit_time": fitted_at - start}
+    if scorers:
+        columns = {"labelCol": "label", "predictionCol": "prediction", "rawPredictionCol": "rawPrediction", "probabilityCol": "probability"}
+        for part, rows in {"test": test, **({"train": train} if train_scores else {})}.items():
+            coded = model.codes(rows, target)
+            row.update({f"{part}_{m}": judged_by(e, coded, columns) for m, e in scorers.items()})
+        row["score_time"] = time.perf_counter() - fitted_at
+        return row, model
     judged = test.withColumn("_part", F.lit("test"))
     if train_scores:
         judged = judged.unionByName(train.withColumn("_part", F.lit("train")))
@@ -100,14 +114,18 @@ def cross_validate(
     splits: Iterable[tuple[DataFrame, DataFrame]],
     features: Sequence[str],
     target: str,
-    name: str = "random_forest",
+    name: str | Estimator = "random_forest",
     options: Mapping[str, object] | None = None,
     classes: Sequence[str] | None = None,
     scaler: str | None = None,
     components: int = 0,
     train_scores: bool = False,
+    scorers: Mapping[str, Evaluator] | None = None,
 ) -> tuple[list[dict], list[Classifier]]:
-    """Scores and model of every split. Each fit and each score is a Spark job of its own."""
+    """Scores and model of every split. Each fit and each score is a Spark job of its own.
+
+    ``name`` may be an estimator, and ``scorers`` any evaluators by name.
+    """
     splits, rows, models = list(splits), [], []
     if classes is None:
         train, test = splits[0]
@@ -115,7 +133,7 @@ def cross_validate(
     for i, (train, test) in enumerate(splits):
         row, model = fit_and_score(
             train, test, features, target, name, options or {}, classes, scaler, components,
-            train_scores,
+            train_scores, scorers,
         )
         rows.append({"fold": i, **row})
         models.append(model)
@@ -237,29 +255,36 @@ def settings_grid(grid: Mapping[str, Sequence[object]]) -> list[dict]:
 class Search:
     """Evaluates settings by cross-validation and remembers what it has seen."""
 
-    def __init__(self, splits, features, target, name, metrics=METRICS, refit="f1_weighted"):
+    def __init__(self, splits, features, target, name, metrics=METRICS, refit="f1_weighted", scorers=None):
+        """With ``scorers``, evaluators by name, ``refit`` is one of them; the first if it is not named."""
         self.splits, self.features, self.target, self.name = splits, features, target, name
-        self.metrics, self.refit = metrics, refit
+        self.scorers = dict(scorers or {})
+        self.metrics = list(self.scorers) or metrics
+        self.refit = refit if refit in self.metrics else self.metrics[0]
+        # The best value is the largest, or the smallest where the scorer says so.
+        self.sign = 1 if self.refit not in self.scorers or self.scorers[self.refit].isLargerBetter() else -1
         self.results: dict[tuple, dict] = {}
 
     def evaluate(self, settings: Mapping[str, object]) -> float:
         mark = tuple(sorted((k, str(v)) for k, v in settings.items()))
         if mark not in self.results:
-            rows, _ = cross_validate(self.splits, self.features, self.target, self.name, settings)
+            rows, _ = cross_validate(
+                self.splits, self.features, self.target, self.name, settings, scorers=self.scorers
+            )
             self.results[mark] = {
                 "settings": ", ".join(f"{k}={v}" for k, v in mark),
                 **{m: mean_score(rows, m) for m in self.metrics},
                 "_settings": dict(settings),
             }
-        return self.results[mark][self.refit]
+        return self.sign * self.results[mark][self.refit]
 
     def table(self) -> list[dict]:
-        ordered = sorted(self.results.values(), key=lambda r: (-r[self.refit], r["settings"]))
+        ordered = sorted(self.results.values(), key=lambda r: (-self.sign * r[self.refit], r["settings"]))
         return [{"rank": i + 1, **{k: v for k, v in r.items() if k != "_settings"}}
                 for i, r in enumerate(ordered)]
 
     def best(self) -> dict:
-        return max(self.results.values(), key=lambda r: r[self.refit])["_settings"]
+        return max(self.results.values(), key=lambda r: self.sign * r[self.refit])["_settings"]
 
 
 def hpo_grid(search: Search, grid: Mapping[str, Sequence[object]]) -> list[dict]:

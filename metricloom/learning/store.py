@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.learning.supervised import Boosted, Classifier
-from metricloom.operators.outliers import IsolationForest
+from metricloom.operators.outliers import HistogramScore, IsolationForest
 
 _META = "name string, features array<string>, classes array<string>, weights array<double>"
 
@@ -70,3 +71,30 @@ def load_forest(spark: SparkSession, path: str) -> IsolationForest | None:
     rows = spark.read.schema(_FOREST).parquet(path).orderBy(F.col("tree")).collect()
     trees = [{k: r[k] for k in ("tree", "feature", "threshold", "low", "high", "path")} for r in rows]
     return IsolationForest(list(rows[0]["features"]), trees, rows[0]["sample_size"], rows[0]["offset"])
+
+
+_HISTOGRAMS = "place int, feature string, low double, width double, bins array<double>, tol double, cut double"
+
+
+def save_histograms(spark: SparkSession, model: HistogramScore, cut: float, path: str) -> None:
+    """Histogram scores with the cut above which a row is an anomaly."""
+    rows = [(i, f, *parts, model.tol, cut) for i, (f, parts) in enumerate(model.bins.items())]
+    spark.createDataFrame(rows, _HISTOGRAMS).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_histograms(spark: SparkSession, path: str) -> tuple[HistogramScore, float] | None:
+    if not _exists(spark, path):
+        return None
+    rows = spark.read.schema(_HISTOGRAMS).parquet(path).orderBy("place").collect()
+    bins = {r["feature"]: (r["low"], r["width"], list(r["bins"])) for r in rows}
+    return HistogramScore(bins, rows[0]["tol"]), rows[0]["cut"]
+
+
+def save_model(model: Model, path: str) -> None:
+    """Any fitted Spark ML model, a user's own or ours."""
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model | None:
+    """The saved model, by the class that wrote it; None where there is none."""
+    return DefaultParamsReader.loadParamsInstance(path, spark) if _exists(spark, path) else None

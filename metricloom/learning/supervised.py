@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +111,17 @@ def make_estimator(name: str, features: int, classes: int, **options) -> Estimat
     raise ValueError(f"unknown classifier {name}")
 
 
+def fit_own(estimator: Estimator, train: DataFrame, **options) -> object:
+    """Fit a copy of a user's classifier, told where features and labels are; it stays as it was."""
+    own = estimator.copy()
+    columns = {"featuresCol": _VECTOR, "labelCol": _LABEL, "predictionCol": "prediction"}
+    given = {p: v for p, v in columns.items() if own.hasParam(p)}
+    unknown = [p for p in options if not own.hasParam(p)]
+    if unknown:
+        raise ValueError(f"{type(own).__name__} has no parameter {unknown}")
+    return own.fit(train, {own.getParam(p): v for p, v in {**given, **options}.items()})
+
+
 @dataclass
 class Classifier:
     """A fitted classifier with its classes in alphabetical order."""
@@ -121,6 +132,18 @@ class Classifier:
     assembler: VectorAssembler
     model: object
 
+    def codes(self, df: DataFrame, target: str) -> DataFrame:
+        """The model's own columns with the true class as ``label``, as evaluators read them.
+
+        Rows of a class that the model does not know are left out.
+        """
+        _, rows = labelled_vectors(df, self.features, target, self.classes)
+        rows = rows.withColumnRenamed(_LABEL, "label").where(F.col("label") >= 0).select(_VECTOR, "label")
+        out = self.model.transform(rows)
+        if isinstance(self.model, Boosted):
+            return out.withColumn("prediction", F.col("_code")).withColumn("probability", array_to_vector("_probability"))
+        return out
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Predicted class, and the class probabilities ``prob`` where the model has them."""
         out = self.model.transform(self.assembler.transform(df))
@@ -183,12 +206,15 @@ def fit_classifier(
     df: DataFrame,
     features: Sequence[str],
     target: str,
-    name: str = "random_forest",
+    name: str | Estimator = "random_forest",
     classes: Sequence[str] | None = None,
     validation: str | None = None,
     **options,
 ) -> Classifier:
-    """Fit by name. ``validation`` is a 0/1 column that lets boosted trees stop early."""
+    """Fit by name, or any Spark ML classifier by object; ``options`` are then its parameters.
+
+    ``validation`` is a 0/1 column that lets boosted trees stop early.
+    """
     features = list(features)
     classes = list(classes) if classes is not None else class_list(df, target)
     assembler, train = labelled_vectors(df, features, target, classes)
@@ -200,6 +226,9 @@ def fit_classifier(
     train = train.select(*keep)
     if name == "adaboost":
         model: object = fit_adaboost(train, len(classes), **options)
+    elif isinstance(name, Estimator):
+        model = fit_own(name, train, **options)
+        name = type(name).__name__
     else:
         model = make_estimator(name, len(features), len(classes), **options).fit(train)
     return Classifier(name, features, classes, assembler, model)

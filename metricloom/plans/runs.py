@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Estimator
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
@@ -26,10 +27,14 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class RunSpec:
-    """What to do with a wide frame, and where models and stages are kept."""
+    """What to do with a wide frame, and where models and stages are kept.
+
+    ``method`` is a name or an estimator of the user's: a classifier where there is a target, and
+    otherwise a detector whose model marks anomalies by -1 in ``prediction``.
+    """
 
     root: str
-    method: str = "isolation_forest"
+    method: str | Estimator = "isolation_forest"
     export: str = "default"
     interval: str = "1h"
     time: str = "time"
@@ -50,6 +55,15 @@ class RunSpec:
     checkpoint: bool = False
     options: dict = field(default_factory=dict)
 
+    @property
+    def name(self) -> str:
+        return self.method if isinstance(self.method, str) else type(self.method).__name__
+
+    @property
+    def detects(self) -> bool:
+        """Whether an estimator of the user's is a detector."""
+        return isinstance(self.method, Estimator) and self.target is None
+
 
 def shape(df: DataFrame, spec: RunSpec, training: bool) -> DataFrame:
     """Filter and clean; columns are only inspected in training, and frozen after it."""
@@ -115,17 +129,46 @@ def train(df: DataFrame, spec: RunSpec) -> DataFrame:
         scaler.save(spark, _scaler_path(spec))
         frame = scaler.transform(frame)
     frame = _staged(_augmented(frame, spec), spec, True, "augmented")
-    path = store.model_path(spec.root, spec.method, spec.export)
+    path = store.model_path(spec.root, spec.name, spec.export)
     features = _features(frame, spec)
     if spec.method == "isolation_forest":
         forest = fit_isolation_forest(frame, features, [spec.time], **spec.options)
         store.save_forest(spark, forest, path)
+    elif spec.detects:
+        own = spec.method.copy()
+        places = {"featuresCols": features, "featuresCol": features, "keyCols": [spec.time]}
+        given = {own.getParam(p): v for p, v in {**places, **spec.options}.items() if own.hasParam(p)}
+        store.save_model(own.fit(frame, given), path)
+        _save_features(spark, features, path)
     else:
         model = fit_classifier(frame, features, spec.target, spec.method, **spec.options)
         store.save_classifier(spark, model, path)
     return frame
 
 
+def _save_features(spark: SparkSession, features: list[str], path: str) -> None:
+    rows = [(i, f) for i, f in enumerate(features)]
+    spark.createDataFrame(rows, _FEATURES).coalesce(1).write.mode("overwrite").parquet(f"{path}-features")
+
+
+_FEATURES = "place int, feature string"
+
+
+def _load(spark: SparkSession, spec: RunSpec, path: str):
+    """The saved model, the features it wants and how it marks rows; None where nothing was saved."""
+    if spec.method == "isolation_forest":
+        model = store.load_forest(spark, path)
+        return model and (model.features, model.predict)
+    if spec.detects:
+        model = store.load_model(spark, path)
+        if model is None:
+            return None
+        rows = spark.read.schema(_FEATURES).parquet(f"{path}-features").orderBy("place").collect()
+        return [r["feature"] for r in rows], model.transform
+    model = store.load_classifier(spark, path)
+    return model and (model.features, model.predict)
+
+
 def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = None) -> DataFrame:
     """The frame with every named column, the absent ones holding ``value``."""
     absent = [F.lit(value).cast("double").alias(c) for c in names if c not in df.columns]
@@ -135,17 +178,18 @@ def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = Non
 def detect(df: DataFrame, spec: RunSpec) -> DataFrame | None:
     """Anomaly records of new rows, or None where no model was saved."""
     spark = df.sparkSession
-    path = store.model_path(spec.root, spec.method, spec.export)
-    forest = spec.method == "isolation_forest"
-    model = store.load_forest(spark, path) if forest else store.load_classifier(spark, path)
-    if model is None:
+    path = store.model_path(spec.root, spec.name, spec.export)
+    outliers = spec.method == "isolation_forest" or spec.detects
+    loaded = _load(spark, spec, path)
+    if loaded is None:
         return None
+    features, predict = loaded
     scaler = AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None
     # A series that has gone missing is filled and scaled like any other gap.
     frame = shape(_with_columns(df, scaler.params if scaler else ()), spec, False)
     frame = _augmented(scaler.transform(frame) if scaler else frame, spec)
-    frame = _with_columns(frame, model.features, 0.0)
-    judged = model.predict(frame.select(q(spec.time), *[q(c) for c in model.features]))
-    found = detect_outliers(judged, time=spec.time) if forest else detect_classes(judged, time=spec.time)
-    return anomaly_records(found, spec.method, spec.export, spec.interval)
+    frame = _with_columns(frame, features, 0.0)
+    judged = predict(frame.select(q(spec.time), *[q(c) for c in features]))
+    found = detect_outliers(judged, time=spec.time) if outliers else detect_classes(judged, time=spec.time)
+    return anomaly_records(found, spec.name, spec.export, spec.interval)
 
