@@ -51,7 +51,7 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier | None:
 
 def save_forest(spark: SparkSession, forest: IsolationForest, path: str) -> None:
     rows = [
-        (t["tree"], t["feature"], t["threshold"], t["low"], t["high"], t["path"],
+        (t["tree"], t["feature"], t["threshold"], t["low"], t["high"], t["path"], t.get("cover"),
          forest.features, forest.sample_size, forest.offset)
         for t in forest.trees
     ]
@@ -60,7 +60,7 @@ def save_forest(spark: SparkSession, forest: IsolationForest, path: str) -> None
 
 _FOREST = (
     "tree int, feature array<int>, threshold array<double>, low array<int>, high array<int>, "
-    "path array<double>, features array<string>, sample_size int, offset double"
+    "path array<double>, cover array<int>, features array<string>, sample_size int, offset double"
 )
 
 
@@ -69,7 +69,7 @@ def load_forest(spark: SparkSession, path: str) -> IsolationForest | None:
     if not _exists(spark, path):
         return None
     rows = spark.read.schema(_FOREST).parquet(path).orderBy(F.col("tree")).collect()
-    trees = [{k: r[k] for k in ("tree", "feature", "threshold", "low", "high", "path")} for r in rows]
+    trees = [{k: r[k] for k in ("tree", "feature", "threshold", "low", "high", "path", "cover")} for r in rows]
     return IsolationForest(list(rows[0]["features"]), trees, rows[0]["sample_size"], rows[0]["offset"])
 
 

@@ -24,7 +24,7 @@ from metricloom.session import cut_lineage
 
 _TREE = (
     "tree int, feature array<int>, threshold array<double>, low array<int>, high array<int>, "
-    "path array<double>"
+    "path array<double>, cover array<int>"
 )
 _EULER = 0.5772156649015329
 
@@ -123,11 +123,11 @@ def _deal_rows(
 
 
 def _grow(rows: np.ndarray, columns: np.ndarray, rng, limit: int) -> dict:
-    feature, threshold, low, high, path = [], [], [], [], []
+    feature, threshold, low, high, path, cover = [], [], [], [], [], []
 
     def add(part: np.ndarray, depth: int) -> int:
         at = len(feature)
-        for column, value in ((feature, 0), (threshold, 0.0), (low, at), (high, at), (path, 0.0)):
+        for column, value in ((feature, 0), (threshold, 0.0), (low, at), (high, at), (path, 0.0), (cover, len(part))):
             column.append(value)
         known = ~np.isnan(part[:, columns])
         most = np.where(known, part[:, columns], -np.inf).max(axis=0, initial=-np.inf)
@@ -148,7 +148,7 @@ def _grow(rows: np.ndarray, columns: np.ndarray, rng, limit: int) -> dict:
         return at
 
     add(rows, 0)
-    return dict(feature=feature, threshold=threshold, low=low, high=high, path=path)
+    return dict(feature=feature, threshold=threshold, low=low, high=high, path=path, cover=cover)
 
 
 def fit_isolation_forest(

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
-from metricloom.learning import explain, grids, selection, store, supervised
+from metricloom.learning import explain, grids, selection, store, supervised, tree_shapley
 from metricloom.learning.evaluate import ranking_scores
-from metricloom.operators.outliers import fit_isolation_forest
+from metricloom.operators.outliers import average_path, fit_isolation_forest
 from metricloom.operators.points import detect_classes, detect_outliers
 from metricloom.operators.scale import fit_pca, fit_standard, train_test_split
 from metricloom.plans.catalog.inputs import *  # noqa: F403
@@ -160,6 +160,33 @@ def shap_rows(spark, sf):
     return explain.shapley_rows(flagged, NUMBERS, "row_key", forest.score, background, 2)
 
 
+# The values of all rows, exact: with the base value they add up to what the model itself says.
+ADDS_UP = "SELECT count(*) AS n, CAST(0 AS DOUBLE) AS gap FROM lineitem"
+
+
+def _gap(explained, said):
+    total = F.aggregate(F.map_values("analysis"), F.col("base_value"), lambda a, v: a + v)
+    gap = F.round(F.max(F.greatest(F.abs(total - said), F.abs(q("score") - said))), 9) + F.lit(0.0)
+    return explained.agg(F.count(F.lit(1)).alias("n"), gap.alias("gap"))
+
+
+@query("shap_tree_forest", ADDS_UP)
+def shap_tree_forest(spark, sf):
+    rows, forest = _forest(spark, sf)
+    scored = forest.score(rows, "said")
+    explained = tree_shapley.tree_shapley(scored, ["row_key", "said"], tree_shapley.of_forest(forest))
+    return _gap(explained, -F.log2(-q("said")) * average_path(forest.sample_size))
+
+
+@query("shap_tree_classes", ADDS_UP)
+def shap_tree_classes(spark, sf):
+    rows = rows_of(spark, sf)
+    model = _fit(rows, "random_forest", numTrees=10, maxDepth=5)
+    ensemble = tree_shapley.of_classifier(model, "mem")
+    explained = tree_shapley.tree_shapley(model.append(rows), ["row_key", "prob_2"], ensemble)
+    return _gap(explained, q("prob_2"))
+
+
 @query("shap_classes")
 def shap_classes(spark, sf):
     rows = rows_of(spark, sf)

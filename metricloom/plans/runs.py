@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
 from metricloom.learning import store
-from metricloom.learning.supervised import fit_classifier
+from metricloom.learning.supervised import Classifier, fit_classifier
+from metricloom.learning.tree_shapley import of_classifier, of_forest, tree_shapley
 from metricloom.operators import clean
-from metricloom.operators.outliers import fit_isolation_forest
+from metricloom.operators.outliers import IsolationForest, fit_isolation_forest
 from metricloom.operators.points import detect_classes, detect_outliers
 from metricloom.operators.scale import SCALERS, AffineScaler
 from metricloom.sinks.writers import anomaly_records, stage_checkpoint, stage_name
@@ -53,6 +55,7 @@ class RunSpec:
     analysis: dict[str, Step] = field(default_factory=dict)
     solo: bool = False
     checkpoint: bool = False
+    explain: bool = False
     options: dict = field(default_factory=dict)
 
     @property
@@ -158,15 +161,29 @@ def _load(spark: SparkSession, spec: RunSpec, path: str):
     """The saved model, the features it wants and how it marks rows; None where nothing was saved."""
     if spec.method == "isolation_forest":
         model = store.load_forest(spark, path)
-        return model and (model.features, model.predict)
+        return model and (model.features, model.predict, model)
     if spec.detects:
         model = store.load_model(spark, path)
         if model is None:
             return None
         rows = spark.read.schema(_FEATURES).parquet(f"{path}-features").orderBy("place").collect()
-        return [r["feature"] for r in rows], model.transform
+        return [r["feature"] for r in rows], model.transform, getattr(model, "fitted", None)
     model = store.load_classifier(spark, path)
-    return model and (model.features, model.predict)
+    return model and (model.features, model.predict, model)
+
+
+def _explained(judged: DataFrame, model, spec: RunSpec, normal: str) -> DataFrame:
+    """The flagged rows with the values of their features."""
+    key = [spec.time, "prediction"]
+    if isinstance(model, IsolationForest):
+        return tree_shapley(judged.where("prediction = -1"), key, of_forest(model))
+    if not isinstance(model, Classifier):
+        raise ValueError(f"{spec.name} is no ensemble of trees: its records cannot be explained")
+    # A pass over the flagged rows of each class, for each has a score of its own.
+    parts = [
+        tree_shapley(judged.where(q("prediction") == c), key, of_classifier(model, c)) for c in model.classes if c != normal
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = None) -> DataFrame:
@@ -176,20 +193,29 @@ def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = Non
 
 
 def detect(df: DataFrame, spec: RunSpec) -> DataFrame | None:
-    """Anomaly records of new rows, or None where no model was saved."""
+    """Anomaly records of new rows, or None where no model was saved.
+
+    With ``explain`` a record holds ``analysis``, the Shapley value of each feature for the mean path
+    of a forest or the probability of the class found, and the ``base_value`` they are added to.
+    Models need to be ensembles of trees for that.
+    """
     spark = df.sparkSession
     path = store.model_path(spec.root, spec.name, spec.export)
     outliers = spec.method == "isolation_forest" or spec.detects
     loaded = _load(spark, spec, path)
     if loaded is None:
         return None
-    features, predict = loaded
+    features, predict, model = loaded
     scaler = AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None
     # A series that has gone missing is filled and scaled like any other gap.
     frame = shape(_with_columns(df, scaler.params if scaler else ()), spec, False)
     frame = _augmented(scaler.transform(frame) if scaler else frame, spec)
     frame = _with_columns(frame, features, 0.0)
     judged = predict(frame.select(q(spec.time), *[q(c) for c in features]))
-    found = detect_outliers(judged, time=spec.time) if outliers else detect_classes(judged, time=spec.time)
+    keep: list[str] = []
+    if spec.explain:
+        judged, keep = _explained(judged, model, spec, normal="0"), ["analysis", "base_value"]
+    detector = detect_outliers if outliers else detect_classes
+    found = detector(judged, time=spec.time, keep=keep)
     return anomaly_records(found, spec.name, spec.export, spec.interval)
 
