@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
+from metricloom.learning.boosting import at_once
 from metricloom.learning.estimators import judged as judged_by
 from metricloom.learning.evaluate import scores
 from metricloom.learning.supervised import Classifier, class_list, fit_classifier
 from metricloom.operators.ranking import hash_ranks
 from metricloom.operators.scale import SCALERS, fit_pca, hash_share
-from metricloom.session import cut_lineage
+from metricloom.session import stored
 
+FITS_AT_ONCE = 4
 METRICS = ("accuracy", "balanced_accuracy", "f1_weighted", "jaccard_weighted", "kappa", "mcc")
 
 
@@ -60,7 +62,7 @@ def shuffle_splits(
 
 def fold_pairs(df: DataFrame, folds: int) -> list[tuple[DataFrame, DataFrame]]:
     """Train and test rows of every fold; the folds are drawn once and stored."""
-    drawn = cut_lineage(df)
+    drawn = stored(df, "folds")
     return [(drawn.where(q("fold") != i), drawn.where(q("fold") == i)) for i in range(folds)]
 
 
@@ -121,23 +123,25 @@ def cross_validate(
     components: int = 0,
     train_scores: bool = False,
     scorers: Mapping[str, Evaluator] | None = None,
+    threads: int = FITS_AT_ONCE,
 ) -> tuple[list[dict], list[Classifier]]:
     """Scores and model of every split. Each fit and each score is a Spark job of its own.
 
-    ``name`` may be an estimator, and ``scorers`` any evaluators by name.
+    ``name`` may be an estimator, and ``scorers`` any evaluators by name. Splits are fitted from
+    ``threads`` driver threads; the scores do not depend on their number.
     """
-    splits, rows, models = list(splits), [], []
+    splits = list(splits)
     if classes is None:
         train, test = splits[0]
         classes = class_list(train.unionByName(test), target)
-    for i, (train, test) in enumerate(splits):
-        row, model = fit_and_score(
-            train, test, features, target, name, options or {}, classes, scaler, components,
-            train_scores, scorers,
+
+    def fit(split: tuple[DataFrame, DataFrame]) -> tuple[dict, Classifier]:
+        return fit_and_score(
+            *split, features, target, name, options or {}, classes, scaler, components, train_scores, scorers
         )
-        rows.append({"fold": i, **row})
-        models.append(model)
-    return rows, models
+
+    found = at_once(splits[0][0].sparkSession, fit, splits, threads)
+    return [{"fold": i, **row} for i, (row, _) in enumerate(found)], [model for _, model in found]
 
 
 def mean_score(rows: Sequence[dict], metric: str) -> float:

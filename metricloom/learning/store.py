@@ -8,10 +8,11 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.learning.boosting import Softmax
 from metricloom.learning.supervised import Boosted, Classifier
 from metricloom.operators.outliers import HistogramScore, IsolationForest
 
-_META = "name string, features array<string>, classes array<string>, weights array<double>"
+_META = "name string, features array<string>, classes array<string>, weights array<double>, kind string"
 
 
 def model_path(root: str, method: str, export: str) -> str:
@@ -23,12 +24,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def changed_at(spark: SparkSession, path: str) -> int | None:
+    """When a saved model was last written, in milliseconds; None where there is none."""
+    if not _exists(spark, path):
+        return None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # A model is a folder of folders; each is written anew when it is saved again.
+    return max(s.getModificationTime() for s in [system.getFileStatus(folder), *system.listStatus(folder)])
+
+
 def save_classifier(spark: SparkSession, model: Classifier, path: str) -> None:
-    boosted = isinstance(model.model, Boosted)
-    weights = model.model.weights if boosted else []
-    meta = [(model.name, model.features, model.classes, weights)]
+    weights, parts, kind = [], [model.model], "one"
+    if isinstance(model.model, Boosted):
+        weights, parts, kind = model.model.weights, model.model.trees, "votes"
+    elif isinstance(model.model, Softmax):
+        weights, parts, kind = model.model.starts, model.model.models, "softmax"
+    meta = [(model.name, model.features, model.classes, weights, kind)]
     spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    parts = model.model.trees if boosted else [model.model]
     for i, part in enumerate(parts):
         part.write().overwrite().save(f"{path}/part{i}")
 
@@ -39,12 +52,15 @@ def load_classifier(spark: SparkSession, path: str) -> Classifier | None:
         return None
     meta = spark.read.schema(_META).parquet(f"{path}/meta").first()
     count = max(1, len(meta["weights"]))
-    parts = [
-        DefaultParamsReader.loadParamsInstance(f"{path}/part{i}", spark) for i in range(count)
-    ]
-    model = parts[0]
-    if meta["weights"]:
+    # Boosting without a single round has margins and no trees.
+    places = [f"{path}/part{i}" for i in range(count) if _exists(spark, f"{path}/part{i}")]
+    parts = [DefaultParamsReader.loadParamsInstance(p, spark) for p in places]
+    if meta["kind"] == "softmax":
+        model: object = Softmax(parts, list(meta["weights"]))
+    elif meta["weights"]:
         model = Boosted(parts, list(meta["weights"]), len(meta["classes"]))
+    else:
+        model = parts[0]
     assembler = VectorAssembler(inputCols=list(meta["features"]), outputCol="_features")
     return Classifier(meta["name"], list(meta["features"]), list(meta["classes"]), assembler, model)
 

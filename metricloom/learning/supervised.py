@@ -11,7 +11,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
+from metricloom.learning.boosting import Softmax, fit_softmax
 from metricloom.session import cut_lineage
 
 _VECTOR, _LABEL = "_features", "_label"
@@ -102,8 +102,7 @@ def make_estimator(name: str, features: int, classes: int, **options) -> Estimat
     if name == "decision_tree":
         return DecisionTreeClassifier(**{"seed": 42, **common, **options})
     if name == "gbt":
-        one = GBTClassifier(**{"seed": 42, **common, **options})
-        return one if classes == 2 else OneVsRest(classifier=one, **common)
+        return GBTClassifier(**{"seed": 42, **common, **options})
     if name == "mlp":
         hidden = list(options.pop("hidden", (50, 20)))
         layers = [features, *hidden, classes]
@@ -140,14 +139,14 @@ class Classifier:
         _, rows = labelled_vectors(df, self.features, target, self.classes)
         rows = rows.withColumnRenamed(_LABEL, "label").where(F.col("label") >= 0).select(_VECTOR, "label")
         out = self.model.transform(rows)
-        if isinstance(self.model, Boosted):
+        if isinstance(self.model, (Boosted, Softmax)):
             return out.withColumn("prediction", F.col("_code")).withColumn("probability", array_to_vector("_probability"))
         return out
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         """Predicted class, and the class probabilities ``prob`` where the model has them."""
         out = self.model.transform(self.assembler.transform(df))
-        if isinstance(self.model, Boosted):
+        if isinstance(self.model, (Boosted, Softmax)):
             out = out.withColumnRenamed("_probability", "prob")
             code = F.col("_code")
         else:
@@ -213,7 +212,8 @@ def fit_classifier(
 ) -> Classifier:
     """Fit by name, or any Spark ML classifier by object; ``options`` are then its parameters.
 
-    ``validation`` is a 0/1 column that lets boosted trees stop early.
+    ``validation`` is a 0/1 column that lets boosted trees stop early. Boosting of more than two
+    classes is multinomial and has their probabilities.
     """
     features = list(features)
     classes = list(classes) if classes is not None else class_list(df, target)
@@ -226,6 +226,9 @@ def fit_classifier(
     train = train.select(*keep)
     if name == "adaboost":
         model: object = fit_adaboost(train, len(classes), **options)
+    elif name == "gbt" and len(classes) > 2:
+        held = options.pop("validationIndicatorCol", None)
+        model = fit_softmax(train, len(classes), _VECTOR, _LABEL, held, **options)
     elif isinstance(name, Estimator):
         model = fit_own(name, train, **options)
         name = type(name).__name__

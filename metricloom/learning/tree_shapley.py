@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import q
+from metricloom.learning.boosting import Softmax
 from metricloom.learning.supervised import Boosted, Classifier
 from metricloom.operators.outliers import IsolationForest
 from metricloom.session import scratch_path
@@ -127,8 +128,8 @@ def of_classifier(model: Classifier, output: str | None = None) -> Ensemble:
     the logistic function of twice the value. Nodes are read from the model as Spark saves it.
     """
     at = model.classes.index(output) if output is not None else len(model.classes) - 1
-    if isinstance(model.model, Boosted):
-        raise ValueError("the votes of this ensemble do not add up: explain it by coalitions")
+    if isinstance(model.model, (Boosted, Softmax)):
+        raise ValueError("the probabilities of this ensemble do not add up: explain it by coalitions")
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "trees")
     model.model.write().overwrite().save(path)

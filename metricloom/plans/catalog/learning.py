@@ -49,6 +49,21 @@ def clf_gbt(spark, sf):
     return model.append(rows)
 
 
+@query("clf_gbt_probabilities", "SELECT count(*) AS n, count(*) AS whole, count(*) AS chosen FROM lineitem")
+def clf_gbt_probabilities(spark, sf):
+    """Every row's probabilities add up to one, and the class is the likeliest."""
+    rows = rows_of(spark, sf)
+    held = rows.withColumn("held", (F.pmod(q("row_key"), F.lit(5)) == 0).cast("int"))
+    judged = _fit(held, "gbt", validation="held", maxIter=2, maxDepth=3).append(rows)
+    probs = F.array(*[q(f"prob_{i}") for i in range(3)])
+    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
+    best = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.array_position(probs, F.array_max(probs)).cast("int"))
+    return judged.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(total - 1) < 1e-9).alias("whole"),
+        F.count_if(q("pred") == best).alias("chosen"),
+    )
+
+
 @query("clf_mlp")
 def clf_mlp(spark, sf):
     rows = rows_of(spark, sf)

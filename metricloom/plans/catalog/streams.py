@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from metricloom.functions.scalars import epoch_seconds, q, series_name
 from metricloom.operators.outliers import fit_isolation_forest
 from metricloom.operators.points import detect_outliers
-from metricloom.plans import runs
+from metricloom.plans import runs, stream_runs
 from metricloom.plans.catalog.inputs import *  # noqa: F403
+from metricloom.plans.catalog.learning import TARGET, rows_of
 from metricloom.plans.catalog.points import RULES
 from metricloom.plans.catalog.registry import ORACLES, query
 from metricloom.session import scratch_path
@@ -135,6 +136,25 @@ def stream_detect(spark, sf):
     return drained(spark, found, "stream-detect")
 
 
+@query("stream_detect_classes", "SELECT count(*) > 0 AS found, 0 AS missing, 0 AS extra FROM lineitem")
+def stream_detect_classes(spark, sf):
+    """The class records of a stream in three micro-batches against those of the whole table."""
+    rows = rows_of(spark, sf).withColumn("time", F.pmod(q("row_key"), F.lit(2_000_000_000))).drop("row_key")
+    spec = runs.RunSpec(scratch_path(spark, "run"), method="decision_tree", target=TARGET, scaler="StandardScaler", options={"maxDepth": 4})
+    runs.train(rows, spec)
+    rows = rows.drop(TARGET)
+    folder, path = scratch_path(spark, "rows"), scratch_path(spark, "records")
+    rows.repartition(3).write.parquet(folder)
+    arriving = st.read_files(spark, folder, rows.schema, "*.parquet", files=1)
+    stream_runs.detect_stream(arriving, stream_runs.Detection(spec, path)).awaitTermination()
+    ours = ["utc", "hutc", "type", "method", "model", "interval"]
+    streamed, whole = stream_runs.detections(spark, path).select(ours), runs.detect(rows, spec).select(ours)
+    both = whole.withColumn("side", F.lit(1)).unionByName(streamed.withColumn("side", F.lit(-1)))
+    more = both.groupBy(*ours).agg(F.sum("side").alias("more"))
+    side = lambda sign: F.sum(F.greatest(F.lit(sign) * q("more"), F.lit(0))).cast("int")
+    return more.agg((F.count(F.lit(1)) > 0).alias("found"), side(1).alias("missing"), side(-1).alias("extra"))
+
+
 @query("training_run")
 def training_run(spark, sf):
     spec = runs.RunSpec(

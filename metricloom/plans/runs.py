@@ -132,7 +132,7 @@ def train(df: DataFrame, spec: RunSpec) -> DataFrame:
         scaler.save(spark, _scaler_path(spec))
         frame = scaler.transform(frame)
     frame = _staged(_augmented(frame, spec), spec, True, "augmented")
-    path = store.model_path(spec.root, spec.name, spec.export)
+    path = model_place(spec)
     features = _features(frame, spec)
     if spec.method == "isolation_forest":
         forest = fit_isolation_forest(frame, features, [spec.time], **spec.options)
@@ -192,21 +192,29 @@ def _with_columns(df: DataFrame, names: Iterable[str], value: float | None = Non
     return df.select(*[q(c) for c in df.columns], *absent) if absent else df
 
 
-def detect(df: DataFrame, spec: RunSpec) -> DataFrame | None:
+def model_place(spec: RunSpec) -> str:
+    return store.model_path(spec.root, spec.name, spec.export)
+
+
+def load(spark: SparkSession, spec: RunSpec):
+    """The saved model with its scaler, to be handed to ``detect``; None where nothing was saved."""
+    loaded = _load(spark, spec, model_place(spec))
+    return loaded and (*loaded, AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None)
+
+
+def detect(df: DataFrame, spec: RunSpec, loaded=None) -> DataFrame | None:
     """Anomaly records of new rows, or None where no model was saved.
 
     With ``explain`` a record holds ``analysis``, the Shapley value of each feature for the mean path
     of a forest or the probability of the class found, and the ``base_value`` they are added to.
-    Models need to be ensembles of trees for that.
+    Models need to be ensembles of trees for that. ``loaded`` is what ``load`` gives, where it is at
+    hand.
     """
-    spark = df.sparkSession
-    path = store.model_path(spec.root, spec.name, spec.export)
     outliers = spec.method == "isolation_forest" or spec.detects
-    loaded = _load(spark, spec, path)
+    loaded = load(df.sparkSession, spec) if loaded is None else loaded
     if loaded is None:
         return None
-    features, predict, model = loaded
-    scaler = AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None
+    features, predict, model, scaler = loaded
     # A series that has gone missing is filled and scaled like any other gap.
     frame = shape(_with_columns(df, scaler.params if scaler else ()), spec, False)
     frame = _augmented(scaler.transform(frame) if scaler else frame, spec)
