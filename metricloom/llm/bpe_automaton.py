@@ -171,27 +171,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+def spellings(data: dict) -> dict[bytes, int]:
+    """The tokens of a vocabulary file as bytes, with their ids."""
+    letters = byte_letters()
+    return {bytes(letters[x] for x in token): i for token, i in data["model"]["vocab"].items()}
+
+
 class Coder:
-    """Encodes and decodes whole texts; built from the contents of a vocabulary file."""
+    """Encodes whole texts; built from the contents of a vocabulary file."""
 
     def __init__(self, file: bytes):
         data = json.loads(file)
         letters = byte_letters()
         spelled = lambda token: bytes(letters[x] for x in token)
-        ids = {spelled(t): i for t, i in data["model"]["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
-        self.automaton = MergeAutomaton([(spelled(a), spelled(b)) for a, b in pairs], ids)
+        self.automaton = MergeAutomaton([(spelled(a), spelled(b)) for a, b in pairs], spellings(data))
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.labels = dict(self.automaton.spelling) | {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
-        self.pieces = Recent(self._piece)
         self.units = Recent(self._unit)
 
     def _piece(self, word: str) -> bytes:
         return np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join([self.pieces[word] for word in PRESPLIT.findall(unit)])
+        """A word of the pattern is a unit of its own and is remembered as one."""
+        words = PRESPLIT.findall(unit)
+        return self._piece(unit) if len(words) == 1 else b"".join([self.units[word] for word in words])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian unsigned 32-bit integers."""
@@ -205,9 +210,29 @@ class Coder:
         out.extend(map(look, UNITS.findall(text[at:] if at else text)))
         return b"".join(out)
 
+
+class Labels:
+    """Decodes ids by emitting labels: all labels in a row, and where each starts and ends."""
+
+    def __init__(self, file: bytes):
+        data = json.loads(file)
+        labels = {i: b for b, i in spellings(data).items()}
+        labels |= {t["id"]: t["content"].encode() for t in data.get("added_tokens", [])}
+        row = [labels.get(i, b"") for i in range(max(labels) + 1)]
+        self.bytes = np.frombuffer(b"".join(row), np.uint8)
+        self.size = np.array([len(x) for x in row])
+        self.start = self.size.cumsum() - self.size
+        self.known = np.array([i in labels for i in range(len(row))])
+
     def decode(self, ids: bytes) -> str:
         """The labels of the ids in a row; bytes that are no UTF-8 become replacement marks."""
-        return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        arcs = np.frombuffer(ids, "<u4")
+        if len(arcs) and (arcs.max() >= len(self.size) or not self.known[arcs].all()):
+            raise KeyError("an id of no token")
+        size = self.size[arcs]
+        # Byte n of the text is byte n of the labels, moved by how far its label is from its place.
+        place = np.repeat(self.start[arcs] - (size.cumsum() - size), size) + np.arange(size.sum())
+        return self.bytes[place].tobytes().decode("utf-8", "replace")
 
 
 class Recent(dict):
@@ -232,15 +257,15 @@ class Recent(dict):
         self[key] = value
 
 
-_CODERS: dict[int, Coder] = {}
+_KEPT: dict[tuple[type, int], object] = {}
 
 
-def _coder(file: bytes) -> Coder:
+def _kept(kind: type, file: bytes):
     """The coder of this worker; kept, with what it has learnt, from task to task."""
-    key = hash(file)
-    if key not in _CODERS:
-        _CODERS[key] = Coder(file)
-    return _CODERS[key]
+    key = kind, hash(file)
+    if key not in _KEPT:
+        _KEPT[key] = kind(file)
+    return _KEPT[key]
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -260,7 +285,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     file = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(file.value)
+        coder = _kept(Coder, file.value)
         for part in _parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([coder.encode(t or "") for t in part.column(1).to_pylist()], pa.binary())],
@@ -280,9 +305,9 @@ def decode_ids(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> Data
     file = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(file.value)
+        labels = _kept(Labels, file.value)
         for part in _parts(batches):
-            texts = [None if ids is None else coder.decode(ids) for ids in part.column(2).to_pylist()]
+            texts = [None if ids is None else labels.decode(ids) for ids in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.string())], names=["id", "n_tokens", "ids", "decoded"]
             )
