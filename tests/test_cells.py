@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.operators import cells as cl
 from metricloom.operators import neighbours
-from tests.test_detectors import brute_dbscan
+from test_detectors import brute_dbscan
 
 
 @pytest.fixture
