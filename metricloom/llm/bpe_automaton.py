@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,7 @@ class Coder:
     """Encodes whole texts; built from the contents of a vocabulary file."""
 
     def __init__(self, file: bytes):
+        self.file = file
         data = json.loads(file)
         letters = byte_letters()
         spelled = lambda token: bytes(letters[x] for x in token)
@@ -210,6 +212,13 @@ class Coder:
         out.extend(map(look, UNITS.findall(text[at:] if at else text)))
         return b"".join(out)
 
+    @cached_property
+    def labels(self) -> Labels:
+        return Labels(self.file)
+
+    def decode(self, ids: bytes) -> str:
+        return self.labels.decode(ids)
+
 
 class Labels:
     """Decodes ids by emitting labels: all labels in a row, and where each starts and ends."""
