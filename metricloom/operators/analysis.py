@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from metricloom.functions.scalars import q
 from metricloom.operators.clean import drop_null_rows
-from metricloom.operators.ranking import average_ranks, ordinal_codes, running, with_range_block
+from metricloom.operators.ranking import average_rank_table, ordinal_codes, running, with_range_block
 from metricloom.operators.scale import fit_pca, fit_standard
+from metricloom.session import stored
 
 # Polynomial coefficients of Royston's 1995 approximation to the weights of
 # the Shapiro-Wilk statistic, lowest power first.
@@ -67,9 +68,12 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson matrix of average ranks, over rows complete in all columns."""
-    complete = ranked = drop_null_rows(df.select(*[q(c) for c in columns]))
+    complete = drop_null_rows(df.select(*[q(c) for c in columns]))
+    ranks = stored(average_rank_table(complete, columns), "ranks")
+    ranked = complete
     for i, c in enumerate(columns):
-        ranked = average_ranks(ranked, c, f"_r{i}", complete)
+        own = ranks.where(F.col("feature") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+        ranked = ranked.join(own, q(c).cast("double") == F.col(f"_v{i}"))
     names = [f"_r{i}" for i in range(len(columns))]
     table = _pair_table(ranked, names, F.corr, False)
     title = F.element_at(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -182,27 +183,78 @@ def average_ranks(
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float], collect_limit: int = 200_000
 ) -> list[float]:
-    """Exact quantiles with linear interpolation between neighbours.
+    """Exact quantiles of one column with linear interpolation between neighbours."""
+    return exact_quantiles_of(df, [column], probabilities, collect_limit)[0]
 
-    Histogram passes narrow the data down to the value ranges that hold the wanted ranks;
-    only ranges of at most ``collect_limit`` rows are looked at value by value.
+
+def exact_quantiles_of(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], collect_limit: int = 200_000
+) -> list[list[float]]:
+    """Exact quantiles of several columns, in passes that all columns and quantiles share.
+
+    One pass sketches every column, one counts the cells between the sketched quantiles, and
+    what lies in cells that hold a wanted rank is looked at value by value, at most
+    ``collect_limit`` rows; where it is more, these cells are sketched and counted again. Null and
+    NaN do not count; a column without values has NaN.
     """
-    values = df.select(q(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    count, points = values.agg(F.count("x"), _grid()).first()
-    if count == 0:
-        return [math.nan for _ in probabilities]
-    positions = [p * (count - 1) for p in probabilities]
-    wanted = {math.floor(p) for p in positions} | {math.ceil(p) for p in positions}
-    found = _order_statistics(values, count, points, sorted(wanted), collect_limit)
+    names = [f"x{i}" for i in range(len(columns))]
+    doubles = [q(c).cast("double") for c in columns]
+    # Infinite values are counted apart; NaN is above them in Spark's order.
+    values = df.select(*[F.when(F.abs(x) < math.inf, x).alias(n) for n, x in zip(names, doubles)])
+    ends = [F.when(F.abs(x) == math.inf, x).alias(f"e{i}") for i, x in enumerate(doubles)]
+    row = df.select(*ends, *[F.when(F.abs(x) < math.inf, x).alias(n) for n, x in zip(names, doubles)]).agg(
+        *[F.struct(F.count(n), _grid(F.col(n)), F.count_if(F.col(f"e{i}") < 0), F.count_if(F.col(f"e{i}") > 0)) for i, n in enumerate(names)]
+    ).first()
+    found: list[dict[int, float]] = [{} for _ in names]
+    places, open_ranges = [], []
+    for i, (count, points, least, most) in enumerate(row):
+        total = least + count + most
+        at = [p * (total - 1) for p in probabilities] if total else []
+        places.append(at)
+        ranks = sorted({math.floor(p) for p in at} | {math.ceil(p) for p in at})
+        found[i].update({r: -math.inf if r < least else math.inf for r in ranks if not least <= r < least + count})
+        ranks = [r for r in ranks if least <= r < least + count]
+        if ranks:
+            open_ranges.append(_Range(i, -math.inf, math.inf, least, count, ranks, list(points)))
+    while open_ranges:
+        if sum(r.count for r in open_ranges) <= collect_limit:
+            _settle(values, names, open_ranges, found)
+            break
+        open_ranges = _narrow(values, names, open_ranges, found)
+        wide = [r for r in open_ranges if r.count > 1]
+        if wide and sum(r.count for r in open_ranges) > collect_limit:
+            grids = values.agg(*[_grid(F.when(r.holds(names), F.col(names[r.column]))) for r in wide]).first()
+            for r, points in zip(wide, grids):
+                r.points = list(points)
     out = []
-    for position in positions:
-        low, high = found[math.floor(position)], found[math.ceil(position)]
-        out.append(low + (high - low) * (position - math.floor(position)))
+    for i, at in enumerate(places):
+        here = [(found[i][math.floor(p)], found[i][math.ceil(p)], p) for p in at]
+        # Equal neighbours may both be infinite.
+        out.append([a if a == b else a + (b - a) * (p - math.floor(p)) for a, b, p in here] or [math.nan for _ in probabilities])
     return out
 
 
-def _grid() -> Column:
-    return F.percentile_approx("x", [i / _CELLS for i in range(_CELLS + 1)], 20 * _CELLS)
+@dataclass
+class _Range:
+    """Values of a column between two bounds, neither included unless infinite: how many there are
+    below and inside, the ranks wanted inside, and approximate quantiles."""
+
+    column: int
+    low: float
+    high: float
+    before: int
+    count: int
+    ranks: list[int]
+    points: list[float] = field(default_factory=list)
+
+    def holds(self, names: Sequence[str]) -> Column:
+        x = F.col(names[self.column])
+        above = x > self.low if math.isfinite(self.low) else x.isNotNull()
+        return above & (x < self.high) if math.isfinite(self.high) else above
+
+
+def _grid(x: Column) -> Column:
+    return F.percentile_approx(x, [i / _CELLS for i in range(_CELLS + 1)], 20 * _CELLS)
 
 
 def _doubles(numbers: Sequence[float]) -> Column:
@@ -210,58 +262,73 @@ def _doubles(numbers: Sequence[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>")
 
 
-def _at_ranks(counts: Sequence[tuple[float, int]], ranks: Sequence[int]) -> dict[int, float]:
-    found, seen, waiting = {}, 0, list(ranks)
-    for x, n in sorted(counts):
-        seen += n
-        while waiting and waiting[0] < seen:
-            found[waiting.pop(0)] = x
-    return found
-
-
-def _order_statistics(
-    values: DataFrame, count: int, points: Sequence[float], ranks: list[int], collect_limit: int
-) -> dict[int, float]:
-    """Values at sorted 0-based ranks. ``points`` are approximate quantiles of ``values``."""
-    if count <= collect_limit:
-        return _at_ranks([tuple(r) for r in values.groupBy("x").count().collect()], ranks)
-    splits = [-math.inf, *sorted({p for p in points if math.isfinite(p)}), math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="x", outputCol="b")
-    start = F.element_at(_doubles(splits[1:-1]), F.col("b"))
+def _settle(values: DataFrame, names: Sequence[str], ranges: Sequence[_Range], found: list[dict[int, float]]) -> None:
+    """Look up the ranks among the values of the ranges, counted by value."""
+    inside = [F.when(r.holds(names), F.struct(F.lit(n).alias("r"), F.col(names[r.column]).alias("x"))) for n, r in enumerate(ranges)]
+    rows = values.select(F.explode(F.array_compact(F.array(*inside))).alias("v")).groupBy("v.r", "v.x").count()
+    by_range: dict[int, list[tuple[float, int]]] = {}
+    for n, x, count in rows.collect():
+        by_range.setdefault(n, []).append((x, count))
+    for n, r in enumerate(ranges):
+        seen, waiting = r.before, list(r.ranks)
+        for x, count in sorted(by_range.get(n, [])):
+            seen += count
+            while waiting and waiting[0] < seen:
+                found[r.column][waiting.pop(0)] = x
+
+
+def _narrow(
+    values: DataFrame, names: Sequence[str], ranges: Sequence[_Range], found: list[dict[int, float]]
+) -> list[_Range]:
+    """Count the cells of all ranges in one pass; the ranges of cells that hold a wanted rank."""
+    used = sorted({r.column for r in ranges})
+    splits = {}
+    for i in used:
+        points = {p for r in ranges if r.column == i for p in (r.low, r.high, *r.points) if math.isfinite(p)}
+        splits[i] = [-math.inf, *sorted(points), math.inf]
+    cutter = Bucketizer(
+        splitsArray=[splits[i] for i in used], inputCols=[names[i] for i in used],
+        outputCols=[f"b{i}" for i in used], handleInvalid="keep",
+    )
     # A split point itself is a cell of its own, so a frequent value never hides others.
-    cells = (
-        cutter.transform(values)
-        .withColumn("b", F.col("b").cast("int"))
-        .withColumn("inside", F.when(F.col("b") == 0, 1).otherwise((F.col("x") != start).cast("int")))
-        .groupBy("b", "inside")
-        .count()
-        .collect()
+    cells = []
+    for i in used:
+        b, x = F.col(f"b{i}").cast("int"), F.col(names[i])
+        start = F.try_element_at(_doubles(splits[i][1:-1]), b)
+        inside = F.when(b == 0, 1).otherwise((x != start).cast("int"))
+        cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), b.alias("b"), inside.alias("inside"))))
+    some = values.where(reduce(lambda a, b: a | b, [r.holds(names) for r in ranges]))
+    counted = cutter.transform(some).select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    counts: dict[int, list[tuple[int, int, int]]] = {}
+    for i, b, inside, n in counted.groupBy("c.i", "c.b", "c.inside").count().collect():
+        counts.setdefault(i, []).append((b, inside, n))
+    deeper = []
+    for r in ranges:
+        cut, seen, waiting = splits[r.column], r.before, list(r.ranks)
+        for b, inside, n in sorted(counts.get(r.column, [])):
+            low, high = cut[b], cut[b + 1]
+            if (low < r.low or high > r.high) if inside else not r.low < low < r.high:
+                continue
+            here = [w for w in waiting if w < seen + n]
+            waiting = waiting[len(here) :]
+            if here and not inside:
+                found[r.column].update({w: low for w in here})
+            elif here:
+                deeper.append(_Range(r.column, low, high, seen, n, here))
+            seen += n
+    return deeper
+
+
+def average_rank_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, rank) of the distinct values of all columns, ties sharing their mean rank.
+
+    One count and one running sum serve all columns.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), q(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    counts = df.select(F.explode(cells).alias("v")).where("v.value IS NOT NULL").groupBy("v.feature", "v.value").agg(
+        F.count(F.lit(1)).alias("n")
     )
-    found: dict[int, float] = {}
-    deeper: list[tuple[int, int, int, list[int]]] = []
-    seen, waiting = 0, list(ranks)
-    for b, inside, n in sorted(tuple(r) for r in cells):
-        here = [r for r in waiting if r < seen + n]
-        waiting = waiting[len(here) :]
-        if here and not inside:
-            found.update({r: splits[b] for r in here})
-        elif here:
-            deeper.append((b, seen, n, [r - seen for r in here]))
-        seen += n
-
-    def within(b: int) -> Column:
-        return (F.col("x") > splits[b]) & (F.col("x") < splits[b + 1])
-
-    if deeper and sum(n for _, _, n, _ in deeper) <= collect_limit:
-        wanted = reduce(lambda one, other: one | other, [within(b) for b, *_ in deeper])
-        counts = [tuple(r) for r in values.where(wanted).groupBy("x").count().collect()]
-        for b, before, _, here in deeper:
-            part = [(x, n) for x, n in counts if splits[b] < x < splits[b + 1]]
-            found.update({r + before: v for r, v in _at_ranks(part, here).items()})
-        return found
-    for b, before, n, here in deeper:
-        part = values.where(within(b))
-        finer = part.agg(_grid()).first()[0] if n > collect_limit else []
-        inner = _order_statistics(part, n, finer, here, collect_limit)
-        found.update({r + before: v for r, v in inner.items()})
-    return found
+    # Range blocks of the pair (feature, value) follow the order within every feature.
+    blocked = with_range_block(counts, ["feature", "value"], "_cut")
+    ranked = running(blocked, ["value"], {"upto": F.col("n")}, by=["feature"], block="_cut")
+    return ranked.select("feature", "value", (F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).alias("rank"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import present, q
-from metricloom.operators.ranking import exact_quantiles, hash_ranks
+from metricloom.operators.ranking import exact_quantiles_of, hash_ranks
 
 MAX_EXPRESSION_TERMS = 128
 MAX_SINGLE_COLUMNS = 16
@@ -146,11 +146,9 @@ def fit_robust(
     df: DataFrame, columns: Iterable[str], low: float = 0.25, high: float = 0.75
 ) -> AffineScaler:
     """Median 0 and interquartile range 1, from exact quantiles."""
-    params = {}
-    for c in columns:
-        first, middle, third = exact_quantiles(df, c, [low, 0.5, high])
-        params[c] = (middle, (third - first) or 1.0, 0.0)
-    return AffineScaler(params)
+    columns = list(columns)
+    found = exact_quantiles_of(df, columns, [low, 0.5, high])
+    return AffineScaler({c: (m, (third - first) or 1.0, 0.0) for c, (first, m, third) in zip(columns, found)})
 
 
 SCALERS = {
@@ -216,7 +214,8 @@ def fit_quantile(
     """Exact quantiles on an even grid of at most ``n_quantiles`` points."""
     count = min(n_quantiles, df.count())
     grid = [i / (count - 1) for i in range(count)] if count > 1 else [0.0]
-    return QuantileScaler({c: exact_quantiles(df, c, grid) for c in columns})
+    columns = list(columns)
+    return QuantileScaler(dict(zip(columns, exact_quantiles_of(df, columns, grid))))
 
 
 @dataclass(frozen=True)

@@ -61,3 +61,48 @@ def test_hash_ranks_do_not_depend_on_partitions(spark):
     top = one.groupBy("c").agg(F.max("hash_rank").alias("m"), F.count("*").alias("n"),
                                F.count_distinct("hash_rank").alias("d"))
     assert top.where("m <> n OR d <> n").isEmpty()
+
+
+def test_quantiles_of_all_columns_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 4000
+    frame = pd.DataFrame({
+        "a": rng.normal(size=n), "b": rng.integers(0, 7, n).astype(float), "c": np.full(n, 3.0),
+        "d": np.where(np.arange(n) % 3 == 0, 1.5, rng.random(n)), "e": [None] * n, "f": rng.exponential(size=n),
+    })
+    frame.loc[::10, "a"] = np.nan
+    frame.loc[:30, "f"] = np.inf
+    frame.loc[31:90, "f"] = -np.inf
+    df = spark.createDataFrame(frame, ", ".join(f"{c} double" for c in frame)).repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    monkeypatch.setattr(ranking, "_CELLS", 8)  # so that several rounds are needed
+    for limit in (40, 100_000):
+        got = dict(zip(frame, ranking.exact_quantiles_of(df, list(frame), shares, limit)))
+        for c in frame:
+            known = np.sort(frame[c].dropna().to_numpy(float))
+            for share, value in zip(shares, got[c]):
+                if not len(known):
+                    assert np.isnan(value)
+                    continue
+                at = share * (len(known) - 1)
+                low, high = known[int(np.floor(at))], known[int(np.ceil(at))]
+                assert value == (low if low == high else pytest.approx(low + (high - low) * (at - np.floor(at))))
+
+
+def test_number_of_jobs_does_not_follow_columns_or_quantiles(spark):
+    df = spark.range(3000).select(*[((F.col("id") * (i + 7)) % 1009).cast("double").alias(f"c{i}") for i in range(6)])
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(columns, shares):
+        spark.sparkContext.setJobGroup(f"{columns}-{len(shares)}", "")
+        ranking.exact_quantiles_of(df, [f"c{i}" for i in range(columns)], shares, 50)
+        return len(tracker.getJobIdsForGroup(f"{columns}-{len(shares)}"))
+
+    one = jobs(1, [0.5])
+    assert jobs(6, [0.1, 0.25, 0.5, 0.75, 0.9]) <= one + 4
+
+
+def test_rank_table_serves_all_columns(spark):
+    rows = [(3.0, 5.0), (1.0, 5.0), (3.0, 5.0), (None, 1.0), (2.0, None)]
+    got = ranking.average_rank_table(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1.0, 1.0), (0, 2.0, 2.0), (0, 3.0, 3.5), (1, 1.0, 1.0), (1, 5.0, 3.0)]
