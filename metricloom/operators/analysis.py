@@ -42,19 +42,34 @@ _SCORE_SUMS = T.StructType(
 )
 
 
+FEW_COLUMNS = 8
+
+
 def _pair_table(df: DataFrame, columns: Sequence[str], measure, lower: bool) -> DataFrame:
-    """(x, y, value) of every column pair from one aggregation."""
-    cells = []
-    for i, x in enumerate(columns):
-        for j, y in enumerate(columns):
-            if lower and j > i:
-                continue
-            cells.append(
-                F.struct(
-                    F.lit(x).alias("x"), F.lit(y).alias("y"), measure(q(x), q(y)).alias("value")
-                )
-            )
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    """(x, y, value) of every column pair from one aggregation; ``measure`` is symmetric.
+
+    Few columns are measured side by side. The pairs of many would be more expressions than a plan
+    should have: there each row is spread into its pairs, which are grouped before the shuffle.
+    """
+    names = F.array(*[F.lit(c) for c in columns])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    if len(columns) <= FEW_COLUMNS:
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), measure(q(columns[i]), q(columns[j])).alias("value")) for i, j in pairs]
+        half = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    else:
+        values = F.array(*[q(c).cast("double") for c in columns])
+        index = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+        spread = df.select(values.alias("_v"), F.explode(index).alias("_p")).select(
+            "_p.i", "_p.j", F.col("_v")[F.col("_p.i")].alias("a"), F.col("_v")[F.col("_p.j")].alias("b")
+        )
+        half = spread.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j").agg(measure(F.col("a"), F.col("b")).alias("value"))
+        # A pair without a common row has a value too, null.
+        every = df.sparkSession.createDataFrame(pairs, "i int, j int")
+        half = every.join(half, ["i", "j"], "left")
+    if not lower:
+        both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+        half = half.select(F.inline(F.when(F.col("i") == F.col("j"), F.slice(both, 1, 1)).otherwise(both)), "value")
+    return half.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), "value")
 
 
 def corr_pearson(df: DataFrame, columns: Sequence[str], lower: bool = False) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable, Mapping
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.functions.scalars import filled, numeric_columns, present, q, string_columns
 from metricloom.operators.ranking import ordinal_codes, running
@@ -177,6 +180,41 @@ def distinct_terms(df: DataFrame, host: str, term: str) -> DataFrame:
     return df.select(q(host), q(term)).distinct()
 
 
+def stored_range(
+    df: DataFrame, ts: str, gte: float | None = None, lte: float | None = None, date: str | None = None
+) -> DataFrame:
+    """Rows of an inclusive range of epoch seconds, as bounds on the column as it is stored.
+
+    Bounds on a computed time are checked row by row; these reach the files, whose statistics rule
+    out what lies outside. ``date`` names a partition column of UTC days (dates or their ISO
+    text), whose other folders are then not even listed. ``ts`` may be a timestamp with or without
+    zone (then in UTC), a date, or a number of seconds. Rows without a time are left out by a bound.
+    """
+    kind = df.schema[ts].dataType
+    for seconds, side in ((gte, 1), (lte, -1)):
+        if seconds is None:
+            continue
+        # The bound in whole microseconds that lies inside the range.
+        micros = -math.floor(-seconds * 1e6) if side > 0 else math.floor(seconds * 1e6)
+        at = datetime(1970, 1, 1) + timedelta(microseconds=micros)
+        if isinstance(kind, T.TimestampNTZType):
+            bound = F.lit(at.isoformat(" ")).cast("timestamp_ntz")
+        elif isinstance(kind, T.TimestampType):
+            bound = F.timestamp_micros(F.lit(micros))
+        elif isinstance(kind, T.DateType):
+            # A day counts as its first instant.
+            bound = F.lit((at if side < 0 or at == datetime(at.year, at.month, at.day) else at + timedelta(days=1)).date())
+        elif isinstance(kind, T.IntegralType):
+            bound = F.lit(math.ceil(seconds) if side > 0 else math.floor(seconds))
+        else:
+            bound = F.lit(seconds)
+        df = df.where(q(ts) >= bound if side > 0 else q(ts) <= bound)
+        if date is not None:
+            day = F.lit(at.date() if isinstance(df.schema[date].dataType, T.DateType) else at.date().isoformat())
+            df = df.where(q(date) >= day if side > 0 else q(date) <= day)
+    return df
+
+
 def term_query(
     df: DataFrame,
     terms: Mapping[str, object],

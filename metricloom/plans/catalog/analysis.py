@@ -19,9 +19,9 @@ def _pairs(template: str, columns, lower=False, source="lineitem", head="") -> s
     return head + " UNION ALL ".join(cells)
 
 
-@query("corr_pearson", _pairs("corr({x}, {y})", SERIES[:6], source="wide", head=f"WITH {SQL_WIDE} "))
+@query("corr_pearson", _pairs("corr({x}, {y})", SERIES, source="wide", head=f"WITH {SQL_WIDE} "))
 def corr_pearson(spark, sf):
-    return rounded(a.corr_pearson(wide(spark, sf), SERIES[:6]))
+    return rounded(a.corr_pearson(wide(spark, sf), SERIES))
 
 
 @query("corr_lower", _pairs("corr({x}, {y})", NUMBERS, lower=True))
@@ -29,13 +29,14 @@ def corr_lower(spark, sf):
     return rounded(a.corr_pearson(lineitem(spark, sf), NUMBERS, lower=True))
 
 
-@query(
-    "covariance_matrix",
-    _pairs("covar_samp({x}, {y})", [c for c in NUMBERS if c != "l_extendedprice"]),
-)
+# Prices in thousands, so that six places hold what both engines agree on.
+THOUSANDS = "WITH t AS (SELECT * REPLACE (l_extendedprice / 1000 AS l_extendedprice) FROM lineitem) "
+
+
+@query("covariance_matrix", _pairs("covar_samp({x}, {y})", NUMBERS, source="t", head=THOUSANDS))
 def covariance_matrix(spark, sf):
-    columns = [c for c in NUMBERS if c != "l_extendedprice"]
-    return rounded(a.covariance_matrix(lineitem(spark, sf), columns))
+    rows = lineitem(spark, sf).withColumn("l_extendedprice", q("l_extendedprice") / 1000)
+    return rounded(a.covariance_matrix(rows, NUMBERS))
 
 
 RANKS = "WITH r AS (SELECT " + ", ".join(
@@ -79,21 +80,21 @@ def rank_shapiro(spark, sf):
     return a.rank_shapiro(lineitem(spark, sf), NUMBERS)
 
 
-@query("line_series", f"WITH {SQL_WIDE} SELECT time, {sql_rounded(SERIES[:3])} FROM wide ORDER BY time")
+@query("line_series", f"WITH {SQL_WIDE} SELECT time, {sql_rounded(SERIES)} FROM wide ORDER BY time")
 def line_series(spark, sf):
-    return rounded(a.line_series(wide(spark, sf), SERIES[:3]))
+    return rounded(a.line_series(wide(spark, sf), SERIES))
 
 
 @query(
     "class_feature_series",
     f"""WITH {SQL_WIDE} SELECT time, target, feature, {r6("value")} AS value FROM (
-        SELECT time, CASE WHEN time % 86400 < 21600 THEN 'night' ELSE 'day' END AS target, {", ".join(SERIES[:4])} FROM wide)
-        UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(SERIES[:4])}))""",
+        SELECT time, CASE WHEN time % 86400 < 21600 THEN 'night' ELSE 'day' END AS target, {", ".join(SERIES)} FROM wide)
+        UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(SERIES)}))""",
 )
 def class_feature_series(spark, sf):
     part = F.when(q("time") % 86400 < 21600, "night").otherwise("day")
     frame = wide(spark, sf).withColumn("target", part)
-    return rounded(a.class_feature_series(frame, SERIES[:4], "target"))
+    return rounded(a.class_feature_series(frame, SERIES, "target"))
 
 
 @query(
@@ -122,11 +123,11 @@ def pca_projection(spark, sf):
     f"""WITH {SQL_FAULTS}, {SQL_WIDE[len(SQL_SAMPLES) + 2:]}, m AS (
       SELECT w.time, max_by(f.label, f.seq) AS label FROM wide w
       JOIN faults f ON w.time BETWEEN f.start AND f.stop GROUP BY 1), l AS (
-      SELECT w.time, coalesce(label, '0') AS target, {SERIES[0]}, {SERIES[1]} FROM wide w LEFT JOIN m USING (time))
+      SELECT w.time, coalesce(label, '0') AS target, {", ".join(SERIES)} FROM wide w LEFT JOIN m USING (time))
     SELECT time, target, feature, {r6("value")} AS value FROM l
-      UNPIVOT INCLUDE NULLS (value FOR feature IN ({SERIES[0]}, {SERIES[1]}))""",
+      UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(SERIES)}))""",
 )
 def labelled_series(spark, sf):
     """Wide series with the fault of their hour, as the class-wise plots read them."""
     frame = label_intervals(wide(spark, sf), faults(spark, sf))
-    return rounded(a.class_feature_series(frame, SERIES[:2], "target"))
+    return rounded(a.class_feature_series(frame, SERIES, "target"))

@@ -16,7 +16,7 @@ LOW, HIGH = 1704067200, 1706659199
         {r6("avg(value)")} AS value FROM samples GROUP BY 1, 2, 3""",
 )
 def bucket_avg_query(spark, sf):
-    frame = b.bucket_avg(samples(spark, sf), 300, ["value"], by=["metric", "instance"], gte=LOW)
+    frame = b.bucket_avg(samples(spark, sf, LOW), 300, ["value"], by=["metric", "instance"], gte=LOW)
     return rounded(frame)
 
 

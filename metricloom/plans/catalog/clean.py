@@ -195,7 +195,7 @@ def distinct_terms(spark, sf):
 )
 def term_query(spark, sf):
     terms = {"metric": "click", "instance": "node1"}
-    hits = clean.term_query(samples(spark, sf), terms, "time", 1704412800, 1705276800)
+    hits = clean.term_query(samples(spark, sf, 1704412800, 1705276800), terms, "time", 1704412800, 1705276800)
     return hits.select("event_id", "value")
 
 

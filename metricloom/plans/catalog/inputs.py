@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import epoch_seconds, q, series_name
 from metricloom.operators.buckets import bucket_avg, bucket_avg_by_term
+from metricloom.operators.clean import stored_range
 from metricloom.operators.scale import vector_columns
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
@@ -22,9 +23,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Long samples: one row per event."""
-    events = table(spark, sf, "events")
+def samples(spark: SparkSession, sf: str, gte: float | None = None, lte: float | None = None) -> DataFrame:
+    """Long samples: one row per event; only those of a range are read."""
+    events = stored_range(table(spark, sf, "events"), "ts", gte, lte)
     metric = q("event_type")
     instance = F.concat(F.lit("node"), F.pmod(q("user_id"), F.lit(4)).cast("string"))
     none = F.lit(None).cast("string")

@@ -176,6 +176,15 @@ def frame_equal(spark, sf):
     return u.frame_equal(left, left.select(*reversed(NUMBERS)).repartition(7))
 
 
+@query("frame_unequal", "SELECT false AS equal")
+def frame_unequal(spark, sf):
+    """One value of one row differs."""
+    left = lineitem(spark, sf)
+    first = left.agg(F.min("row_key")).first()[0]
+    other = left.withColumn("l_tax", F.when(q("row_key") == first, q("l_tax") + 1).otherwise(q("l_tax")))
+    return u.frame_equal(left, other)
+
+
 @query(
     "multiset_diff",
     """SELECT l_quantity, l_discount, CAST(sum(s) AS BIGINT) AS surplus FROM (
