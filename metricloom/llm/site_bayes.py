@@ -233,8 +233,8 @@ def bad_probability(odds: Column) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Per (host, path) of (host, path, p): n, the sum, the strength of the path level and the
-    host's posterior rate; and the corpus rate. Null hosts and paths are sites of their own."""
+    """Per (host, path) of (host, path, p): n, the sum, the strength of the path level, the same of
+    the host and its posterior rate; and the corpus rate. Null hosts and paths are sites of their own."""
     paths = written(
         scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "quality-paths"
     )
@@ -243,7 +243,7 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     hosts = hosts.withColumn(
         "host_rate", (F.col("s_host") + F.lit(mean * strength)) / (F.col("n_host") + F.lit(strength))
     )
-    named = hosts.select(F.col("host").alias("_host"), "host_rate")
+    named = hosts.select(F.col("host").alias("_host"), "host_rate", "n_host", "s_host", F.lit(strength).alias("host_strength"))
     joined = paths.join(named, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     within = joined.agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
@@ -273,16 +273,18 @@ def _path_strength(row) -> float:
 
 
 def _combined(scored: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
-    """``scored`` with host_rate, path_rate (its own part taken out) and probability."""
-    sites = sites.select(
-        F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "s", "host_rate", "path_strength"
-    )
+    """``scored`` with host_rate, path_rate and probability.
+
+    A document's own part is taken out of its path and of the host that the path is shrunk to: a
+    site of one document says no more than the corpus.
+    """
+    sites = sites.withColumnsRenamed({"host": "_host", "path": "_path"})
     together = scored.join(
         sites, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     )
-    others = (F.greatest(F.col("s") - F.col("p"), F.lit(0.0)) + F.col("host_rate") * F.col("path_strength")) / (
-        F.col("n") - 1 + F.col("path_strength")
-    )
+    rest = lambda total: F.greatest(F.col(total) - F.col("p"), F.lit(0.0))
+    host = (rest("s_host") + F.lit(mean) * F.col("host_strength")) / (F.col("n_host") - 1 + F.col("host_strength"))
+    others = (rest("s") + host * F.col("path_strength")) / (F.col("n") - 1 + F.col("path_strength"))
     odds = lambda x: F.log(x) - F.log(1 - x)
     inside = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
     middle = float(np.clip(mean, 1e-9, 1 - 1e-9))

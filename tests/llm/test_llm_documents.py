@@ -310,6 +310,31 @@ def test_classifier_on_held_out_documents(spark):
     assert caught >= 0.9 * n and wrong <= 0.02 * unseen.count()
 
 
+def test_site_posteriors_by_hand(spark):
+    """Rates of sites from plain sums; a document does not speak for itself."""
+    random = np.random.default_rng(4)
+    rows = [(f"h{h}", f"p{random.integers(3)}", float(random.beta(1 + h, 6))) for h in range(5) for _ in range(40)]
+    rows += [("alone", "p0", 0.99), (None, None, 0.4), (None, None, 0.2)]
+    scored = spark.createDataFrame(rows, "host string, path string, p double")
+    sites, mean = site_bayes.site_posteriors(scored)
+    first = sites.first()
+    k, m = first.host_strength, first.path_strength
+    assert mean == pytest.approx(sum(p for *_, p in rows) / len(rows)) and k > 0 and m > 0
+    found = site_bayes._combined(scored, sites, mean).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        at_host = [p for h, _, p in rows if h == r.host]
+        at_path = [p for h, x, p in rows if (h, x) == (r.host, r.path)]
+        assert r.host_rate == pytest.approx((sum(at_host) + mean * k) / (len(at_host) + k))
+        host = (sum(at_host) - r.p + mean * k) / (len(at_host) - 1 + k)
+        path = (sum(at_path) - r.p + host * m) / (len(at_path) - 1 + m)
+        assert r.path_rate == pytest.approx(path)
+        odds = r.p / (1 - r.p) * path / (1 - path) * (1 - mean) / mean
+        assert r.probability == pytest.approx(odds / (1 + odds))
+    [alone] = [r for r in found if r.host == "alone"]
+    assert alone.path_rate == pytest.approx(mean) and alone.probability == pytest.approx(0.99)
+
+
 # --- empty tables -------------------------------------------------------------------------------
 
 
