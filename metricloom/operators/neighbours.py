@@ -7,6 +7,7 @@ per point, never its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -164,13 +165,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     state = stored(down.distinct(), "edges")
-    before = None
+    before, size = None, state.count()
     while True:
-        state = stored(_small_star(_large_star(state)), "edges")
+        # A round has no more edges than the one before but for the stars' own; few take one task.
+        state = stored(_small_star(_large_star(state)).coalesce(math.ceil(size / TASK_EDGES) or 1), "edges")
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             return state
-        before = mark
+        before, size = mark, mark[0]
+
+
+TASK_EDGES = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
