@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import fields, is_dataclass
+
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.util import DefaultParamsReader
@@ -10,7 +13,8 @@ from pyspark.sql import functions as F
 
 from metricloom.learning.boosting import Softmax
 from metricloom.learning.supervised import Boosted, Classifier
-from metricloom.operators.outliers import HistogramScore, IsolationForest
+from metricloom.operators.outliers import ClusterScore, CutScore, HistogramScore, IsolationForest, ReconstructionScore
+from metricloom.operators.scale import AffineScaler, PowerScaler, Projection, QuantileScaler
 
 _META = "name string, features array<string>, classes array<string>, weights array<double>, kind string"
 
@@ -106,6 +110,42 @@ def load_histograms(spark: SparkSession, path: str) -> tuple[HistogramScore, flo
     return HistogramScore(bins, rows[0]["tol"]), rows[0]["cut"]
 
 
+# What is saved as its fields: bounded parameter sets, whatever the rows they were fitted to.
+STATES = {
+    c.__name__: c for c in (
+        AffineScaler, QuantileScaler, PowerScaler, Projection, HistogramScore, ClusterScore, ReconstructionScore, CutScore,
+    )
+}
+
+
+def _plain(value):
+    if is_dataclass(value):
+        return {"kind": type(value).__name__, "fields": {f.name: _plain(getattr(value, f.name)) for f in fields(value)}}
+    if isinstance(value, dict):
+        return {"entries": [[k, _plain(v)] for k, v in value.items()]}
+    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def _built(value):
+    if isinstance(value, dict) and "kind" in value:
+        return STATES[value["kind"]](**{k: _built(v) for k, v in value["fields"].items()})
+    if isinstance(value, dict):
+        return {k: _built(v) for k, v in value["entries"]}
+    return [_built(v) for v in value] if isinstance(value, list) else value
+
+
+def save_state(spark: SparkSession, fitted, path: str) -> None:
+    """A fitted scaler, projection or detector as one line of JSON."""
+    if type(fitted).__name__ not in STATES:
+        raise ValueError(f"{type(fitted).__name__} is not saved by its fields")
+    spark.createDataFrame([(json.dumps(_plain(fitted)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_state(spark: SparkSession, path: str):
+    """What ``save_state`` has saved; None where there is none."""
+    return _built(json.loads(spark.read.text(path).first()[0])) if _exists(spark, path) else None
+
+
 def save_model(model: Model, path: str) -> None:
     """Any fitted Spark ML model, a user's own or ours."""
     model.write().overwrite().save(path)

@@ -319,22 +319,63 @@ def fit_cblof(
 # --- reconstruction error -----------------------------------------------------------------
 
 
-def reconstruction_error(
-    df: DataFrame, features: Sequence[str], k: int, name: str = "score"
-) -> DataFrame:
-    """Distance between standardised rows and their image in ``k`` components.
+@dataclass(frozen=True)
+class ReconstructionScore:
+    """Distance between standardised rows and their image in a few components."""
 
-    Components are orthonormal, so the squared error is what the projection leaves of the
-    squared length.
-    """
+    features: list[str]
+    center: list[float]
+    spread: list[float]
+    components: list[list[float]]
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        rows = F.array(*[q(c).cast("double") for c in self.features])
+        return df.withColumn(name, _residual(self.center, self.spread, self.components)(rows))
+
+
+def fit_reconstruction(df: DataFrame, features: Sequence[str], k: int = 2) -> ReconstructionScore:
+    """Components are orthonormal, so the squared error is what the projection leaves of the
+    squared length."""
     features = list(features)
     scaler = fit_standard(df, features)
     projection = fit_pca(scaler.transform(df), features, k)
     params = [scaler.params[c] for c in features]
     center = [p[0] + m * p[1] for p, m in zip(params, projection.means)]
-    spread = [p[1] for p in params]
-    rows = F.array(*[q(c).cast("double") for c in features])
-    return df.withColumn(name, _residual(center, spread, projection.components)(rows))
+    return ReconstructionScore(features, center, [p[1] for p in params], projection.components)
+
+
+def reconstruction_error(
+    df: DataFrame, features: Sequence[str], k: int, name: str = "score"
+) -> DataFrame:
+    """Rows with the score of a model fitted to them."""
+    return fit_reconstruction(df, features, k).score(df, name)
+
+
+# --- scores with a cut --------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class CutScore:
+    """A detector whose rows above a cut are anomalies."""
+
+    features: list[str]
+    detector: HistogramScore | ClusterScore | ReconstructionScore
+    cut: float
+
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """-1 for anomalies, 1 for other rows, those without a score among them."""
+        return self.detector.score(df).withColumn(name, F.when(F.col("score") > F.lit(self.cut), -1).otherwise(1))
+
+
+DETECTORS = {"hbos": fit_hbos, "cblof": fit_cblof, "reconstruction": fit_reconstruction}
+
+
+def fit_cut(df: DataFrame, features: Sequence[str], method: str, contamination: float = 0.1, **options) -> CutScore:
+    """Fit a detector by name and cut at the quantile of its training scores."""
+    features = list(features)
+    detector = DETECTORS[method](df, features, **options)
+    scores = cut_lineage(detector.score(df).select("score"))
+    return CutScore(features, detector, exact_quantiles(scores, "score", [1 - contamination])[0])
 
 
 def _residual(center: list[float], spread: list[float], components: list[list[float]]):

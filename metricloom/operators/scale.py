@@ -31,6 +31,10 @@ class AffineScaler:
 
     params: dict[str, tuple[float, float, float]]
 
+    @property
+    def columns(self) -> list[str]:
+        return list(self.params)
+
     def transform(self, df: DataFrame) -> DataFrame:
         def cell(name: str) -> Column:
             if name not in self.params:
@@ -185,6 +189,10 @@ class QuantileScaler:
 
     grids: dict[str, list[float]]
 
+    @property
+    def columns(self) -> list[str]:
+        return list(self.grids)
+
     def transform(self, df: DataFrame) -> DataFrame:
         new = {c: _interpolator(g)(q(c).cast("double")) for c, g in self.grids.items()}
         return df.select(*[new.get(c, q(c)).alias(c) for c in df.columns])
@@ -225,6 +233,10 @@ class PowerScaler:
     lambdas: dict[str, float]
     standard: AffineScaler
 
+    @property
+    def columns(self) -> list[str]:
+        return list(self.lambdas)
+
     def transform(self, df: DataFrame) -> DataFrame:
         powered = df.select(
             *[

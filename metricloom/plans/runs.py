@@ -19,11 +19,13 @@ from metricloom.learning import store
 from metricloom.learning.supervised import Classifier, fit_classifier
 from metricloom.learning.tree_shapley import of_classifier, of_forest, tree_shapley
 from metricloom.operators import clean
-from metricloom.operators.outliers import IsolationForest, fit_isolation_forest
+from metricloom.operators.outliers import DETECTORS, IsolationForest, fit_cut, fit_isolation_forest
 from metricloom.operators.points import detect_classes, detect_outliers
-from metricloom.operators.scale import SCALERS, AffineScaler
+from metricloom.operators.scale import SCALERS, fit_power, fit_quantile
 from metricloom.sinks.writers import anomaly_records, stage_checkpoint, stage_name
 
+_SCALERS = {**SCALERS, "QuantileTransformer": fit_quantile, "PowerTransformer": fit_power}
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -67,6 +69,10 @@ class RunSpec:
         """Whether an estimator of the user's is a detector."""
         return isinstance(self.method, Estimator) and self.target is None
 
+    @property
+    def finds_outliers(self) -> bool:
+        return self.method == "isolation_forest" or self.method in DETECTORS or self.detects
+
 
 def shape(df: DataFrame, spec: RunSpec, training: bool) -> DataFrame:
     """Filter and clean; columns are only inspected in training, and frozen after it."""
@@ -128,8 +134,8 @@ def train(df: DataFrame, spec: RunSpec) -> DataFrame:
     spark = df.sparkSession
     frame = _staged(shape(df, spec, True), spec, True, "filtered")
     if spec.scaler:
-        scaler = SCALERS[spec.scaler](frame, _features(frame, spec))
-        scaler.save(spark, _scaler_path(spec))
+        scaler = _SCALERS[spec.scaler](frame, _features(frame, spec))
+        store.save_state(spark, scaler, _scaler_path(spec))
         frame = scaler.transform(frame)
     frame = _staged(_augmented(frame, spec), spec, True, "augmented")
     path = model_place(spec)
@@ -137,6 +143,8 @@ def train(df: DataFrame, spec: RunSpec) -> DataFrame:
     if spec.method == "isolation_forest":
         forest = fit_isolation_forest(frame, features, [spec.time], **spec.options)
         store.save_forest(spark, forest, path)
+    elif spec.method in DETECTORS:
+        store.save_state(spark, fit_cut(frame, features, spec.method, **spec.options), path)
     elif spec.detects:
         own = spec.method.copy()
         places = {"featuresCols": features, "featuresCol": features, "keyCols": [spec.time]}
@@ -162,6 +170,9 @@ def _load(spark: SparkSession, spec: RunSpec, path: str):
     if spec.method == "isolation_forest":
         model = store.load_forest(spark, path)
         return model and (model.features, model.predict, model)
+    if spec.method in DETECTORS:
+        model = store.load_state(spark, path)
+        return model and (model.features, model.predict, model)
     if spec.detects:
         model = store.load_model(spark, path)
         if model is None:
@@ -199,7 +210,7 @@ def model_place(spec: RunSpec) -> str:
 def load(spark: SparkSession, spec: RunSpec):
     """The saved model with its scaler, to be handed to ``detect``; None where nothing was saved."""
     loaded = _load(spark, spec, model_place(spec))
-    return loaded and (*loaded, AffineScaler.load(spark, _scaler_path(spec)) if spec.scaler else None)
+    return loaded and (*loaded, store.load_state(spark, _scaler_path(spec)) if spec.scaler else None)
 
 
 def detect(df: DataFrame, spec: RunSpec, loaded=None) -> DataFrame | None:
@@ -210,13 +221,13 @@ def detect(df: DataFrame, spec: RunSpec, loaded=None) -> DataFrame | None:
     Models need to be ensembles of trees for that. ``loaded`` is what ``load`` gives, where it is at
     hand.
     """
-    outliers = spec.method == "isolation_forest" or spec.detects
+    outliers = spec.finds_outliers
     loaded = load(df.sparkSession, spec) if loaded is None else loaded
     if loaded is None:
         return None
     features, predict, model, scaler = loaded
     # A series that has gone missing is filled and scaled like any other gap.
-    frame = shape(_with_columns(df, scaler.params if scaler else ()), spec, False)
+    frame = shape(_with_columns(df, scaler.columns if scaler else ()), spec, False)
     frame = _augmented(scaler.transform(frame) if scaler else frame, spec)
     frame = _with_columns(frame, features, 0.0)
     judged = predict(frame.select(q(spec.time), *[q(c) for c in features]))
