@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.scalars import q
 from metricloom.operators.ranking import exact_quantiles
 from metricloom.operators.scale import fit_pca, fit_standard
-from metricloom.session import cut_lineage
+from metricloom.session import cut_lineage, stored
 
 _TREE = (
     "tree int, feature array<int>, threshold array<double>, low array<int>, high array<int>, "
@@ -78,26 +78,30 @@ class IsolationForest:
         )
 
 
+_CUTS = ("feature", "threshold", "low", "high")
+
+
+def _leaves(rows: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """The leaf of every row. Leaves point to themselves, so all rows can step until none moves."""
+    feature, threshold, low, high = cuts
+    node, here = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+    while True:
+        below = rows[here, feature[node]] <= threshold[node]
+        following = np.where(below, low[node], high[node])
+        if np.array_equal(following, node):
+            return node
+        node = following
+
+
 def _mean_path(trees: list[dict]):
     @F.pandas_udf("double")
     def mean_path(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        grown = [
-            tuple(np.asarray(t[k]) for k in ("feature", "threshold", "low", "high", "path"))
-            for t in trees
-        ]
+        grown = [([np.asarray(t[k]) for k in _CUTS], np.asarray(t["path"])) for t in trees]
         for batch in batches:
             rows = np.column_stack([column.to_numpy(float) for column in batch])
-            total, here = np.zeros(len(rows)), np.arange(len(rows))
-            for feature, threshold, low, high, path in grown:
-                node = np.zeros(len(rows), dtype=np.int64)
-                while True:
-                    # Leaves point to themselves, so all rows can step until none moves.
-                    below = rows[here, feature[node]] <= threshold[node]
-                    following = np.where(below, low[node], high[node])
-                    if np.array_equal(following, node):
-                        break
-                    node = following
-                total += path[node]
+            total = np.zeros(len(rows))
+            for cuts, path in grown:
+                total += path[_leaves(rows, cuts)]
             yield pd.Series(total / len(grown))
 
     return mean_path
@@ -151,6 +155,153 @@ def _grow(rows: np.ndarray, columns: np.ndarray, rng, limit: int) -> dict:
     return dict(feature=feature, threshold=threshold, low=low, high=high, path=path, cover=cover)
 
 
+# --- trees over more rows than a task should hold ------------------------------------------
+
+TASK_SAMPLE = 1 << 14
+WIDE_LEVELS = 12
+_STATE_CELLS = 1 << 22
+_POISSON_TAIL = 40
+
+
+def _times_drawn(hashes: np.ndarray, tree: int, seed: int, share: float, bootstrap: bool) -> np.ndarray:
+    """How often each row is in a tree's sample: a function of its hash, the tree and the seed."""
+    if share >= 1 and not bootstrap:
+        return np.ones(len(hashes), dtype=np.int64)
+    # The constants of the splitmix64 generator.
+    step, first, second = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+    mixed = hashes.astype(np.int64).view(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) * step % 2**64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(first)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(second)
+    uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+    if not bootstrap:
+        return (uniform < share).astype(np.int64)
+    # Drawing with replacement from many rows takes each a Poisson number of times.
+    chances = [math.exp(k * math.log(share) - share - math.lgamma(k + 1)) for k in range(_POISSON_TAIL)]
+    return np.searchsorted(np.cumsum(chances), uniform, side="right")
+
+
+def _level_sums(trees: list[dict], ids: list[int], slots: list[np.ndarray], wide: int, draw):
+    """Rows and value range of each open leaf, from one partition's rows."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cuts = [[np.asarray(t[k]) for k in _CUTS] for t in trees]
+        open_leaves = [int(s.max()) + 1 for s in slots]
+        count = [np.zeros(n, dtype=np.int64) for n in open_leaves]
+        least = [np.full((n, wide), np.inf) for n in open_leaves]
+        most = [np.full((n, wide), -np.inf) for n in open_leaves]
+        for batch in batches:
+            hashes = batch["_hash"].to_numpy()
+            rows = batch.drop(columns="_hash").to_numpy(float)
+            for i, tree in enumerate(ids):
+                times = draw(hashes, tree)
+                slot = np.where(times > 0, slots[i][_leaves(rows, cuts[i])], -1)
+                order = np.argsort(slot, kind="stable")
+                order = order[np.searchsorted(slot[order], 0):]
+                if not len(order):
+                    continue
+                starts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+                here, part = slot[order][starts], rows[order]
+                known = ~np.isnan(part)
+                count[i][here] += np.add.reduceat(times[order], starts)
+                least[i][here] = np.minimum(
+                    least[i][here], np.minimum.reduceat(np.where(known, part, np.inf), starts, axis=0)
+                )
+                most[i][here] = np.maximum(
+                    most[i][here], np.maximum.reduceat(np.where(known, part, -np.inf), starts, axis=0)
+                )
+        for i, tree in enumerate(ids):
+            seen = np.flatnonzero(count[i])
+            ends = np.hstack([least[i][seen], most[i][seen]])
+            frame = pd.DataFrame(ends, columns=[f"e{j}" for j in range(2 * wide)])
+            frame.insert(0, "n", count[i][seen])
+            frame.insert(0, "slot", seen.astype(np.int32))
+            frame.insert(0, "tree", np.int32(tree))
+            yield frame
+
+    return sums
+
+
+def _split_leaves(tree: dict, depth: int, last: bool, columns: np.ndarray, wide: int, found: dict, rng) -> None:
+    """Close or cut the open leaves of one tree by what the rows say about them."""
+    leaves, tree["open"] = tree["open"], []
+    for slot, at in enumerate(leaves):
+        n, least, most = found.get(slot, (0, None, None))
+        tree["cover"][at], tree["path"][at] = n, depth + average_path(n)
+        choice = columns[most[columns] > least[columns]] if n > 1 and not last else ()
+        if not len(choice):
+            continue
+        chosen = int(rng.choice(choice))
+        cut = rng.uniform(least[chosen], most[chosen])
+        cut = cut if cut < most[chosen] else least[chosen]
+        tree["feature"][at], tree["threshold"][at], tree["path"][at] = chosen, float(cut), 0.0
+        for side in ("low", "high"):
+            tree[side][at] = _new_leaf(tree)
+
+
+def _new_leaf(tree: dict) -> int:
+    at = len(tree["feature"])
+    for name, value in (("feature", 0), ("threshold", 0.0), ("low", at), ("high", at), ("path", 0.0), ("cover", 0)):
+        tree[name].append(value)
+    tree["open"].append(at)
+    return at
+
+
+def _grow_by_level(
+    df: DataFrame, features: list[str], key: Sequence[str], trees: int, share: float, levels: int,
+    used: int, bootstrap: bool, seed: int,
+) -> list[dict]:
+    """Grow trees over all rows at once, a level in one pass and one small grouped aggregation.
+
+    No row is copied or shuffled: a task looks up its rows' leaves and sends on the count and the
+    value range of each. What a task and the driver hold follows leaves and columns, not rows.
+    """
+    wide = len(features)
+    rows = stored(
+        df.select(
+            F.xxhash64(*[q(k) for k in key], F.lit(seed)).alias("_hash"),
+            *[q(c).cast("double").alias(f"c{j}") for j, c in enumerate(features)],
+        ),
+        "forest-rows",
+    )
+    ends = [f"e{j}" for j in range(2 * wide)]
+    schema = "tree int, slot int, n bigint, " + ", ".join(f"{e} double" for e in ends)
+    merged = [F.sum("n")] + [F.min(e) for e in ends[:wide]] + [F.max(e) for e in ends[wide:]]
+    at_once = max(1, _STATE_CELLS // (2**levels * wide * 2))
+
+    def draw(hashes, tree):
+        return _times_drawn(hashes, tree, seed, share, bootstrap)
+
+    grown: list[dict] = []
+    for start in range(0, trees, at_once):
+        ids = list(range(start, min(trees, start + at_once)))
+        rngs = [np.random.default_rng([seed, t]) for t in ids]
+        picked = [np.sort(rng.choice(wide, min(used, wide), replace=False)) for rng in rngs]
+        group = [{k: [] for k in (*_CUTS, "path", "cover", "open")} for _ in ids]
+        for tree in group:
+            _new_leaf(tree)
+        for depth in range(levels + 1):
+            live = [i for i, tree in enumerate(group) if tree["open"]]
+            if not live:
+                break
+            slots = []
+            for i in live:
+                slot = np.full(len(group[i]["feature"]), -1, dtype=np.int64)
+                slot[group[i]["open"]] = np.arange(len(group[i]["open"]))
+                slots.append(slot)
+            sums = _level_sums([group[i] for i in live], [ids[i] for i in live], slots, wide, draw)
+            found: dict = {}
+            for row in rows.mapInPandas(sums, schema).groupBy("tree", "slot").agg(*merged).collect():
+                found.setdefault(row[0], {})[row[1]] = (
+                    row[2], np.array(row[3:3 + wide]), np.array(row[3 + wide:]),
+                )
+            for i in live:
+                _split_leaves(
+                    group[i], depth, depth == levels, picked[i], wide, found.get(ids[i], {}), rngs[i]
+                )
+        grown += [{"tree": t, **{k: tree[k] for k in (*_CUTS, "path", "cover")}} for t, tree in zip(ids, group)]
+    return grown
+
+
 def fit_isolation_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -161,10 +312,14 @@ def fit_isolation_forest(
     max_features: float | int = 1.0,
     bootstrap: bool = False,
     seed: int = 42,
+    task_sample: int = TASK_SAMPLE,
 ) -> IsolationForest:
-    """One tree per task from a sample chosen by hash of the unique ``key``.
+    """Trees over samples chosen by hash of the unique ``key``.
 
-    A task holds its tree's sample: a share as ``max_samples`` makes it grow with the rows.
+    A tree over at most ``task_sample`` rows is grown by one task. Larger samples, as a share in
+    ``max_samples`` asks for, are grown level by level over the distributed rows, to ``WIDE_LEVELS``
+    levels: anomalies part from the rest far above, and a leaf of n rows counts as the mean path
+    of n below it. Such a sample holds its size on average, each row being drawn by its own hash.
     Missing values take the higher side of every cut.
 
     A numeric ``contamination`` puts the cut at that quantile of the training scores.
@@ -188,12 +343,18 @@ def fit_isolation_forest(
         columns = np.sort(rng.choice(wide, min(used, wide), replace=False))
         return pd.DataFrame([{"tree": tree, **_grow(rows, columns, rng, limit)}])
 
-    dealt = _deal_rows(
-        df.select(*[q(k) for k in key], *[q(c).cast("double").alias(c) for c in features if c not in key]),
-        key, n_estimators, size, count, seed,
-    )
-    grown = dealt.groupBy("_tree").applyInPandas(build, _TREE)
-    trees = [r.asDict() for r in sorted(grown.collect(), key=lambda r: r["tree"])]
+    if size > task_sample:
+        levels = min(limit, WIDE_LEVELS)
+        trees = _grow_by_level(
+            df, features, key, n_estimators, size / count, levels, used, bootstrap, seed
+        )
+    else:
+        dealt = _deal_rows(
+            df.select(*[q(k) for k in key], *[q(c).cast("double").alias(c) for c in features if c not in key]),
+            key, n_estimators, size, count, seed,
+        )
+        grown = dealt.groupBy("_tree").applyInPandas(build, _TREE)
+        trees = [r.asDict() for r in sorted(grown.collect(), key=lambda r: r["tree"])]
     forest = IsolationForest(features, trees, size)
     if contamination == "auto":
         return forest

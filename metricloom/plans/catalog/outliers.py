@@ -27,6 +27,22 @@ def isolation_forest_sampled(spark, sf):
     return forest.predict(rows).where("prediction = -1")
 
 
+# Rows far off in every number, one in about a thousand, are those flagged by trees over all rows.
+@query(
+    "isolation_forest_planted",
+    f"""SELECT {", ".join(f"CASE WHEN l_orderkey % 1000 = 7 THEN {c} + (1 + l_orderkey % 7) * 1e6 ELSE {c} END AS {c}" for c in NUMBERS)}
+        FROM lineitem WHERE l_orderkey % 1000 = 7""",
+)
+def isolation_forest_planted(spark, sf):
+    rows = spread(lineitem(spark, sf, "l_orderkey"), "row_key")
+    planted = q("l_orderkey") % 1000 == 7
+    far = (1 + q("l_orderkey") % 7) * 1e6
+    rows = rows.select("row_key", planted.alias("planted"), *[F.when(planted, q(c) + far).otherwise(q(c)).alias(c) for c in NUMBERS])
+    n, odd = rows.agg(F.count(F.lit(1)), F.count_if("planted")).first()
+    forest = forest_of(rows, n_estimators=30, max_samples=1.0, contamination=(odd - 0.5) / n)
+    return forest.predict(rows).where("prediction = -1").select(*NUMBERS)
+
+
 def _bins(c: str) -> str:
     return f"""SELECT '{c}' AS f, least(floor(({c} - low) / width), 9) AS bin, -log2(count(*) / (any_value(size) * any_value(width)) + 0.1) AS s
         FROM (SELECT {c}, min({c}) OVER () AS low, (max({c}) OVER () - min({c}) OVER ()) / 10 AS width, count(*) OVER () AS size FROM lineitem) GROUP BY 2"""

@@ -109,6 +109,60 @@ def test_forest_samples_are_full(spark):
     assert len(counts) == 30 and {r["count"] for r in counts} == {64}
 
 
+@pytest.fixture(scope="module")
+def wide_rows(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 3)).round(3)
+    x[:15] = 40 + np.arange(45).reshape(15, 3)
+    x[100:130, 1] = np.nan
+    rows = [(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double"), x
+
+
+def _wide_forest(df, **options):
+    options = {"n_estimators": 6, "max_samples": 1.0, "task_sample": 100, **options}
+    return outliers.fit_isolation_forest(df, ["a", "b", "c"], ["id"], **options)
+
+
+def test_forest_over_all_rows_counts_every_row_in_its_leaf(wide_rows):
+    df, x = wide_rows
+    forest = _wide_forest(df)
+    for tree in forest.trees:
+        cuts = [np.asarray(tree[k]) for k in ("feature", "threshold", "low", "high")]
+        leaves, sizes = np.unique(outliers._leaves(x, cuts), return_counts=True)
+        cover, low, high = (np.asarray(tree[k]) for k in ("cover", "low", "high"))
+        assert cover[leaves].tolist() == sizes.tolist() and cover[0] == len(x)
+        inner = np.flatnonzero(low != np.arange(len(low)))
+        assert (cover[low[inner]] + cover[high[inner]] == cover[inner]).all()
+        assert (cover[inner] > 1).all() and (cover[low[inner]] > 0).all() and (cover[high[inner]] > 0).all()
+
+
+def test_forest_over_all_rows_flags_planted_rows_whatever_the_partitions(wide_rows):
+    df, _ = wide_rows
+    once = _wide_forest(df.repartition(3), n_estimators=20, contamination=15 / 3000)
+    again = _wide_forest(df.repartition(7, "a"), n_estimators=20, contamination=15 / 3000)
+    assert once == again
+    flagged = once.predict(df).where("prediction = -1").select("id").collect()
+    assert sorted(r[0] for r in flagged) == list(range(15))
+
+
+@pytest.mark.parametrize("options, mean", [({"max_samples": 0.5}, 1500), ({"bootstrap": True}, 3000)])
+def test_forest_over_shares_and_repeated_draws(wide_rows, options, mean):
+    forest = _wide_forest(wide_rows[0], **options)
+    roots = [t["cover"][0] for t in forest.trees]
+    assert len(set(roots)) > 1 and all(abs(n - mean) < 6 * math.sqrt(mean) for n in roots)
+
+
+def test_forest_levels_are_bounded_and_constant_rows_are_one_leaf(spark, wide_rows, monkeypatch):
+    monkeypatch.setattr(outliers, "WIDE_LEVELS", 3)
+    monkeypatch.setattr(outliers, "_STATE_CELLS", 100)  # two trees at a time
+    shallow = _wide_forest(wide_rows[0], max_features=2)
+    for tree in shallow.trees:
+        cut = {f for at, (f, low) in enumerate(zip(tree["feature"], tree["low"])) if low != at}
+        assert len(tree["feature"]) <= 15 and 1 <= len(cut) <= 2
+    same = spark.range(500).selectExpr("id", "1.0D AS a", "CAST(NULL AS DOUBLE) AS b", "2.0D AS c")
+    assert all(t["cover"] == [500] for t in _wide_forest(same).trees)
+
+
 def test_large_and_small_clusters():
     assert outliers.split_by_size([50, 45, 3, 2], 0.9, 5) == [True, True, False, False]
     assert outliers.split_by_size([60, 10, 30], 0.99, 2.5) == [True, False, True]
