@@ -25,6 +25,7 @@ def generate_training_labels(
     only_anomalies: bool = False,
     target: str = "target",
     seed: int = 42,
+    max_samples: int | float | str = "auto",
 ) -> DataFrame:
     """Anomalies of a forest, clustered by density; the cluster is the class.
 
@@ -33,7 +34,7 @@ def generate_training_labels(
     ordinary rows are 0.
     """
     forest = fit_isolation_forest(
-        df, features, [key], n_estimators, contamination=contamination, seed=seed
+        df, features, [key], n_estimators, max_samples, contamination, seed=seed
     )
     flagged = forest.predict(df)
     anomalies = cut_lineage(

@@ -6,6 +6,7 @@ from metricloom.plans.catalog import (  # noqa: F401
     clean,
     evaluate,
     files,
+    invariants,
     joins,
     learning,
     outliers,
