@@ -200,13 +200,25 @@ def ranking_scores(df: DataFrame, positive: Column, score: str) -> DataFrame:
 
 
 def roc_auc_ovr(df: DataFrame, label: str, probabilities: dict[str, str]) -> DataFrame:
-    """Support-weighted one-vs-rest area; ``probabilities`` names each class's column."""
-    parts = None
-    for name, column in probabilities.items():
-        positive = q(label).cast("string") == F.lit(name)
-        size, _ = _class_totals(df, positive)
-        part = ranking_scores(df, positive, column).select("roc_auc", F.lit(size).alias("size"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.agg(
-        (F.sum(F.col("roc_auc") * F.col("size")) / F.sum("size")).alias("roc_auc_ovr_weighted")
+    """Support-weighted one-vs-rest area; ``probabilities`` names each class's column.
+
+    All classes share one aggregation by class and score and one running sum. Rows without a
+    label take no part, nor do those without a class's score in that class's area.
+    """
+    own = q(label).cast("string")
+    cells = [
+        F.struct(F.lit(name).alias("class"), q(column).cast("double").alias("threshold"), (own == name).cast("long").alias("pos"))
+        for name, column in probabilities.items()
+    ]
+    long = df.where(own.isNotNull()).select(F.inline(F.array(*cells)))
+    counts = long.groupBy("class", "threshold").agg(F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    # Missing scores come last, so that they leave the sums before them alone.
+    swept = running(counts, ["threshold"], {"tp": F.col("pos")}, by=["class"], descending=True)
+    known, negative = F.col("threshold").isNotNull(), F.col("n") - F.col("pos")
+    wins = negative.cast("double") * (F.col("tp") - F.col("pos") / 2)
+    pairs = F.sum(F.when(known, F.col("pos"))).cast("double") * F.sum(F.when(known, negative))
+    areas = swept.groupBy("class").agg(
+        F.coalesce(_ratio(F.sum(F.when(known, wins)), pairs), F.lit(0.0)).alias("area"),
+        F.sum("pos").alias("size"),
     )
+    return areas.agg((F.sum(F.col("area") * F.col("size")) / F.sum("size")).alias("roc_auc_ovr_weighted"))

@@ -17,7 +17,7 @@ from metricloom.learning.boosting import at_once
 from metricloom.learning.estimators import judged as judged_by
 from metricloom.learning.evaluate import scores
 from metricloom.learning.supervised import Classifier, class_list, fit_classifier
-from metricloom.operators.ranking import hash_ranks
+from metricloom.operators.ranking import hash_ranks, hash_split
 from metricloom.operators.scale import SCALERS, fit_pca, hash_share
 from metricloom.session import stored
 
@@ -47,16 +47,18 @@ def shuffle_splits(
     test: float = 0.25,
     seed: int = 42,
 ) -> list[tuple[DataFrame, DataFrame]]:
-    """Independent stratified splits; each tests the same share of every class."""
-    sizes = df.groupBy(q(target).alias("_t")).agg(F.count(F.lit(1)).alias("_size"))
+    """Independent stratified splits; each tests the same share of every class.
+
+    Rows without a class are in no split.
+    """
+    sizes = df.where(q(target).isNotNull()).groupBy(q(target).alias("_t")).agg(
+        F.round(F.count(F.lit(1)) * test).cast("long")
+    )
+    held = {r[0]: r[1] for r in sizes.collect()}
     splits = []
     for i in range(n_splits):
-        ranked = hash_ranks(df, [target], key, seed + i, "_rank").join(
-            sizes, q(target) == F.col("_t")
-        )
-        held = F.col("_rank") <= F.round(F.col("_size") * test)
-        columns = [q(c) for c in df.columns]
-        splits.append((ranked.where(~held).select(*columns), ranked.where(held).select(*columns)))
+        tested, trained = hash_split(df, target, key, held, seed + i)
+        splits.append((trained, tested))
     return splits
 
 

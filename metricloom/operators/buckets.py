@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.functions.scalars import q, row_mean, row_median, row_std, time_bucket
+from metricloom.functions.scalars import epoch_seconds, q, row_mean, row_median, row_std, seconds_of, time_bucket
+from metricloom.operators.clean import stored_range
 
 # Predicates and metric fields of the small monitoring profiles.
 # Larger profiles are a parameter: see ``MetricProfile.from_columns``.
@@ -67,6 +70,55 @@ class BucketQuery:
     gte: float | None = None
     lte: float | None = None
     by: tuple[str, ...] = ()
+    ts: str | None = None
+    bounds: tuple[float, float] | None = None
+
+    @staticmethod
+    def from_json(text: str, now: float | None = None) -> BucketQuery:
+        """The query a user has written as a search body: its terms, time range and one date
+        histogram of averages.
+
+        ``now`` gives the instant that times like ``now-1h`` count from. Buckets without samples
+        are asked for by a ``min_doc_count`` of 0 with bounds. What has no meaning here is an error.
+        """
+        body = json.loads(text)
+        asked = body["query"]["filtered"]
+        terms = {}
+        for clause in re.split(r"\s+AND\s+", asked["query"]["query_string"]["query"].strip()):
+            found = re.fullmatch(r'([^\s:"]+):"([^"]*)"', clause)
+            if not found:
+                raise ValueError(f"not a term: {clause}")
+            terms[found[1]] = found[2]
+        rules = asked.get("filter", {}).get("bool", {})
+        if rules.get("must_not") or len(body["aggs"]) != 1:
+            raise ValueError("one aggregation, and no excluded terms, are understood")
+        (histogram,) = body["aggs"].values()
+        dates = histogram["date_histogram"]
+        low, high = None, None
+        for rule in rules.get("must", []):
+            ((column, span),) = rule["range"].items()
+            if column != dates["field"]:
+                raise ValueError(f"a range of {column}, but buckets of {dates['field']}")
+            low, high = (_instant(span[side], now) if side in span else None for side in ("gte", "lte"))
+        interval = seconds_of(dates["interval"])
+        if interval <= 0:
+            raise ValueError(f"not an interval: {dates['interval']}")
+        bounds, ends = None, dates.get("extended_bounds")
+        if dates.get("min_doc_count", 0) == 0 and ends:
+            bounds = (_instant(ends["min"], now), _instant(ends["max"], now))
+        means = histogram.get("aggs", {})
+        fields = [means[name]["avg"]["field"] for name in sorted(means)]
+        return BucketQuery(interval, fields, terms, low, high, (), dates["field"], bounds)
+
+
+def _instant(value: object, now: float | None) -> float:
+    """Epoch seconds of epoch milliseconds, or of ``now`` and ``now-`` a duration."""
+    if not isinstance(value, str) or value.isdigit():
+        return int(value) / 1000
+    found = re.fullmatch(r"now(?:-(\d+[smh]))?", value)
+    if not found or now is None:
+        raise ValueError(f"not an instant: {value}")
+    return now - (seconds_of(found[1]) if found[1] else 0)
 
 
 def bucket_avg(
@@ -89,9 +141,22 @@ def bucket_avg(
 
 
 def run_bucket_query(df: DataFrame, query: BucketQuery, time: str = "time") -> DataFrame:
+    """Averages by bucket of the numeric ``time``, or of the query's own stored timestamp.
+
+    With bounds, the buckets between them that hold no sample have null averages.
+    """
     for name, value in query.terms.items():
         df = df.where(q(name) == value)
-    return bucket_avg(df, query.interval, query.fields, time, query.by, query.gte, query.lte)
+    if query.ts is None:
+        return bucket_avg(df, query.interval, query.fields, time, query.by, query.gte, query.lte)
+    df = stored_range(df, query.ts, query.gte, query.lte)
+    key = time_bucket(epoch_seconds(q(query.ts)), query.interval).alias("key")
+    means = df.groupBy(key, *[q(c) for c in query.by]).agg(*[F.avg(q(c)).alias(c) for c in query.fields])
+    if query.bounds is None:
+        return means
+    low, high = (int(b // query.interval * query.interval) for b in query.bounds)
+    grid = df.sparkSession.range(low, high + 1, query.interval).withColumnRenamed("id", "key")
+    return grid.join(means, "key", "full")
 
 
 def bucket_avg_zoned(

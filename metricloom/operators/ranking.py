@@ -9,7 +9,7 @@ all rows is a single row here.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,6 +22,7 @@ from metricloom.functions.scalars import q
 
 _SAMPLE_PER_BLOCK = 32
 _SAMPLE_LIMIT = 50_000
+_SPLIT_BITS = 16
 _TREE_LIMIT = 255
 _CELLS = 256
 
@@ -151,6 +152,46 @@ def hash_ranks(
     return ranked.drop("_hash", "_hash_block")
 
 
+def hash_split(
+    df: DataFrame, group: str, key: Sequence[str], wanted: Mapping[object, int], seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """The ``wanted`` number of rows of each group with the smallest seeded hashes, and the others.
+
+    Gives what a cut of ``hash_ranks`` would, but without ordering the groups: rows are counted by
+    the top bits of their hash, which shows the one block in which a group's cut lies. The other
+    blocks are told apart by a filter, and only that block's rows, one in 65536, are ranked.
+    Rows of groups that are not named, null among them, are in neither part; ``key`` is unique.
+    """
+    base = df.withColumn("_hash", F.xxhash64(*[q(k) for k in key], F.lit(seed)))
+    base = base.withColumn("_block", F.shiftright("_hash", 64 - _SPLIT_BITS))
+    counts = base.groupBy(q(group).alias("_group"), "_block").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_block"))
+    limit = _by_group(F.col("_group"), wanted)
+    before = F.col("_upto") - F.col("_n")
+    crossing = counts.withColumn("_upto", upto).where((F.col("_upto") > limit) & (before <= limit))
+    found = {r[0]: (r[1], r[2]) for r in crossing.select("_group", "_block", limit - before).collect()}
+    # A group that is wanted whole has no such block.
+    beyond = 1 << _SPLIT_BITS
+    cut = _by_group(q(group), {g: found.get(g, (beyond, 0))[0] for g in wanted})
+    missing = _by_group(q(group), {g: found.get(g, (beyond, 0))[1] for g in wanted})
+    order = Window.partitionBy(q(group)).orderBy("_hash", *[q(k) for k in key])
+    edge = base.where(F.col("_block") == cut).withColumn("_rank", F.row_number().over(order))
+    columns = [q(c) for c in df.columns]
+    first = base.where(F.col("_block") < cut).select(*columns).unionByName(
+        edge.where(F.col("_rank") <= missing).select(*columns)
+    )
+    rest = base.where(F.col("_block") > cut).select(*columns).unionByName(
+        edge.where(F.col("_rank") > missing).select(*columns)
+    )
+    return first, rest
+
+
+def _by_group(group: Column, values: Mapping[object, int]) -> Column:
+    """The value of a row's group; null for others."""
+    chosen = [F.when(group == F.lit(g), F.lit(v).cast("long")) for g, v in values.items() if g is not None]
+    return F.coalesce(*chosen, F.lit(None).cast("long"))
+
+
 def ordinal_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """Distinct non-null values with their 0-based rank in sort order."""
     values = df.select(q(column)).where(q(column).isNotNull()).distinct()

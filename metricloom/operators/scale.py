@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import present, q
-from metricloom.operators.ranking import exact_quantiles_of, hash_ranks
+from metricloom.operators.ranking import exact_quantiles_of, hash_split
 
 MAX_EXPRESSION_TERMS = 128
 MAX_SINGLE_COLUMNS = 16
@@ -368,10 +368,9 @@ def _cap_classes(
     if not caps:
         return df
     capped = df.where(q(target).isin(list(caps)))
-    limit = F.coalesce(*[F.when(q(target) == c, F.lit(n)) for c, n in caps.items()])
-    ranked = hash_ranks(capped, [target], key, seed, "_rank").where(F.col("_rank") <= limit)
+    kept, _ = hash_split(capped, target, key, caps, seed)
     rest = df.where(~F.coalesce(q(target).isin(list(caps)), F.lit(False)))
-    return rest.unionByName(ranked.drop("_rank"))
+    return rest.unionByName(kept)
 
 
 def undersample_majority(

@@ -192,3 +192,25 @@ def user_query(spark, sf):
     events = table(spark, sf, "events").withColumn("time", epoch_seconds(q("ts")))
     wanted = b.BucketQuery(900, ["value", "user_id"], {"event_type": "view"})
     return rounded(b.run_bucket_query(events, wanted))
+
+
+# A search body as users write it: terms, a range of the stored time, averages by bucket.
+BODY = """{"size": 0, "query": {"filtered": {
+  "query": {"query_string": {"query": "event_type:\\"click\\"", "analyze_wildcard": true}},
+  "filter": {"bool": {"must": [{"range": {"ts": {"gte": "now-48h", "lte": "now", "format": "epoch_millis"}}}], "must_not": []}}}},
+  "aggs": {"2": {"date_histogram": {"field": "ts", "interval": "30m", "min_doc_count": 0, "extended_bounds": {"min": "now-72h", "max": "now"}},
+    "aggs": {"1": {"avg": {"field": "value"}}, "3": {"avg": {"field": "user_id"}}}}}}"""
+
+
+@query(
+    "user_query_json",
+    f"""WITH t AS (SELECT epoch_us(ts) / 1e6 AS time, value, user_id, event_type FROM events), n AS (SELECT max(time) AS now FROM t),
+        m AS (SELECT CAST(floor(time / 1800) * 1800 AS BIGINT) AS key, {r6("avg(value)")} AS value, {r6("avg(user_id)")} AS user_id
+          FROM t, n WHERE event_type = 'click' AND time >= now - 172800 GROUP BY 1),
+        g AS (SELECT unnest(range(CAST(floor((now - 259200) / 1800) * 1800 AS BIGINT), CAST(floor(now / 1800) * 1800 AS BIGINT) + 1, 1800)) AS key FROM n)
+        SELECT key, value, user_id FROM g LEFT JOIN m USING (key)""",
+)
+def user_query_json(spark, sf):
+    events = table(spark, sf, "events")
+    now = events.agg(epoch_seconds(F.max("ts"))).first()[0]
+    return rounded(b.run_bucket_query(events, b.BucketQuery.from_json(BODY, now)))

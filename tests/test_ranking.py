@@ -106,3 +106,24 @@ def test_rank_table_serves_all_columns(spark):
     rows = [(3.0, 5.0), (1.0, 5.0), (3.0, 5.0), (None, 1.0), (2.0, None)]
     got = ranking.average_rank_table(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()
     assert sorted(tuple(r) for r in got) == [(0, 1.0, 1.0), (0, 2.0, 2.0), (0, 3.0, 3.5), (1, 1.0, 1.0), (1, 5.0, 3.0)]
+
+
+def test_hash_split_is_the_cut_of_hash_ranks(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 10 = 1 THEN 'b' WHEN id % 10 = 2 THEN NULL ELSE 'c' END AS c")
+    sizes = {r[0]: r[1] for r in df.groupBy("c").count().collect()}
+    wanted = {"a": 500, "b": 0, "c": sizes["c"]}
+    ranks = ranking.hash_ranks(df, ["c"], ["id"], 9).collect()
+    expected = sorted(r["id"] for r in ranks if r["c"] is not None and r["hash_rank"] <= wanted[r["c"]])
+    everyone = sorted(r["id"] for r in ranks if r["c"] is not None)
+    for bits, parts in ((16, 3), (2, 11)):
+        monkeypatch.setattr(ranking, "_SPLIT_BITS", bits)
+        first, rest = ranking.hash_split(df.repartition(parts), "c", ["id"], wanted, 9)
+        assert first.columns == rest.columns == df.columns
+        got, left = (sorted(r["id"] for r in part.collect()) for part in (first, rest))
+        assert got == expected and sorted(got + left) == everyone
+
+
+def test_hash_split_of_an_empty_frame(spark):
+    empty = spark.createDataFrame([], "id long, c string")
+    first, rest = ranking.hash_split(empty, "c", ["id"], {}, 1)
+    assert first.count() == rest.count() == 0
