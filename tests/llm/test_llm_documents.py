@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -95,6 +96,63 @@ def test_licenses(docs, spark):
     assert one.license == "Apache-2.0" and one.dice == 1.0 and "\n" in one.matched
 
 
+PUBLISHED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_licenses_inside_longer_text(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    texts = [f"{long}\n{text} {long}" for text in PUBLISHED.values()]
+    texts += [
+        "This project is released under the MIT License. See the LICENSE file for details.",
+        "Permission is granted to use any copy of the Software, and files of this license.", "MIT License", "mit", "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.license for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
+    assert found == [*PUBLISHED, "MIT", None, None, None, None]
+    matched = licenses.scan_licenses(docs).where("doc_id = 3").first()
+    assert matched.matched == "released under the mit license" and matched.dice == 1.0
+
+
+def test_license_windows_against_python(spark):
+    rng = random.Random(8)
+    templates = [("A", "a b c a d"), ("B", "b c b c d"), ("C", "c a b b a c a")]
+    texts = ["\n".join(" ".join(rng.choices("abcd", k=rng.randrange(12))) for _ in range(rng.randrange(4))) for _ in range(150)]
+
+    def windows(text):
+        ws = text.split()
+        for k, (name, t) in enumerate(templates):
+            n, own = len(t.split()), set(licenses.template_bigrams(t))
+            for i in range(len(ws) - n + 1):
+                a = {f"{x} {y}" for x, y in zip(ws[i:i + n], ws[i + 1:i + n])}
+                if f"{ws[i]} {ws[i + 1]}" in own:
+                    yield 2 * len(a & own) / (len(a) + len(own)), -k, -i
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = docs.select("doc_id", licenses.best_window(F.col("text"), F.lit(0), templates).alias("m")).collect()
+    hits = 0
+    for row in got:
+        best = max(windows(texts[row.doc_id]), default=(0, 0, 0))
+        if best[0] >= 0.8:
+            hits += 1
+            assert (row.m["dice"], row.m["rank"], row.m["at"]) == pytest.approx(best)
+        else:
+            assert row.m is None or row.m["dice"] < 0.8
+    assert hits > 5
+
+
 # --- tokens -------------------------------------------------------------------------------------
 
 
