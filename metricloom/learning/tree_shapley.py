@@ -4,8 +4,12 @@ A feature outside a coalition sends a row down both sides of its cuts, in the sh
 training rows. A leaf then counts as a product over the features on its path: for a feature in the
 coalition 1 or 0, as the row meets its bounds or not, and for one outside, the share ``z`` of the rows
 that the feature's cuts have let through. For a leaf of k features the Shapley sum needs only the
-elementary symmetric polynomials of k - 1 such terms, and only for the patterns of bounds met that
-occur in a batch: rows look their pattern's values up. Nothing is sampled, and no row is expanded.
+elementary symmetric polynomials of k - 1 such terms, and only for the patterns of bounds met.
+
+Leaves that are neighbours in their tree share most bounds. These cut the rows' space into few cells,
+for each of which the leaves' values are added up once; rows look their cell's values up. Leaves of
+paths with too many features for that are valued for the patterns that occur in a batch. Nothing is
+sampled, and no row is expanded.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from metricloom.operators.outliers import IsolationForest
 from metricloom.session import scratch_path
 
 BATCH_ROWS = 20_000
+STEP_ROWS = 4096  # rows that are looked up together
+GROUP_CELLS = 4096  # most cells of a group of leaves
 
 
 @dataclass(frozen=True)
@@ -66,6 +73,50 @@ class Leaf:
         return out
 
 
+class Group:
+    """Leaves with the sums of their values in every cell that their bounds make."""
+
+    def __init__(self, leaves: Sequence[Leaf], cuts: dict[int, set[float]]):
+        self.features = sorted(cuts)
+        self.cuts = {f: np.array(sorted(cuts[f])) for f in self.features}
+        shape = [len(self.cuts[f]) + 1 for f in self.features]
+        self.strides = {f: math.prod(shape[i + 1 :]) for i, f in enumerate(self.features)}
+        # The last column is for scores.
+        values = np.zeros((*shape, len(shape) + 1))
+        for leaf in leaves:
+            codes = np.zeros([1] * len(shape), np.int64)
+            for bit, f in enumerate(leaf.features):
+                below, upto = np.append(-math.inf, self.cuts[f]), np.append(self.cuts[f], math.inf)
+                inside = (below >= leaf.low[bit]) & (upto <= leaf.high[bit])
+                codes = codes | np.expand_dims(inside.astype(np.int64) << bit, [i for i, g in enumerate(self.features) if g != f])
+            patterns = leaf.values(np.arange(1 << len(leaf.features)))
+            for bit, f in enumerate(leaf.features):
+                values[..., self.features.index(f)] += patterns[codes, bit]
+            values[..., -1] += np.where(codes == len(patterns) - 1, leaf.value, 0.0)
+        self.values = values.reshape(-1, len(shape) + 1)
+
+
+def grouped(leaves: Sequence[Leaf]) -> tuple[list[Group], list[Leaf]]:
+    """Groups of leaves in the given order, and the leaves that have too many cells for a group."""
+    groups, alone = [], []
+    held: list[Leaf] = []
+    cuts: dict[int, set[float]] = {}
+    for leaf in leaves:
+        own = {int(f): {b for b in ends if math.isfinite(b)} for f, *ends in zip(leaf.features, leaf.low, leaf.high)}
+        if not own or math.prod(len(c) + 1 for c in own.values()) > GROUP_CELLS:
+            alone.append(leaf)
+            continue
+        both = {f: cuts.get(f, set()) | own.get(f, set()) for f in {*cuts, *own}}
+        if math.prod(len(c) + 1 for c in both.values()) > GROUP_CELLS:
+            groups.append(Group(held, cuts))
+            held, both = [], own
+        held.append(leaf)
+        cuts = both
+    if held:
+        groups.append(Group(held, cuts))
+    return groups, alone
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """Leaves of all trees; the model's score is the sum of those a row falls into, and ``offset``."""
@@ -78,10 +129,36 @@ class Ensemble:
     def base(self) -> float:
         return self.offset + sum(leaf.value * float(np.prod(leaf.share)) for leaf in self.leaves)
 
+    @cached_property
+    def laid_out(self) -> tuple[dict[int, np.ndarray], list, list[Leaf]]:
+        """The cuts of each feature, the groups, and the leaves left over; made once in a worker.
+
+        A group comes with the place in its table that each range between cuts adds for its feature.
+        """
+        groups, alone = grouped(self.leaves)
+        cuts = {f: np.unique(np.concatenate([g.cuts[f] for g in groups if f in g.cuts])) for f in sorted({f for g in groups for f in g.features})}
+        placed = []
+        for group in groups:
+            # All values of a range have the same cuts of the group below them as its upper end.
+            places = [(f, np.searchsorted(group.cuts[f], np.append(cuts[f], math.inf)) * group.strides[f]) for f in group.features]
+            placed.append((places, group.features, group.values))
+        return cuts, placed, alone
+
+    def _look_up(self, rows: np.ndarray, out: np.ndarray) -> None:
+        """Add the groups' values to ``out``; a missing value lies above all cuts, as NaN is sorted."""
+        cuts, groups, _ = self.laid_out
+        ranges = {f: np.searchsorted(c, rows[:, f]) for f, c in cuts.items()}
+        for places, features, values in groups:
+            at = sum(place.take(ranges[f]) for f, place in places)
+            out[:, [*features, -1]] += values.take(at, axis=0)
+
     def explain(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values by row and feature, scores)."""
-        phi, score = np.zeros((len(rows), len(self.features))), np.full(len(rows), self.offset)
-        for leaf in self.leaves:
+        found = np.zeros((len(rows), len(self.features) + 1))
+        for start in range(0, len(rows), STEP_ROWS):
+            self._look_up(rows[start : start + STEP_ROWS], found[start : start + STEP_ROWS])
+        phi, score = found[:, :-1].copy(), found[:, -1] + self.offset
+        for leaf in self.laid_out[2]:
             if not len(leaf.features):
                 score += leaf.value
                 continue

@@ -82,6 +82,25 @@ def test_equal_to_all_coalitions(seed):
         assert total == pytest.approx(base + want.sum())
 
 
+def test_leaves_are_added_up_by_cells(monkeypatch):
+    rng = np.random.default_rng(3)
+    trees = [random_tree(rng, 5, 8) for _ in range(5)]
+    leaves = [leaf for t in trees for leaf in ts.leaves_of(*(t[k] for k in ("feature", "threshold", "low", "high", "cover", "value")))]
+    x = rng.normal(size=(5000, 5))
+    x[::7, 1], x[::11, 2], x[::13, 3] = np.nan, np.inf, -np.inf
+    ensemble = ts.Ensemble(NAMES, leaves)
+    phi, score = ensemble.explain(x)
+    # Far fewer look-ups than leaves, and every row, the lowest too, falls into a leaf of each tree.
+    assert 3 * len(ensemble.laid_out[1]) < len(leaves) and not ensemble.laid_out[2]
+    assert np.allclose(score, [sum(coalition_value(t, 0, row, range(5)) for t in trees) for row in x])
+    assert np.allclose(ensemble.base + phi.sum(axis=1), score)
+    for cells in (0, 60):
+        monkeypatch.setattr(ts, "GROUP_CELLS", cells)
+        other = ts.Ensemble(NAMES, leaves)
+        known = x[:, 3] > -np.inf
+        assert np.allclose(other.explain(x[known])[0], phi[known]) and other.laid_out[2]
+
+
 def test_a_lone_leaf_and_no_rows():
     lone = ts.Ensemble(NAMES, ts.leaves_of([0], [0.0], [0], [0], [7], [2.5]))
     phi, score = lone.explain(np.zeros((3, 5)))
