@@ -286,3 +286,26 @@ def test_search_remembers(classes):
     table = selection.hpo_evolution(search, {"maxDepth": [1, 3]}, population=3, generations=2)
     assert len(table) <= 2 and table[0]["f1_weighted"] >= table[-1]["f1_weighted"]
     assert search.best()["maxDepth"] == 3
+
+
+def test_a_walk_ends_where_single_steps_do():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 4))
+    x[::9, 2] = np.nan
+    cuts = [np.asarray(c) for c in ([1, 0, 2, 3, 0, 2, 0, 0, 0], [0.1, 0.0, -0.4, 0.3, 0, 0.9, 0, 0, 0], [3, 1, 5, 1, 4, 7, 6, 7, 8], [2, 1, 8, 4, 4, 6, 6, 7, 8])]
+    want = []
+    for row in x:
+        node = 0
+        while cuts[2][node] != node:
+            node = cuts[2][node] if row[cuts[0][node]] <= cuts[1][node] else cuts[3][node]
+        want.append(node)
+    assert outliers._leaves(x, cuts).tolist() == want and outliers._Walk(cuts).steps == 3
+
+
+def test_leaves_of_the_last_level_are_only_counted(wide_rows, monkeypatch):
+    asked, plain = [], outliers._level_sums
+    monkeypatch.setattr(outliers, "_level_sums", lambda *given: asked.append(given[3]) or plain(*given))
+    monkeypatch.setattr(outliers, "WIDE_LEVELS", 3)
+    forest = _wide_forest(wide_rows[0])
+    assert asked == [3, 3, 3, 0]
+    assert all(sum(n for n, at, low in zip(t["cover"], range(99), t["low"]) if at == low) == 3000 for t in forest.trees)
