@@ -88,3 +88,18 @@ def test_candidates_of_a_point_do_not_grow(spark, monkeypatch):
         blocks = bounded.groupBy("cell").count().count() / count
         met.append((offered, blocks))
     assert met[1][0] < 1.3 * met[0][0] and met[1][1] < 1.5 * met[0][1]
+
+
+def test_a_product_finds_the_same_pairs_as_distances_one_by_one():
+    from metricloom.operators import cells
+
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(300, 16)), rng.normal(size=(200, 16))
+    b[:50] = a[:50]
+    b[50:100] = a[50:100] + np.eye(16)[3]
+    gaps = cells.distances(a, b)
+    # Limits at which a pair lies exactly, none, and no limit.
+    for limit in (0.0, 1.0, gaps[7, 9], np.where(np.arange(200) % 3, gaps[5], np.where(np.arange(200) % 2, -1.0, np.inf))):
+        assert (cells.pairs_within(a, b, limit) == (gaps <= limit)).all()
+    far = a * 1e200
+    assert (cells.pairs_within(far, far, 1.0) == (cells.distances(far, far) <= 1.0)).all()
