@@ -309,3 +309,19 @@ def test_leaves_of_the_last_level_are_only_counted(wide_rows, monkeypatch):
     forest = _wide_forest(wide_rows[0])
     assert asked == [3, 3, 3, 0]
     assert all(sum(n for n, at, low in zip(t["cover"], range(99), t["low"]) if at == low) == 3000 for t in forest.trees)
+
+
+@pytest.mark.parametrize("least", [-np.inf, 0.0])
+def test_power_sums_of_parts_are_those_of_the_whole(spark, least):
+    x = np.maximum(np.random.default_rng(9).normal(size=4000) * 5 + 2, least)
+    rows = [(None if i % 50 == 0 else float(v),) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double").repartition(5)
+    trials = {"a": [-1.5, 0.0, 0.7, 2.0, 3.0]}
+    found = scale._power_sums(df, ["a"], trials)
+    for j, lam in enumerate(trials["a"]):
+        y = scale.yeo_johnson(F.col("a"), lam)
+        n, variance, lift = df.agg(F.count("a"), F.var_pop(y), F.sum(F.signum("a") * F.log1p(F.abs("a")))).first()
+        assert found[0, j][0] == n == 3920
+        assert found[0, j][2] / n == pytest.approx(variance) and found[0, j][3] == pytest.approx(lift)
+    gone = spark.createDataFrame([(None,), (None,)], "a double")
+    assert scale._power_sums(gone, ["a"], trials) == {} and scale.fit_power(gone.unionAll(df), ["a"]).lambdas == scale.fit_power(df, ["a"]).lambdas
