@@ -103,3 +103,32 @@ def test_a_product_finds_the_same_pairs_as_distances_one_by_one():
         assert (cells.pairs_within(a, b, limit) == (gaps <= limit)).all()
     far = a * 1e200
     assert (cells.pairs_within(far, far, 1.0) == (cells.distances(far, far) <= 1.0)).all()
+
+
+@pytest.mark.parametrize("dims, metric", [(16, "euclidean"), (3, "euclidean"), (16, "manhattan"), (16, "chebyshev")])
+def test_nearest_pairs_are_those_of_distances_one_by_one(monkeypatch, dims, metric):
+    monkeypatch.setattr(cl, "PAIRS", 500)
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 3, (60, dims)).astype(float), rng.integers(0, 3, (80, dims)).astype(float)
+    b[:20] = a[:20]
+    others = rng.permutation(80)
+    gaps = cl.distances(a, b, metric)
+    limit = np.where(np.arange(60) % 3, np.inf, np.sort(gaps, axis=1)[:, 6])
+    i, j, gap = cl.nearest_pairs(a, b, others, limit, 4, metric)
+    want = [sorted((gaps[r, c], others[c]) for c in range(80) if gaps[r, c] <= limit[r])[:4] for r in range(60)]
+    assert list(zip(i, gap, others[j])) == [(r, *w) for r in range(60) for w in want[r]]
+    bounds = cl.kth_bounds(a, 3, metric)
+    least = np.sort(cl.distances(a, a, metric), axis=1)[:, 3]
+    assert (bounds >= least).all() and (bounds <= least + 1e-4).all()
+    assert cl.block_rows_for(20_000, dims) == (cl.BLOCK_ROWS if dims < 8 else 2500)
+
+
+def test_neighbours_of_points_with_many_coordinates(spark):
+    x = np.random.default_rng(6).normal(size=(400, 16))
+    df, names = frame(spark, x)
+    near = neighbours.nearest_neighbours(neighbours.merged_points(df, names, "i"), 3)
+    got = {r.id: [tuple(g) for g in r.g] for r in near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("gap", "other"))).alias("g")).collect()}
+    gaps = cl.distances(x, x)
+    np.fill_diagonal(gaps, np.inf)
+    for i, row in enumerate(gaps):
+        assert got[i] == [(row[j], j) for j in np.argsort(row, kind="stable")[:3]]
