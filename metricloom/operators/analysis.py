@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from metricloom.functions.scalars import q
 from metricloom.operators.clean import drop_null_rows
-from metricloom.operators.ranking import average_rank_table, ordinal_codes, running, with_range_block
+from metricloom.operators.ranking import _SAMPLE_PER_BLOCK, average_rank_table, range_search, running, with_range_block
 from metricloom.operators.scale import fit_pca, fit_standard
 from metricloom.session import stored
 
@@ -103,53 +103,103 @@ def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b, exact, in one row.
 
-    Concordant pairs are counted by the bits of the x rank: two points differ first at
-    some bit, and there the one with bit 0 is smaller. Within the points that agree above
-    a bit, a running count of the bit-0 points along y gives the pairs. Work is
-    cells x log(distinct x); no pairs are formed.
+    Distinct (x, y) cells are cut into range blocks along y. Pairs inside a block are counted in one
+    task by array. Pairs of different blocks need only the number of the block, so that cells are
+    summed to (block, x), cut into range blocks along x and counted in the same way; what lies apart
+    in both is counted from the sums of the block pairs. A value that is a bound has a block of its own,
+    so a frequent one is in no task's way. Each step shuffles the cells once; no pairs are formed.
     """
-    cells = (
-        drop_null_rows(df.select(q(x).alias("x"), q(y).alias("y")))
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(
+        drop_null_rows(df.select(q(x).alias("x"), q(y).alias("y"))).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")),
+        "kendall-cells",
     )
-    codes = ordinal_codes(cells, "x", "_rx")
-    ranked = cells.join(codes, "x").select(F.col("_rx"), "y", "n")
-    top = ranked.agg(F.max("_rx")).first()[0]
-    if top is None:
+    size, total, tie_xy = cells.agg(F.count(F.lit(1)), F.sum("n"), _pairs_of("n")).first()
+    if not size:
         return df.sparkSession.createDataFrame([(x, y, None)], "x string, y string, value double")
-    bits = F.sequence(F.lit(0), F.lit(max(int(top).bit_length() - 1, 0)))
-    sided = (
-        ranked.withColumn("bit", F.explode(bits))
-        .selectExpr(
-            "bit", "shiftright(_rx, bit + 1) AS shared", "y", "n",
-            "(shiftright(_rx, bit) & 1) AS side",
-        )
-        .groupBy("bit", "shared", "y")
-        .agg(
-            F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("left"),
-            F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("right"),
-        )
-    )
-    blocked = with_range_block(sided, ["y"], "_yblock")
-    swept = running(blocked, ["y"], {"upto": F.col("left")}, ["bit", "shared"], block="_yblock")
-    below = (F.col("upto") - F.col("left")).cast("double") * F.col("right")
-    concordant = swept.agg(F.sum(below).alias("c"))
-
-    def tied(*names: str) -> DataFrame:
-        groups = cells.groupBy(*names).agg(F.sum("n").cast("double").alias("g"))
-        return groups.agg(F.coalesce(F.sum(F.col("g") * (F.col("g") - 1) / 2), F.lit(0.0)))
-
-    total = cells.agg(F.sum("n")).first()[0]
+    blocks = max(8, math.ceil(size / _CELLS_PER_BLOCK))
+    rows = cells.withColumn("_yblock", _own_blocks(cells, "y", blocks))
+    inside, tie_y = _concordant(rows, "_yblock", "y", "x")
+    sides = stored(rows.groupBy("_yblock", "x").agg(F.sum("n").alias("n")), "kendall-sides")
+    sides = sides.withColumn("_xblock", _own_blocks(sides, "x", blocks))
+    across, tie_x = _concordant(sides, "_xblock", "x", "_yblock")
+    apart = np.array(sides.groupBy("_xblock", "_yblock").agg(F.sum("n")).collect(), dtype=np.int64)
+    concordant = inside + across + concordant_pairs(apart[:, 0], apart[:, 1], apart[:, 2])
     pairs = total * (total - 1) / 2
-    tie_x, tie_y = tied("x").first()[0], tied("y").first()[0]
-    tie_xy = tied("x", "y").first()[0]
     distinct_pairs = pairs - tie_x - tie_y + tie_xy
-    size = math.sqrt((pairs - tie_x) * (pairs - tie_y))
-    value = (2 * F.col("c") - F.lit(distinct_pairs)) / F.lit(size) if size else F.lit(None)
-    return concordant.select(
-        F.lit(x).alias("x"), F.lit(y).alias("y"), value.cast("double").alias("value")
-    )
+    spread = math.sqrt((pairs - tie_x) * (pairs - tie_y))
+    value = float((2 * concordant - distinct_pairs) / spread) if spread else None
+    return df.sparkSession.createDataFrame([(x, y, value)], "x string, y string, value double")
+
+
+_CELLS_PER_BLOCK = 500_000
+_MOST_BLOCKS = 256
+
+
+def _pairs_of(n: str) -> Column:
+    """Pairs inside groups of ``n``, summed without overflow."""
+    count = F.col(n).cast("decimal(19,0)")
+    return F.coalesce(F.sum((count * (count - 1)).cast("decimal(38,0)")), F.lit(0)).cast("double") / 2
+
+
+def _own_blocks(df: DataFrame, column: str, blocks: int) -> Column:
+    """A block number that grows with a column: even for the bounds themselves, odd between them.
+
+    The bounds are values of the rows with the smallest hashes, so a frequent value is one.
+    """
+    blocks = min(blocks, _MOST_BLOCKS)
+    sample = df.orderBy(F.xxhash64(*[q(c) for c in df.columns])).limit(_SAMPLE_PER_BLOCK * blocks).select(q(column)).collect()
+    values = sorted(r[0] for r in sample if r[0] == r[0])
+    bounds = sorted({values[i * len(values) // blocks] for i in range(blocks)}) if values else []
+    kind = df.schema[column].dataType
+    return range_search(q(column), [F.lit(b).cast(kind) for b in bounds])
+
+
+def _concordant(rows: DataFrame, block: str, along: str, across: str) -> tuple[int, float]:
+    """Pairs inside blocks that grow in both columns, and pairs tied in ``along``.
+
+    A block of one value (an even one) has ties only.
+    """
+    ties = rows.groupBy(along).agg(F.sum("n").alias("g")).agg(_pairs_of("g")).first()[0]
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        found = concordant_pairs(part["a"].to_numpy(), part["b"].to_numpy(), part["n"].to_numpy())
+        return pd.DataFrame({"pairs": [str(found)]})
+
+    several = rows.where(F.col(block) % 2 == 1).select(F.col(block).alias("_at"), q(along).alias("a"), q(across).alias("b"), "n")
+    counted = several.groupBy("_at").applyInPandas(count, "pairs string")
+    return sum(int(r[0]) for r in counted.collect()), ties
+
+
+def concordant_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> int:
+    """Weighted pairs of cells of which one is smaller in both ``a`` and ``b``.
+
+    By the bits of the ranks of the column with fewer values: two points differ first at some bit, and
+    there the one with bit 0 is smaller. Among the points that agree above a bit, a running
+    count of the bit-0 points along the other column gives the pairs.
+    """
+    codes = [np.unique(v, return_inverse=True)[1].ravel() for v in (a, b)]
+    few, many = sorted(codes, key=lambda c: c.max(initial=0))
+    order = np.argsort(many, kind="stable")
+    few, many, n = few[order], many[order], np.asarray(n, np.int64)[order]
+    pairs = 0
+    for bit in range(int(few.max(initial=0)).bit_length()):
+        order = np.argsort(few >> (bit + 1), kind="stable")
+        shared, at, weight = few[order] >> (bit + 1), many[order], n[order]
+        right = (few[order] >> bit & 1).astype(bool)
+        left = np.where(right, 0, weight)
+        before = np.cumsum(left) - left
+        new_group = np.r_[True, shared[1:] != shared[:-1]]
+        new_tie = new_group | np.r_[True, at[1:] != at[:-1]]
+        # Since the start of the group, and without those at the same place.
+        below = _first_of(before, new_tie) - _first_of(before, new_group)
+        kind = object if float(weight.sum()) ** 2 >= 2.0**63 else np.int64
+        pairs += int((below[right].astype(kind) * weight[right]).sum())
+    return pairs
+
+
+def _first_of(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each run's first value, in every place of the run."""
+    return values[starts][np.cumsum(starts) - 1]
 
 
 def corr_kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -325,3 +325,22 @@ def test_power_sums_of_parts_are_those_of_the_whole(spark, least):
         assert found[0, j][2] / n == pytest.approx(variance) and found[0, j][3] == pytest.approx(lift)
     gone = spark.createDataFrame([(None,), (None,)], "a double")
     assert scale._power_sums(gone, ["a"], trials) == {} and scale.fit_power(gone.unionAll(df), ["a"]).lambdas == scale.fit_power(df, ["a"]).lambdas
+
+
+def test_kendall_in_many_blocks_with_a_frequent_value(spark, monkeypatch):
+    """A value of y that most rows have is counted in no task; bounds, insides and what lies apart add up."""
+    monkeypatch.setattr(analysis, "_CELLS_PER_BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=900), 2)
+    y = np.where(rng.random(900) < 0.6, 3.0, np.round(x + rng.normal(size=900), 1))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(3)
+    signs = np.sign(x[:, None] - x[None]) * np.sign(y[:, None] - y[None])
+    up = lambda v: (np.sign(v[:, None] - v[None]) != 0).sum()
+    want = signs.sum() / np.sqrt(float(up(x)) * float(up(y)))
+    for a, b in (("x", "y"), ("y", "x")):
+        assert analysis.kendall_tau(df, a, b).first()["value"] == pytest.approx(want, abs=1e-12)
+    n = rng.integers(1, 9, 900)
+    less = (x[:, None] < x[None]) & (y[:, None] < y[None])
+    pairs = int((less * (n[:, None] * n[None])).sum())
+    assert analysis.concordant_pairs(x, y, n) == pairs
+    assert analysis.concordant_pairs(x, y, n * 10**8) == pairs * 10**16
