@@ -69,3 +69,15 @@ def test_order_is_kept_and_errors_come_through(spark):
     assert at_once(spark, lambda x: spark.range(x).count(), [5, 1, 3], 3) == [5, 1, 3]
     with pytest.raises(ZeroDivisionError):
         at_once(spark, lambda x: 1 // x, [1, 0], 2)
+
+
+def test_rows_are_not_written_after_the_last_round(rows, monkeypatch):
+    from metricloom.learning import boosting, supervised
+
+    calls = []
+    for module, name in ((boosting, "stored"), (supervised, "cut_lineage")):
+        act = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, act=act, name=name: calls.append(name) or act(*a))
+    fit_classifier(rows, NAMES, "target", "gbt", validation="held", maxIter=2, maxDepth=1)
+    fit_classifier(rows, NAMES, "target", "adaboost", n_estimators=2)
+    assert calls == ["stored", "cut_lineage"]
