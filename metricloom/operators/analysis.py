@@ -233,12 +233,20 @@ def _normal_scores(
 ) -> Iterator[pd.DataFrame]:
     """Sums of expected normal order scores, and of their squares, over a rank range."""
     for first, last, count in batches:
-        sums, squares = [], []
-        for lo, hi, n in zip(first, last, count):
-            shares = (np.arange(lo, hi + 1) - 0.375) / (n + 0.25)
-            scores = normal_quantiles(shares)
-            sums.append(scores.sum())
-            squares.append(float(scores @ scores))
+        lo, length = first.to_numpy(np.int64), (last - first + 1).to_numpy(np.int64)
+        sums, squares = np.zeros(len(lo)), np.zeros(len(lo))
+        # As many ranges at a time as hold no more ranks than the longest may.
+        upto = length.cumsum()
+        at = 0
+        while at < len(lo):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] - length[at] + _RANKS_PER_CHUNK, "right")))
+            here = length[at:end]
+            starts = here.cumsum() - here
+            ranks = np.repeat(lo[at:end] - starts, here) + np.arange(here.sum())
+            scores = normal_quantiles((ranks - 0.375) / (np.repeat(count.to_numpy()[at:end], here) + 0.25))
+            sums[at:end] = np.add.reduceat(scores, starts)
+            squares[at:end] = np.add.reduceat(scores * scores, starts)
+            at = end
         yield pd.DataFrame({"m": sums, "m2": squares})
 
 
@@ -256,15 +264,17 @@ def rank_shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             )
         )
     ).where("value IS NOT NULL AND NOT isnan(value)")
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running(
-        with_range_block(counts, ["value"], "_vblock"),
-        ["value"], {"upto": F.col("n")}, ["feature"], block="_vblock",
+    counts = stored(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    placed = stored(
+        running(
+            with_range_block(counts, ["value"], "_vblock"),
+            ["value"], {"upto": F.col("n")}, ["feature"], block="_vblock",
+        ).drop("_vblock"),
+        "placed",
     )
     moments = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("size"),
         (F.var_pop("value") * F.count(F.lit(1))).alias("ss"),
-        F.avg("value").alias("mean"),
     )
     stats = {r["feature"]: r for r in moments.collect()}
     sizes = F.create_map(*[v for k, r in stats.items() for v in (F.lit(k), F.lit(r["size"]))])
@@ -278,17 +288,11 @@ def rank_shapiro(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     sums = scored.groupBy("feature").agg(
         F.sum(F.col("s.m") * F.col("value")).alias("mx"), F.sum("s.m2").alias("m2")
     )
-    ends = placed.join(
-        F.broadcast(moments.select("feature", "size")), "feature"
-    ).groupBy("feature").agg(
+    size = F.element_at(sizes, F.col("feature"))
+    ends = placed.groupBy("feature").agg(
         *[
             F.max(F.when((first <= rank) & (rank <= F.col("upto")), F.col("value"))).alias(name)
-            for name, rank in (
-                ("x1", F.lit(1)),
-                ("x2", F.lit(2)),
-                ("y2", F.col("size") - 1),
-                ("y1", F.col("size")),
-            )
+            for name, rank in (("x1", F.lit(1)), ("x2", F.lit(2)), ("y2", size - 1), ("y1", size))
         ]
     )
     rows = []

@@ -344,3 +344,17 @@ def test_kendall_in_many_blocks_with_a_frequent_value(spark, monkeypatch):
     pairs = int((less * (n[:, None] * n[None])).sum())
     assert analysis.concordant_pairs(x, y, n) == pairs
     assert analysis.concordant_pairs(x, y, n * 10**8) == pairs * 10**16
+
+
+def test_normal_scores_of_many_ranges_at_once(monkeypatch):
+    calls, whole = [], analysis.normal_quantiles
+    monkeypatch.setattr(analysis, "normal_quantiles", lambda s: calls.append(len(s)) or whole(s))
+    monkeypatch.setattr(analysis, "_RANKS_PER_CHUNK", 400)
+    length = np.resize([1, 1, 3, 400, 2], 500)
+    last = length.cumsum()
+    first, n = last - length + 1, int(last[-1])
+    got = next(analysis._normal_scores.func(iter([tuple(pd.Series(v) for v in (first, last, np.full(500, n)))])))
+    scores = whole((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    assert np.allclose(got["m"], [scores[a - 1 : b].sum() for a, b in zip(first, last)])
+    assert np.allclose(got["m2"], [(scores[a - 1 : b] ** 2).sum() for a, b in zip(first, last)])
+    assert len(calls) <= 201 and max(calls) <= 400 and sum(calls) == n
