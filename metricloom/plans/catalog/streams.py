@@ -1,5 +1,7 @@
 """Streaming queries: files as a stream, drained into the shared folder and read back."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from metricloom.functions.scalars import epoch_seconds, q, series_name
@@ -15,6 +17,9 @@ from metricloom.sources import polled
 from metricloom.streaming import streams as st
 
 
+TASK_ROWS = 500_000
+
+
 def live(spark, sf):
     """Samples as they arrive. Watermarks need an instant, so the zone-less time is cast."""
     raw = st.read_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
@@ -144,13 +149,18 @@ def stream_detect_classes(spark, sf):
     runs.train(rows, spec)
     rows = rows.drop(TARGET)
     folder, path = scratch_path(spark, "rows"), scratch_path(spark, "records")
-    rows.repartition(3).write.parquet(folder)
-    arriving = st.read_files(spark, folder, rows.schema, "*.parquet", files=1)
+    # Three micro-batches of as many files as bound what a task writes.
+    files = max(1, math.ceil(rows.count() / (3 * TASK_ROWS)))
+    rows.repartition(3 * files).write.parquet(folder)
+    arriving = st.read_files(spark, folder, rows.schema, "*.parquet", files=files)
     stream_runs.detect_stream(arriving, stream_runs.Detection(spec, path)).awaitTermination()
     ours = ["utc", "hutc", "type", "method", "model", "interval"]
     streamed, whole = stream_runs.detections(spark, path).select(ours), runs.detect(rows, spec).select(ours)
     both = whole.withColumn("side", F.lit(1)).unionByName(streamed.withColumn("side", F.lit(-1)))
-    more = both.groupBy(*ours).agg(F.sum("side").alias("more"))
+    # Hardly a record equals another, so grouping before the shuffle would hold all records of a task:
+    # they are dealt first, a bounded number to a task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(both.count() / TASK_ROWS))
+    more = both.repartition(parts, *ours).groupBy(*ours).agg(F.sum("side").alias("more"))
     side = lambda sign: F.sum(F.greatest(F.lit(sign) * q("more"), F.lit(0))).cast("int")
     return more.agg((F.count(F.lit(1)) > 0).alias("found"), side(1).alias("missing"), side(-1).alias("extra"))
 
