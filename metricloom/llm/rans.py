@@ -13,26 +13,31 @@ in its range; the ranges' totals, one number for each partition, give the global
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metricloom.llm.bpe_automaton import ROWS, UNITS, _parts, read_vocabulary
+from metricloom.llm.bpe_automaton import ROWS, read_vocabulary
 from metricloom.llm.common import missing_columns, q
 
 SEGMENT_IDS = 1 << 22
 BLOCK_IDS = 1 << 19
 LANES = 2048
 CHECKPOINT_STEPS = 128
-KEPT_IDS = 500_000  # units in each of two generations that a worker keeps
+KEPT_UNITS = 1_000_000  # known units from which a worker forgets those not used since it last did
+TEXT_BYTES = 1 << 22  # of texts encoded at a time, if it is not a longer one
+LINES = 512  # new units in a text for the library
 LOW = 31  # states stay in [2**LOW, 2**(LOW + 32))
 
 
@@ -145,98 +150,175 @@ def slots_of(table: Table) -> np.ndarray:
 
 # --- ids from the tokenizers library ---------------------------------------------------------
 
+# White space as the pre-splitting pattern means it: characters of one byte, first bytes of longer ones, and those.
+WHITE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+MARK = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"))  # all but the apostrophe, which contractions begin with
+LONG_WHITE = [np.frombuffer(c.encode(), np.uint8) for c in WHITE_CHARS if ord(c) > 127]
+ONE_BYTE = np.isin(np.arange(256), [ord(c) for c in WHITE_CHARS if ord(c) < 128])
+FIRST_BYTE = np.isin(np.arange(256), [c[0] for c in LONG_WHITE])
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the units of texts start, that the pattern never joins to their neighbours; text k is
+    ``data[offsets[k]:offsets[k + 1]]`` in UTF-8.
+
+    A unit is a word with the space before it, if there is one, or what is left of a run of white
+    space: all but its last character, that character where it is no space, the whole run at a text's end.
+    Words are cut between a letter and a mark, where the pattern always cuts them.
+    """
+    total = len(data)
+    at = np.flatnonzero(ONE_BYTE[data])
+    size = np.ones(len(at), np.int64)
+    first = np.flatnonzero(FIRST_BYTE[data])
+    if len(first):
+        follow = np.concatenate([data, np.zeros(2, np.uint8)])
+        for char in LONG_WHITE:
+            found = first[np.all([follow[first + k] == x for k, x in enumerate(char)], axis=0)]
+            if len(found):
+                at, size = np.concatenate([at, found]), np.concatenate([size, np.full(len(found), len(char))])
+        order = np.argsort(at, kind="stable")
+        at, size = at[order], size[order]
+    edge = np.zeros(total + 1, bool)
+    edge[offsets] = True
+    after = at + size
+    joined = (after[:-1] == at[1:]) & ~edge[after[:-1]]  # with the next white character
+    opens = np.concatenate([[True], ~joined])[: len(at)]
+    before_word = np.concatenate([~joined, [True]])[: len(at)] & ~edge[after]
+    starts = edge
+    starts[at[opens | before_word]] = True
+    starts[after[before_word & (data[at] != 32)]] = True
+    starts[1:total] |= LETTER[data[:-1]] & MARK[data[1:]]
+    return np.flatnonzero(starts[:total])
+
 
 class LibraryIds:
     """Ids of whole texts by the tokenizers library.
 
     Where the vocabulary splits texts by the byte-level pattern, the library is asked once for
     each distinct unit that the pattern never joins to its neighbours; texts repeat most of
-    theirs. Any other vocabulary gets whole texts.
+    theirs. The units of many texts are found, numbered and put together as columns; new ones are handed
+    to the library in lines. Texts that hold an added token, and all texts of any other
+    vocabulary, are handed over whole.
     """
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
+        import re
 
         from tokenizers import Tokenizer
 
         data = json.loads(file)
         split = data.get("pre_tokenizer") or {}
+        added = [t["content"] for t in data.get("added_tokens", [])]
         self.tokenizer = Tokenizer.from_str(file.decode())
+        self.line = self.tokenizer.token_to_id("\u010a")  # the letter of the line break's byte
         self.by_unit = (
             data.get("normalizer") is None and split.get("type") == "ByteLevel"
             and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and data.get("truncation") is None and data.get("padding") is None
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in data.get("added_tokens", []))
+            and not any("\n" in t for t in added)
+            and self._library(["\n"])[0].ids == [self.line]
         )
-        import re
-
-        self.special = {"\n" + t["content"]: array("I", [t["id"]]).tobytes() for t in data.get("added_tokens", [])}
-        names = sorted((t[1:] for t in self.special), key=len, reverse=True)
-        self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else "(?!)")
-        self.recent: dict[str, bytes] = dict(self.special)
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.added = "|".join(map(re.escape, added))
+        # known units, and those used since some were last forgotten; unit k has the ids from ends[k] to ends[k + 1]
+        self.units = pa.array([], pa.string())
+        self.used = np.zeros(0, bool)
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit integers; no text is null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_unit:
-            return [array("I", x.ids).tobytes() for x in self._library(texts)]
-        keys = [self._keys(t) for t in texts]
-        if len(self.recent) >= KEPT_IDS:
-            self.old, self.recent = self.recent, dict(self.special)
-        self._learn(set().union(*keys).difference(self.recent))
-        look = self.recent.__getitem__
-        return [b"".join(map(look, each)) for each in keys]
-
-    def _learn(self, keys: set[str]) -> None:
-        """Make units recent: those remembered from before, and those the library is asked for.
-
-        A full stop or comma after a letter is a word of its own, so such a unit is two.
-        """
-        recent, old = self.recent, self.old
-        again = keys & old.keys()
-        recent.update(zip(again, map(old.__getitem__, again), strict=True))
-        keys -= again
-        ended = {k for k in keys if k[-1] in ".," and k[-2:-1].isalpha()}
-        parts = (keys - ended) | {k[:-1] for k in ended} | ({"\n.", "\n,"} if ended else set())
-        new = list(parts.difference(recent).difference(old))
-        found = self._library([k[1:] if k[0] == "\n" else " " + k for k in new])
-        recent.update(zip(new, [array("I", x.ids).tobytes() for x in found], strict=True))
-        known = lambda k: recent.get(k) or old[k]
-        recent.update([(k, known(k[:-1]) + known("\n" + k[-1])) for k in ended])
+            return self._whole(texts)
+        if not self.added:
+            return self._by_unit(texts)
+        whole = pc.match_substring_regex(texts, self.added)
+        if not pc.any(whole).as_py():
+            return self._by_unit(texts)
+        each = {True: iter(self._whole(texts.filter(whole))), False: iter(self._by_unit(texts.filter(pc.invert(whole))))}
+        return [next(each[x]) for x in whole.to_pylist()]
+
+    def _whole(self, texts: pa.Array) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self._library(texts.to_pylist())]
+
+    def _by_unit(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        texts.validate(full=True)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, "<i4")[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = unit_starts(data, offsets)
+        if not len(starts):
+            return [b""] * len(texts)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype("<i4"))
+        units = pa.Array.from_buffers(pa.string(), len(starts), [None, edges, pa.py_buffer(data)]).dictionary_encode()
+        unit = self._rows(units.dictionary)[units.indices.to_numpy()]
+        sizes = np.diff(self.ends)[unit]
+        ends = np.append(0, sizes.cumsum())
+        # id n of the texts is id n of the units' ids, moved by how far its unit is from its place
+        place = np.repeat(self.ends[unit] - ends[:-1], sizes)
+        place += np.arange(len(place))
+        ids = self.ids[place].tobytes()
+        cuts = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _rows(self, units: pa.Array) -> np.ndarray:
+        """Where distinct units stand among the known ones; the library is asked for those that do not."""
+        if len(self.units) >= KEPT_UNITS:
+            keep, sizes = self.used, np.diff(self.ends)
+            self.ids, self.ends = self.ids[np.repeat(keep, sizes)], np.append(0, sizes[keep].cumsum())
+            self.units, self.used = self.units.filter(pa.array(keep)), np.zeros(keep.sum(), bool)
+        found = pc.index_in(units, value_set=self.units)
+        rows = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            rows[rows < 0] = len(self.units) + np.arange(found.null_count)
+            self._learn(units.filter(found.is_null()))
+        self.used[rows] = True
+        return rows
+
+    def _learn(self, units: pa.Array) -> None:
+        """Words go to the library in lines, for a line break is a word and an id of its own beside
+        them; white space goes alone."""
+        texts = units.to_pylist()
+        white = [u[-1] in WHITE_CHARS for u in texts]
+        words = [u for u, alone in zip(texts, white, strict=True) if not alone]
+        lines = ["\n".join(words[at : at + LINES]) for at in range(0, len(words), LINES)]
+        lone = iter(self._whole(units.filter(pa.array(white, pa.bool_()))))
+        word = itertools.chain.from_iterable(self._split(x.ids) for x in self._library(lines))
+        found = [next(lone if alone else word) for alone in white]
+        self.units = pa.concat_arrays([self.units, units])
+        self.used = np.append(self.used, np.zeros(len(units), bool))
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(found), "<u4"))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.ends = np.append(self.ends, self.ends[-1] + sizes.cumsum())
+
+    def _split(self, ids: list[int]) -> list[bytes]:
+        """The ids of the words of a line."""
+        line = np.array(ids, "<u4")
+        breaks = 4 * np.flatnonzero(line == self.line)
+        packed = line.tobytes()
+        return [packed[a:b] for a, b in zip([0, *(breaks + 4).tolist()], [*breaks.tolist(), len(packed)], strict=True)]
 
     def _library(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
 
-    def _keys(self, text: str) -> list[str]:
-        """The units of a text: a word for a unit of a space and the word, and otherwise the unit
-        after a line break. Words with one space or line break between them, and nothing else,
-        need no pattern."""
-        flat = text.replace("\n", " ")
-        words = flat.split(" ")
-        if words != flat.split() or any(t[1:] in text for t in self.special):
-            parts = self.cut.split(text)
-            units = [u for p in parts for u in ([p] if "\n" + p in self.special else UNITS.findall(p))]
-            return [u[1:] if u[0] == " " and len(u) > 1 and not u[1].isspace() else "\n" + u for u in units]
-        if "\n" not in text:
-            words[0] = "\n" + words[0]
-            return words
-        keys: list[str] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            words[0] = "\n" + words[0]
-            keys += words
-            keys.append("\n\n")
-        keys.pop()
-        return keys
-
-
-_ENCODERS: dict[int, LibraryIds] = {}
-
-
-def _encoder(file: bytes) -> LibraryIds:
-    key = hash(file)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = LibraryIds(file)
-    return _ENCODERS[key]
+
+class Vocabulary:
+    """A vocabulary file as it is broadcast. The encoder is built where it is first asked for and
+    stays there with what it learns: a worker keeps a broadcast from task to task, while functions
+    and the module's globals come anew with each task, for this package travels by value."""
+
+    def __init__(self, file: bytes):
+        self.file = file
+
+    @cached_property
+    def encoder(self) -> LibraryIds:
+        return LibraryIds(self.file)
 
 
 # --- files -----------------------------------------------------------------------------------
@@ -262,7 +344,7 @@ def write_ids(
     as an empty one. An empty table gives an empty file. Other columns are ignored.
     """
     missing_columns(docs, key, text)
-    file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_vocabulary(vocabulary)))
     rows = docs.select(
         q(key).cast("long").alias("id"), F.coalesce(q(text).cast("string"), F.lit("")).alias("text")
     )
@@ -270,14 +352,14 @@ def write_ids(
     last = array("I", [end_id]).tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(file.value)
+        encoder = sent.value.encoder
         part = TaskContext.get().partitionId()
         keys: list = []
         held: list[bytes] = []
         size = offset = number = 0
-        for some in _parts(batches, 512):
+        for some in _bounded(batches, 1):
             keys.extend(some.column(0).to_pylist())
-            found = [ids + last for ids in encoder.encode(some.column(1).to_pylist())]
+            found = [ids + last for ids in encoder.encode(some.column(1))]
             held.extend(found)
             size += sum(map(len, found)) // 4
             if size >= SEGMENT_IDS:
@@ -294,6 +376,18 @@ def write_ids(
     ordered.mapInArrow(segments, schema).write.option("compression", "uncompressed").parquet(path)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``TEXT_BYTES`` of their texts at a time."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.cast(pc.binary_length(batch.column(column)), pa.int64())).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _segment(part: int, number: int, offset: int, keys: list, held: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
     table = Table.of(ids)

@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,40 @@ def test_id_files(docs, spark, library):
     assert want == {}
 
 
+def test_units_are_handed_to_the_library_in_lines(library, monkeypatch):
+    """Any mix of white space, marks and added tokens has the library's ids; new words do not go one by one."""
+    with open(vocabulary(), "rb") as file:
+        ids = rans.LibraryIds(file.read())
+    dice = random.Random(3)
+    parts = [*rans.WHITE_CHARS, " ", "\n", "a", "foo.", "Été", "漢字", "🎉", "1", "'s", "<|endoftext|>", "\x1c", "\u200b", "à"]
+    texts = ["", *("".join(dice.choices(parts, k=dice.randrange(14))) for _ in range(3000))]
+    want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(rans, "KEPT_UNITS", 50)
+    assert [x for at in range(0, 3001, 500) for x in ids.encode(texts[at : at + 500])] == want
+    handed = []
+    real = ids._library
+    monkeypatch.setattr(ids, "_library", lambda some: handed.extend(some) or real(some))
+    words = " ".join(f"x{n}" for n in range(4000))
+    assert ids.encode([words]) == [np.array(library.encode(words, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(handed) <= 8
+
+
+def test_workers_keep_their_encoder(spark):
+    """Tasks of one worker share an encoder, with the units that it knows."""
+    with open(vocabulary(), "rb") as file:
+        sent = spark.sparkContext.broadcast(rans.Vocabulary(file.read()))
+
+    def learnt(batches):
+        for _ in batches:
+            pass
+        encoder = sent.value.encoder
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "known": [len(encoder.units)]})
+        encoder.encode(["a word"])
+
+    rows = spark.range(0, 400, 1, 40).mapInArrow(learnt, "pid long, known long").collect()
+    assert len({r["pid"] for r in rows}) == sum(r["known"] == 0 for r in rows) < len(rows)
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 5000, 300_000])
 def test_coder_blocks_and_checkpoints(n):
     ids = np.random.default_rng(n).zipf(1.2, n) % 50_000
