@@ -54,7 +54,11 @@ def domain_of(source: Column) -> Column:
 
 
 def leaf_plan(counted: DataFrame, mix: Mix) -> DataFrame:
-    """Per leaf of (domain, lang, source, tokens, ...): its share, whole epochs and rest."""
+    """Per leaf of (domain, lang, source, tokens, ...): its share, whole epochs and rest.
+
+    Each level's shares are written, a row per node: the plan of the next reads a small table, and
+    the driver never holds the levels above, which every use would repeat, in one plan.
+    """
     leaves = written(
         counted.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "leaves"
     ).withColumn("capacity", F.col("tokens") * mix.max_epochs)
@@ -68,14 +72,15 @@ def leaf_plan(counted: DataFrame, mix: Mix) -> DataFrame:
             nodes = nodes.withColumn("amount", F.lit(budget).cast("long"))
         else:
             nodes = nodes.join(shares.withColumnRenamed("share", "amount"), list(TREE[: depth - 1]))
-        shares = _fill(nodes, TREE[:depth])
+        shares = written(_fill(nodes, TREE[:depth]), "mixing-shares")
     plan = leaves.join(shares, list(TREE))
     nothing = F.col("tokens") == 0
-    return plan.select(
+    found = plan.select(
         *TREE, "tokens", "n_docs", "share",
         F.when(nothing, 0).otherwise(F.expr("share div tokens")).cast("int").alias("whole"),
         F.when(nothing, 0).otherwise(F.expr("share % tokens")).cast("long").alias("rest"),
     )
+    return written(found, "mixing-leaves")
 
 
 def _weight(levels: tuple[str, ...], mix: Mix) -> Column:
@@ -133,9 +138,12 @@ def cuts(counted: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     leaf = Window.partitionBy(*TREE)
     before = leaf.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*TREE, "bin").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    ending = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
-        "start < rest and rest <= start + n"
-    ).select(*TREE, F.col("bin").alias("last_bin"), "start")
+    ending = written(
+        sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where("start < rest and rest <= start + n")
+        .select(*TREE, F.col("bin").alias("last_bin"), "start"),
+        "mixing-bins",
+    )
     last = placed.join(ending, list(TREE)).where("bin = last_bin and n_tokens > 0")
     inside = leaf.orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("at", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

@@ -368,6 +368,16 @@ def test_backoff(docs, order):
 # --- mixing -------------------------------------------------------------------------------------
 
 
+def test_shares_of_leaves_are_a_written_table(spark):
+    """What uses the shares reads them: no plan repeats the levels, their windows and their joins."""
+    rows = [("web", "en", "src0", 30), ("web", "de", "src2", 20), ("reference", "en", "src1", 50)]
+    counted = spark.createDataFrame(rows, "domain string, lang string, source string, n_tokens long")
+    found = mixing.leaf_plan(counted, mixing.Mix(weights={"web": 3}, budget=40, max_epochs=1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert sorted((r["domain"], r["lang"], r["share"]) for r in found.collect()) == [("reference", "en", 10), ("web", "de", 15), ("web", "en", 15)]
+
+
 def test_mixing_keeps_to_shares(docs):
     mix = mixing.Mix(weights={"en": 3}, budget_share=0.5, max_epochs=2, bin_rows=2)
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])

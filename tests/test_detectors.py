@@ -54,6 +54,21 @@ def test_dbscan_equals_brute_force(spark, cloud, block_rows):
     assert labels.tolist() == brute_dbscan(cloud, 0.4, 5).tolist()
 
 
+def test_few_edges_take_one_task(spark, monkeypatch):
+    """A round of few edges has no exchange and no broadcast, and is the round of many."""
+    dice = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in dice.integers(0, 300, (200, 2)) if a != b] * 2
+    edges = neighbours.stored(spark.createDataFrame(pairs, "u long, v long").repartition(7), "edges")
+    once = neighbours._task_round(edges)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    many = neighbours._small_star(neighbours._large_star(edges))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, many.collect()))
+    few = sorted(map(tuple, neighbours.components(edges).collect()))
+    monkeypatch.setattr(neighbours, "TASK_EDGES", 20)
+    assert sorted(map(tuple, neighbours.components(edges).collect())) == few
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     other = spark.createDataFrame([(1000, 1003), (1003, 1001)], "u long, v long")
